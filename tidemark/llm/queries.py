@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, token_count
+from tidemark.llm import chat_format, source_mix, token_count, topk_search
 from tidemark.llm.storage import table
 
 
@@ -43,5 +43,15 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = source_mix.balance(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "rate", "copies")
+
+
 def queries() -> dict:
-    return {"op3_token_counts": op3_token_counts, "op6_chat_formatting": op6_chat_formatting}
+    """Query name to function of (spark, sf_dir)."""
+    return {f.__name__: f for f in (op3_token_counts, op6_chat_formatting, op7_exact_topk, op8_source_mix)}
