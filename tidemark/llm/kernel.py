@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SLICE_BYTES = 2_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -70,7 +71,7 @@ class Words:
 def plain(column: pa.Array) -> pa.Array:
     """The column as large_string; nulls become empty texts."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return pa.compute.fill_null(column.cast(pa.large_string()), "")
+    return pc.fill_null(column.cast(pa.large_string()), "")
 
 
 def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:

@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,7 +52,7 @@ def integer_vectors(df: DataFrame, vec_id: str, vector: str) -> DataFrame:
 
 def matrix(column: pa.Array, dim: int | None = None) -> np.ndarray:
     """Rows of an array column as an int64 matrix, shorter rows padded with zeros."""
-    lengths = pa.compute.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+    lengths = pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
     width = max(int(lengths.max(initial=0)), dim or 0)
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
     if len(lengths) and (lengths == width).all():
