@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, source_mix, token_count, topk_search, toxicity, url_filter
+from tidemark.llm import chat_format, ngram_join, source_mix, token_count, topk_search, toxicity, url_filter
 from tidemark.llm.storage import table
 
 
@@ -65,6 +65,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), n=3, similarity=(90, 100))
+
+
 def queries() -> dict:
     """Query name to function of (spark, sf_dir)."""
-    return {f.__name__: f for f in (op1_url_filter, op3_token_counts, op6_chat_formatting, op7_exact_topk, op8_source_mix, op9_toxicity)}
+    return {f.__name__: f for f in (op1_url_filter, op3_token_counts, op6_chat_formatting, op7_exact_topk, op8_source_mix, op9_toxicity, op10_ngram_join)}
