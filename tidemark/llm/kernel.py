@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -63,14 +64,21 @@ class Words:
     def text_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.rows)), np.diff(self.first))
 
-    def joined(self, words: np.ndarray, sep: bytes = b" ") -> bytes:
-        raw = self.data.tobytes() if not isinstance(self.data, bytes) else self.data
-        return sep.join([raw[a:b] for a, b in zip(self.start[words].tolist(), self.end[words].tolist(), strict=True)])
+    @cached_property
+    def raw(self) -> bytes:
+        return self.data.tobytes()
+
+    def joined(self, words: np.ndarray | slice) -> bytes:
+        """The given words with one space between."""
+        raw = self.raw
+        return b" ".join([raw[a:b] for a, b in zip(self.start[words].tolist(), self.end[words].tolist(), strict=True)])
 
 
 def plain(column: pa.Array) -> pa.Array:
-    """The column as large_string; nulls become empty texts."""
+    """The column as large_string or large_binary; nulls become empty texts."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+        return pc.fill_null(column.cast(pa.large_binary()), b"")
     return pc.fill_null(column.cast(pa.large_string()), "")
 
 

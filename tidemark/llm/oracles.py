@@ -51,6 +51,26 @@ SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, c.component_id
 FROM documents d LEFT JOIN sizes s USING (doc_id) JOIN (SELECT origin AS doc_id, min(node) AS component_id FROM reach GROUP BY origin) c USING (doc_id)
 """
 
+OP4 = r"""
+WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM texts),
+windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM texts WHERE len(w) >= 35)),
+often AS (SELECT s FROM windows GROUP BY s HAVING count(*) > 1),
+starts AS (SELECT doc_id, i FROM windows JOIN often USING (s)),
+marked AS (
+  SELECT w.doc_id, w.i, w.word,
+    max(CASE WHEN s.i IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY w.doc_id ORDER BY w.i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone
+  FROM words w LEFT JOIN starts s ON s.doc_id = w.doc_id AND s.i = w.i),
+kept AS (
+  SELECT doc_id, count(*) AS n_words, CAST(sum(gone) AS BIGINT) AS n_removed,
+    coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE gone = 0), '') AS kept
+  FROM marked GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents LEFT JOIN kept USING (doc_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat_formatting": OP6, "op7_exact_topk": OP7, "op10_ngram_join": OP10}
+    return {"op4_substring_dedup": OP4, "op6_chat_formatting": OP6, "op7_exact_topk": OP7, "op10_ngram_join": OP10}

@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, ngram_join, source_mix, token_count, topk_search, toxicity, url_filter
+from tidemark.llm import chat_format, ngram_join, source_mix, substring_dedup, token_count, topk_search, toxicity, url_filter
 from tidemark.llm.storage import table
 
 
@@ -30,6 +30,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     tricky = "\\### Assistant: </turn> ok"
@@ -71,4 +76,4 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     """Query name to function of (spark, sf_dir)."""
-    return {f.__name__: f for f in (op1_url_filter, op3_token_counts, op6_chat_formatting, op7_exact_topk, op8_source_mix, op9_toxicity, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_url_filter, op3_token_counts, op4_substring_dedup, op6_chat_formatting, op7_exact_topk, op8_source_mix, op9_toxicity, op10_ngram_join)}
