@@ -104,7 +104,7 @@ def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix(out + (end - start).astype(np.uint64))
 
 
-def slices(column: pa.Array, lower: bool = False) -> Iterator[Words]:
+def slices(column: pa.Array, lower: bool = False, is_word: np.ndarray = IS_WORD) -> Iterator[Words]:
     """The words of a column of texts, a few MB of text at a time."""
     column = plain(column)
     n = len(column)
@@ -119,7 +119,7 @@ def slices(column: pa.Array, lower: bool = False) -> Iterator[Words]:
         j = min(j, n)
         data = raw[offsets[i] : offsets[j]]
         data = LOWER[data] if lower else data
-        inside = IS_WORD[data]
+        inside = is_word[data]
         bounds = offsets[i : j + 1] - offsets[i]
         # A text's first byte starts a word even where the previous text ended in one.
         edge = np.zeros(len(data) + 1, dtype=bool)

@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, ngram_join, source_mix, substring_dedup, token_count, topk_search, toxicity, url_filter
+from tidemark.llm import chat_format, decontaminate, ngram_join, quality, source_mix, substring_dedup, token_count, topk_search, toxicity, url_filter
 from tidemark.llm.storage import table
 
 
@@ -25,6 +25,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), RULES)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_count.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
@@ -35,6 +39,11 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents carry no URL; source stands for the host and language for the path."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), host="source", path="lang")
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     tricky = "\\### Assistant: </turn> ok"
@@ -76,4 +85,4 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     """Query name to function of (spark, sf_dir)."""
-    return {f.__name__: f for f in (op1_url_filter, op3_token_counts, op4_substring_dedup, op6_chat_formatting, op7_exact_topk, op8_source_mix, op9_toxicity, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_url_filter, op2_decontamination, op3_token_counts, op4_substring_dedup, op5_quality, op6_chat_formatting, op7_exact_topk, op8_source_mix, op9_toxicity, op10_ngram_join)}
