@@ -237,6 +237,16 @@ def near_duplicates(docs: DataFrame, n: int, similarity: tuple[int, int], doc_id
     return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
+def keep_one(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (80, 100), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs without those whose component has a smaller id; of rows that share an id, one. Rows without id stay."""
+    found = written(near_duplicates(docs, n, similarity, doc_id, text), "components").select(F.col(doc_id).alias("id_"), "component_id", "n_shingles")
+    if _repeats(found.select(F.col("id_").alias("id"))):
+        named = docs.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id])
+        docs = named.unionByName(docs.where(F.col(doc_id).isNull()))
+    others = found.where("component_id < id_").select("id_").distinct()
+    return docs.join(others, F.col(doc_id) == F.col("id_"), "left_anti")
+
+
 def _repeats(sets: DataFrame) -> bool:
     """Whether any id stands in more than one row."""
     return bool(sets.where("id is not null").groupBy("id").count().where("count > 1").limit(1).count())

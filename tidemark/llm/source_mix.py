@@ -68,7 +68,7 @@ def try_ratio(a: Column, b: Column) -> Column:
 
 def round_group(rows: pa.Table) -> pa.Table:
     """Whole copies of one group's documents, from long to short."""
-    rows = rows.sort_by([("size", "descending"), ("spread", "ascending"), ("doc_id", "ascending")])
+    rows = rows.sort_by([("size", "descending"), ("spread", "ascending")])
     copies, due, used = [], 0.0, 0
     for size, rate, most in zip(*(rows.column(c).to_pylist() for c in ("size", "rate", "cap")), strict=True):
         due += rate * size
@@ -95,3 +95,18 @@ def balance(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
     )
     kinds = f"doc_id {dict(sizes.dtypes)['doc_id']}, source {dict(sizes.dtypes)['source']}, size long, source_size long, target double, rate double, copies long"
     return rows.groupBy("source", "part").applyInArrow(round_group, kinds)
+
+
+def repeat_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """The mix itself: every row of docs as often as the mix takes it, with copy (from 1) and the mix's figures.
+
+    Rows that agree in id, source and text share their copies evenly.
+    """
+    mark = F.coalesce(F.xxhash64(F.col(text)), F.lit(0).cast("long"))
+    marked = docs.select(F.struct(F.col(doc_id).alias("id"), mark.alias("mark")).alias("key"), F.col(text).alias("text"), F.col(source).alias("source"))
+    taken = balance(marked, "key", "text", "source", **options)
+    taken = taken.groupBy("doc_id", "source", "size", "source_size", "target").agg(F.floor(F.avg("copies")).alias("copies")).where("copies > 0")
+    taken = taken.select(F.col("doc_id.id").alias("id_"), F.col("doc_id.mark").alias("mark_"), F.col("source").alias("source_"), F.col("size").alias("size_"), F.col("source_size").alias("source_size_"), F.col("target").alias("target_"), F.col("copies").alias("copies_"))
+    on = F.col(doc_id).eqNullSafe(F.col("id_")) & (mark == F.col("mark_")) & F.col(source).eqNullSafe(F.col("source_"))
+    rows = docs.join(taken, on).select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("copies_").cast("int"))).alias("mix_copy"), F.col("size_").alias("mix_size"), F.col("source_size_").alias("mix_source_size"), F.col("target_").alias("mix_target"))
+    return rows

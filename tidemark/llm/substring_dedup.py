@@ -32,6 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm import kernel
 from tidemark.llm.fm_index import FMIndex
@@ -204,7 +205,7 @@ def remove_spans():
                         keep[s["low"] : s["high"]] = False
                     removed.append(int((~keep).sum()))
                     kept.append(words.joined(a + np.flatnonzero(keep)))
-            yield pa.record_batch([batch.column("id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["id", "n_words", "n_removed", "kept"])
+            yield pa.record_batch([batch.column("row"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["row", "n_words", "n_removed", "kept"])
 
     return run
 
@@ -240,10 +241,17 @@ def repeated_spans(rows: DataFrame, kind: str, length: int = LENGTH, gram: int =
     return spans.unionByName(whole).groupBy("id", "t").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
 
 
+def strip_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """row (struct of all columns), n_words, n_removed, kept of every row."""
+    kind = dict(docs.dtypes)[doc_id]
+    rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("id"), F.coalesce(F.xxhash64(F.col(text)), F.lit(0).cast("long")).alias("t"), F.col(text).alias("text"))
+    spans = written(repeated_spans(rows.select("id", "t", "text"), kind, length, gram), "spans").select(F.col("id").alias("id_"), F.col("t").alias("t_"), "spans")
+    # The text travels once, within row.
+    joined = rows.drop("text").join(spans, F.col("id").eqNullSafe(F.col("id_")) & (F.col("t") == F.col("t_")), "left").select("row", F.col("row")[text].alias("text"), "spans")
+    return joined.mapInArrow(remove_spans(), T.StructType([T.StructField("row", docs.schema)]).add("n_words", "long").add("n_removed", "long").add("kept", "string"))
+
+
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """doc_id, n_words, n_removed, kept of every row."""
-    kind = dict(docs.dtypes)[doc_id]
-    rows = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.xxhash64(F.col(text)), F.lit(0).cast("long")).alias("t"), F.col(text).alias("text"))
-    spans = written(repeated_spans(rows, kind, length, gram), "spans").select(F.col("id").alias("id_"), F.col("t").alias("t_"), "spans")
-    joined = rows.join(spans, F.col("id").eqNullSafe(F.col("id_")) & (F.col("t") == F.col("t_")), "left").select("id", "text", "spans")
-    return joined.mapInArrow(remove_spans(), f"id {kind}, n_words long, n_removed long, kept string").withColumnRenamed("id", doc_id)
+    narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return strip_repeats(narrow, "doc_id", "text", length, gram).select(F.col("row.doc_id").alias(doc_id), "n_words", "n_removed", "kept")

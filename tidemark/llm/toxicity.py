@@ -249,3 +249,21 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     """doc_id and score (0 to 1) of every row."""
     kind = dict(docs.dtypes)[doc_id]
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(scorer(model), f"doc_id {kind}, score double")
+
+
+def dropper(model: Model, text: str, least: float):
+    """mapInArrow function: the rows with a score below least, all columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            for words in kernel.slices(batch.column(text), lower=True):
+                keep[words.rows.start : words.rows.stop] = model.score(*model.strongest(words)) < least
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
+def drop_toxic(docs: DataFrame, model: Model, text: str = "text", least: float = 0.3) -> DataFrame:
+    """The rows of docs that score below least."""
+    return docs.mapInArrow(dropper(model, text, least), docs.schema)
