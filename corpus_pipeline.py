@@ -1,8 +1,63 @@
-"""Corpus pipeline (stages follow)."""
+"""Corpus pipeline: documents in, a clean and weighted training mix out.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a frame that is written as Parquet and read again as the
+next stage's docs. All but the last return the columns of documents; the last repeats rows to the weights of
+their sources and says so in columns that begin with mix_.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import decontaminate, ngram_join, source_mix, substring_dedup, toxicity
+from tidemark.llm.storage import table, written
+
+#: No SQL: stages hold trained models. Tests hold every stage against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below the toxicity threshold."""
+    return toxicity.drop_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near-duplicates (five-word shingles, Jaccard 0.8) the one with the least id."""
+    return ngram_join.keep_one(docs, n=5, similarity=(80, 100))
+
+
+def strip_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages of 35 words or more that stand elsewhere too."""
+    out = substring_dedup.strip_repeats(docs)
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("row.text"))
+    n_chars = F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("row.n_chars"))
+    changed = {"text": text, "n_chars": n_chars}
+    return out.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of the benchmark."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return source_mix.repeat_rows(docs)
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("ngram_jaccard_join", one_of_each_group),
+    ("substring_dedup", strip_repeated_passages),
+    ("benchmark_decontamination", drop_benchmark_leaks),
+    ("source_mix", mix_sources),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each result is written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
