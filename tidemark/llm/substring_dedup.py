@@ -40,8 +40,9 @@ from tidemark.llm.storage import written
 
 LENGTH = 35
 GRAM = 8
-HOT = 64
 SHARD_WORDS = 400_000
+#: A minimizer's contexts (fewer than 2 * LENGTH words each) may fill a quarter of a shard.
+HOT = SHARD_WORDS // (8 * LENGTH)
 
 
 def long_hash(data: bytes) -> tuple[int, int]:
