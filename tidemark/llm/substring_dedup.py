@@ -220,7 +220,8 @@ def repeated_spans(rows: DataFrame, kind: str, length: int = LENGTH, gram: int =
     whole = with_rep.where("copies > 1").select("id", "t", F.lit(0).alias("low"), F.col("n").cast("int").alias("high"))
     reps = with_rep.where(F.col("rep.id").eqNullSafe(F.col("id")) & (F.col("rep.t") == F.col("t")))
     places = written(reps.select("id", "t", F.explode(F.arrays_zip("m", "at", "count")).alias("r")).select("id", "t", "r.*"), "places")
-    often = places.groupBy("m").count().where("count > 1").select("m")
+    # Written, so that the join reads two plain exchanges and a hot minimizer's places can be split over tasks.
+    often = written(places.groupBy("m").count().where("count > 1").select("m"), "often")
     chosen = places.join(often, "m").groupBy("id", "t").agg(F.collect_list(F.struct("m", "at", "count")).alias("runs"))
     chosen = chosen.select(F.col("id").alias("id_"), F.col("t").alias("t_"), "runs")
     of_text = rows.join(chosen, F.col("id").eqNullSafe(F.col("id_")) & (F.col("t") == F.col("t_"))).select("id", "t", "text", "runs")
