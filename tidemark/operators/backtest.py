@@ -140,7 +140,7 @@ def round_trips(df: DataFrame, key: list[str], order: str) -> DataFrame:
 def pair_backtest(df: DataFrame, key: list[str], order: str, beta: str | float, cost_bps: float | Column = 5.0, capital: float = 1.0) -> DataFrame:
     """Yesterday's position on the change of y - beta x per yesterday's gross notional, minus cost of both legs; equity compounds.
 
-    beta may be a column that varies; the spread change then uses yesterday's beta.
+    The first bar, which has no change, has no pnl. beta may be a column that varies; the spread change then uses yesterday's beta.
     """
     w = series(key, order)
     b = F.col(beta) if isinstance(beta, str) else F.lit(float(beta))
@@ -148,8 +148,8 @@ def pair_backtest(df: DataFrame, key: list[str], order: str, beta: str | float,
     gross = F.abs("_py") + F.abs(F.col("_b") * F.col("_px"))
     gain = F.try_divide(F.col("y") - F.col("_py") - F.col("_b") * (F.col("x") - F.col("_px")), gross)
     df = df.withColumn("turnover", first_turn("position", w))
-    df = df.withColumn("pnl", F.coalesce(F.col("_pp") * gain, F.lit(0.0)) - 2 * F.col("turnover") * cost_bps / 10_000)
-    return df.withColumn("equity", capital * F.product(1 + F.col("pnl")).over(cum(w))).drop("_b", "_py", "_px", "_pp")
+    df = df.withColumn("pnl", F.col("_pp") * gain - 2 * F.col("turnover") * cost_bps / 10_000)
+    return df.withColumn("equity", capital * F.product(1 + F.coalesce("pnl", F.lit(0.0))).over(cum(w))).drop("_b", "_py", "_px", "_pp")
 
 
 def nav_backtest(df: DataFrame, key: list[str], order: str, commission: float = 0.0002, stamp: float = 0.001, slippage: float = 0.0, leverage: float = 1.0, capital: float = 1_000_000.0) -> DataFrame:
@@ -157,8 +157,24 @@ def nav_backtest(df: DataFrame, key: list[str], order: str, commission: float =
     NAV, so NAV is the capital times a running product."""
     w = series(key, order)
     df = df.withColumn("position", F.least(F.greatest(F.col("position"), F.lit(0.0)), F.lit(leverage)))
-    move = F.col("position") - F.coalesce(F.lag("position").over(w), F.lit(0.0))
+    move = F.col("position") - F.coalesce(F.lag("position").over(w), F.col("position"))
     df = df.withColumn("cost", F.abs(move) * (commission + slippage) + F.greatest(-move, F.lit(0.0)) * stamp)
-    df = df.withColumn("ret", F.coalesce(change("index_close", 1, w), F.lit(0.0)))
-    df = df.withColumn("net", F.col("position") * F.col("ret") - F.col("cost"))
-    return df.withColumn("nav", capital * F.product(1 + F.col("net")).over(cum(w)))
+    df = df.withColumn("ret", change("index_close", 1, w))
+    df = df.withColumn("cost", F.when(F.col("ret").isNotNull(), F.col("cost")).otherwise(0.0))
+    df = df.withColumn("net", F.coalesce(F.col("position") * F.col("ret") - F.col("cost"), F.lit(0.0)))
+    df = df.withColumn("nav", capital * F.product(1 + F.col("net")).over(cum(w)))
+    return df.withColumn("benchmark", capital * F.product(1 + F.coalesce("ret", F.lit(0.0))).over(cum(w)))
+
+
+def nav_summary(df: DataFrame, key: list[str], order: str, days: int = 252) -> DataFrame:
+    """Return of the segment, its annualised growth, relative drawdown, Sharpe (population deviation), trades, mean
+    position and excess over the benchmark, by key; windows restart in every group."""
+    w = series(key, order)
+    df = df.withColumn("_dd", F.col("nav") / F.max("nav").over(cum(w)) - 1).withColumn("_moved", F.abs(F.col("position") - F.lag("position").over(w)) > 1e-9)
+    out = df.groupBy(*key).agg(
+        F.count("*").alias("n_days"), (F.max_by("nav", order) / F.min_by("nav", order) - 1).alias("total_return"), (F.max_by("benchmark", order) / F.min_by("benchmark", order) - 1).alias("benchmark_return"),
+        F.product(1 + F.col("net")).alias("_grown"), F.avg("net").alias("_mean"), F.stddev_pop("net").alias("_std"), F.min("_dd").alias("max_drawdown"), F.count_if("_moved").alias("n_trades"), F.avg("position").alias("avg_position"),
+        F.sum(F.col("cost") * F.col("nav") / (1 + F.col("net"))).alias("total_cost"),
+    )
+    out = out.withColumn("annualized_return", F.when(F.col("_grown") > 0, F.pow("_grown", days / F.col("n_days"))) - 1)
+    return out.withColumn("sharpe", F.when(F.col("n_days") > 1, F.try_divide("_mean", "_std") * F.sqrt(F.lit(float(days))))).withColumn("excess_return", F.col("total_return") - F.col("benchmark_return")).drop("_grown", "_mean", "_std")

@@ -1,3 +1,3 @@
 """All queries; importing this package fills the registry."""
 
-from tidemark.queries import backtests, windows  # noqa: F401
+from tidemark.queries import backtests, panels, windows  # noqa: F401
