@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import kernel
 from tidemark.llm.components import connected
-from tidemark.llm.storage import written
+from tidemark.llm.storage import discard, written
 
 SKETCH_LONGS = 32
 
@@ -198,22 +198,28 @@ def near_duplicates(docs: DataFrame, n: int, similarity: tuple[int, int], doc_id
     num, den = similarity
     kind = dict(docs.dtypes)[doc_id]
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    sets = written(rows.mapInArrow(describe(n, num, den), f"id {kind}, n long, h1 long, h2 long, signatures array<long>, sketch array<long>"), "sets")
+    described = written(rows.mapInArrow(describe(n, num, den), f"id {kind}, n long, h1 long, h2 long, signatures array<long>, sketch array<long>"), "described")
+    sets = written(described.select("id", "n", "h1", "h2"), "sets")
     usable = sets.where("n > 0 and id is not null")
     same = written(usable.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep")), "equal")
-    # A representative is found by its id and its set, as ids may repeat.
-    reps = usable.join(same, ["h1", "h2", "n"]).where("id = rep").dropDuplicates(["id"]).select("id", "n", "signatures", "sketch")
-    reps = reps.where(F.size("signatures") > 0)
+    # Copies of a set are few against the sets themselves, so they are taken out by an anti-join that leaves the signatures in place.
+    copies = written(usable.join(same, ["h1", "h2", "n"]).where("id <> rep").select("id").distinct(), "copies")
+    repeats = _repeats(sets)
+    reps = described.where((F.size("signatures") > 0) & F.col("id").isNotNull()).join(copies, "id", "left_anti")
+    reps = reps.dropDuplicates(["id"]) if repeats else reps
     shared = reps.select("id", F.explode("signatures").alias("s")).withColumn("company", F.count("*").over(Window.partitionBy("s"))).where("company > 1")
     shared = written(shared, "shared")
-    sketches = written(reps.join(shared.select("id").distinct(), "id", "left_semi").select("id", "n", "sketch"), "sketches")
+    sketches = written(reps.select("id", "n", "sketch").join(shared.select("id").distinct(), "id", "left_semi"), "sketches")
+    discard(described)
     rank = shared.groupBy("id").agg(F.sum("company").alias("rank"))
     pivots = shared.join(rank, "id").groupBy("s").agg(F.max(F.struct("rank", "id")).alias("p")).select("s", F.col("p.id").alias("pivot"))
     a, b = sketches.alias("x"), sketches.alias("y")
-    first = shared.join(pivots, "s").where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
+    first = shared.join(pivots, "s").where("id <> pivot").groupBy(F.col("id").alias("a"), F.col("pivot").alias("b")).agg(F.count("*").alias("in_common"))
     fits = may_link(F.col("x.n"), F.col("y.n"), F.col("x.sketch"), F.col("y.sketch"), num, den)
-    first = written(first.join(a, F.col("a") == F.col("x.id")).join(b, (F.col("b") == F.col("y.id")) & fits).select("a", "b"), "pairs")
-    texts = rows.where("id is not null").dropDuplicates(["id"]) if _repeats(sets) else rows.where("id is not null")
+    first = first.join(a, F.col("a") == F.col("x.id")).join(b, (F.col("b") == F.col("y.id")) & fits).select("a", "b", "in_common")
+    # One link joins a set to its group: the pivot it has most in common with is tried.
+    first = written(first.groupBy("a").agg(F.max(F.struct("in_common", "b")).alias("best")).select("a", F.col("best.b").alias("b")), "pairs")
+    texts = rows.where("id is not null").dropDuplicates(["id"]) if repeats else rows.where("id is not null")
     links = written(verified(first, texts, n, num, den, kind), "links")
     parts = connected(links)
 

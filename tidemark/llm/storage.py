@@ -22,10 +22,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Paths of the tables that written() has made and nothing has deleted.
+_MADE: set[str] = set()
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: later steps do not recompute it, and losing an executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _MADE.add(path)
     df.write.option("compression", "zstd").parquet(path)
     # Spark deletes the shuffle files of a finished job once the driver collects its garbage; do so before the next job adds to them.
     gc.collect()
@@ -33,10 +38,22 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files behind a frame made by written(), once nothing lazy still reads them."""
-    spark = df.sparkSession
+def made() -> set[str]:
+    """The tables made so far; for release()."""
+    return set(_MADE)
+
+
+def release(spark: SparkSession, paths: set[str]) -> None:
+    """Delete tables made by written(), once nothing lazy still reads them."""
     jvm = spark._jvm
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+    for name in paths & _MADE:
         path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _MADE.discard(name)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the tables behind frames made by written(), once nothing lazy still reads them."""
+    for df in frames:
+        labels = {f.rsplit("/", 2)[-2] for f in df.inputFiles()}
+        release(df.sparkSession, {p for p in _MADE if p.rsplit("/", 1)[-1] in labels})

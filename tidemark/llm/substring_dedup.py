@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 
 from tidemark.llm import kernel
 from tidemark.llm.fm_index import FMIndex
-from tidemark.llm.storage import written
+from tidemark.llm.storage import discard, made, release, written
 
 LENGTH = 35
 GRAM = 8
@@ -218,8 +218,10 @@ def repeated_spans(rows: DataFrame, kind: str, length: int = LENGTH, gram: int =
     same = written(long_enough.groupBy("h1", "h2", "n").agg(F.min(F.struct("id", "t")).alias("rep"), F.count("*").alias("copies")), "copies")
     with_rep = long_enough.join(same, ["h1", "h2", "n"])
     whole = with_rep.where("copies > 1").select("id", "t", F.lit(0).alias("low"), F.col("n").cast("int").alias("high"))
+    whole = written(whole, "whole")
     reps = with_rep.where(F.col("rep.id").eqNullSafe(F.col("id")) & (F.col("rep.t") == F.col("t")))
     places = written(reps.select("id", "t", F.explode(F.arrays_zip("m", "at", "count")).alias("r")).select("id", "t", "r.*"), "places")
+    discard(runs, same)
     # Written, so that the join reads two plain exchanges and a hot minimizer's places can be split over tasks.
     often = written(places.groupBy("m").count().where("count > 1").select("m"), "often")
     chosen = places.join(often, "m").groupBy("id", "t").agg(F.collect_list(F.struct("m", "at", "count")).alias("runs"))
@@ -227,6 +229,7 @@ def repeated_spans(rows: DataFrame, kind: str, length: int = LENGTH, gram: int =
     of_text = rows.join(chosen, F.col("id").eqNullSafe(F.col("id_")) & (F.col("t") == F.col("t_"))).select("id", "t", "text", "runs")
     contexts = written(of_text.mapInArrow(cut_contexts(length), f"id {kind}, t long, m long, at int, count int, x1 long, x2 long, context binary"), "contexts")
 
+    discard(places, often)
     distinct = written(contexts.groupBy("m", "x1", "x2").agg(F.count("*").alias("weight"), F.first("context").alias("context"), F.first("count").alias("count")), "distinct")
     hot = distinct.groupBy("m").agg(F.count("*").alias("variants")).where(F.col("variants") > HOT).select("m")
     n_words = distinct.agg(F.sum(F.col("count") + length - 1)).first()[0] or 0
@@ -247,7 +250,10 @@ def strip_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     """row (struct of all columns), n_words, n_removed, kept of every row."""
     kind = dict(docs.dtypes)[doc_id]
     rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("id"), F.coalesce(F.xxhash64(F.col(text)), F.lit(0).cast("long")).alias("t"), F.col(text).alias("text"))
-    spans = written(repeated_spans(rows.select("id", "t", "text"), kind, length, gram), "spans").select(F.col("id").alias("id_"), F.col("t").alias("t_"), "spans")
+    before = made()
+    spans = written(repeated_spans(rows.select("id", "t", "text"), kind, length, gram), "spans")
+    release(docs.sparkSession, {p for p in made() - before if "/spans-" not in p})
+    spans = spans.select(F.col("id").alias("id_"), F.col("t").alias("t_"), "spans")
     # The text travels once, within row.
     joined = rows.drop("text").join(spans, F.col("id").eqNullSafe(F.col("id_")) & (F.col("t") == F.col("t_")), "left").select("row", F.col("row")[text].alias("text"), "spans")
     return joined.mapInArrow(remove_spans(), T.StructType([T.StructField("row", docs.schema)]).add("n_words", "long").add("n_removed", "long").add("kept", "string"))
