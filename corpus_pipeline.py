@@ -7,26 +7,51 @@ their sources and says so in columns that begin with mix_.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, ngram_join, source_mix, substring_dedup, toxicity
-from tidemark.llm.storage import table, written
+from tidemark.llm.storage import discard, made, release, table, written
 
 #: No SQL: stages hold trained models. Tests hold every stage against a brute-force version.
 ORACLE_SQL = None
 
 
+#: Tables that the stage before made on its way; its result has been written when the next stage starts.
+_LEFT: set[str] = set()
+
+
+def stage(fn: Callable) -> Callable:
+    """Deletes what the stage before left in the shared folder, then runs this one."""
+
+    @wraps(fn)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, _LEFT)
+        _LEFT.clear()
+        before = made()
+        out = fn(spark, docs, sf_dir)
+        _LEFT.update(made() - before)
+        return out
+
+    return run_stage
+
+
+@stage
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the toxicity threshold."""
     return toxicity.drop_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+@stage
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near-duplicates (five-word shingles, Jaccard 0.8) the one with the least id."""
     return ngram_join.keep_one(docs, n=5, similarity=(80, 100))
 
 
+@stage
 def strip_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of 35 words or more that stand elsewhere too."""
     out = substring_dedup.strip_repeats(docs)
@@ -36,11 +61,13 @@ def strip_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     return out.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
+@stage
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of the benchmark."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+@stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     return source_mix.repeat_rows(docs)
@@ -56,8 +83,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written and read again."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+    """All stages over documents; each result is written and read again, and deleted once the next one stands."""
+    docs, last = table(spark, sf_dir, "documents"), None
+    for name, fn in STAGES[:-1]:
+        result = written(fn(spark, docs, sf_dir), name)
+        if last is not None:
+            discard(last)
+        docs = last = result
     return STAGES[-1][1](spark, docs, sf_dir)
