@@ -231,7 +231,7 @@ def repeated_spans(rows: DataFrame, kind: str, length: int = LENGTH, gram: int =
 
     discard(places, often)
     distinct = written(contexts.groupBy("m", "x1", "x2").agg(F.count("*").alias("weight"), F.first("context").alias("context"), F.first("count").alias("count")), "distinct")
-    hot = distinct.groupBy("m").agg(F.count("*").alias("variants")).where(F.col("variants") > HOT).select("m")
+    hot = written(distinct.groupBy("m").agg(F.count("*").alias("variants")).where(F.col("variants") > HOT).select("m"), "hot")
     n_words = distinct.agg(F.sum(F.col("count") + length - 1)).first()[0] or 0
     shards = max(1, -(-n_words // SHARD_WORDS))
     cold = distinct.join(hot, "m", "left_anti").select("x1", "x2", "weight", "context", F.pmod(F.xxhash64("m"), F.lit(shards)).alias("shard"))
