@@ -44,10 +44,10 @@ def ic_summary(monthly: DataFrame) -> DataFrame:
     return out.withColumn("ir", F.try_divide("mean_ic", "std_ic"))
 
 
-def weighted_mean(values: dict[Column, float]) -> Column:
+def weighted_mean(values: list[tuple[Column, float]]) -> Column:
     """Mean of the values that exist, by their weights."""
-    top = sum((F.coalesce(c * w, F.lit(0.0)) for c, w in values.items()), F.lit(0.0))
-    return F.try_divide(top, sum((F.when(c.isNotNull(), w).otherwise(0.0) for c, w in values.items()), F.lit(0.0)))
+    top = sum((F.coalesce(c * w, F.lit(0.0)) for c, w in values), F.lit(0.0))
+    return F.try_divide(top, sum((F.when(c.isNotNull(), w).otherwise(0.0) for c, w in values), F.lit(0.0)))
 
 
 def quantile_bin(df: DataFrame, x: str, bins: int, out: str = "bin") -> DataFrame:
