@@ -8,14 +8,16 @@ differing subparts if n1 * (k2 + 1) > k; for each part every choice of n2 - k2 s
 of the elements in them, so such sets share one. A pair's smaller set lies in the instance's band, the
 larger one there or one band up, so each set signs for two instances.
 
-Signatures over no element would bring unrelated sets together. With E parts more than needed, sets share
-E + 1 parts; a set with at most E parts that have empty choices leaves those signatures out.
+Signatures over few elements would bring unrelated sets together (all that share a passage, or nothing). With E
+parts more than needed, sets share E + 1 parts; a set with at most E parts in which a choice holds fewer than
+`least` elements leaves those signatures out, and E is chosen so that hardly any set has more.
 
 Sets that are equal are joined first, by a 128-bit hash, and one representative goes on. In each group of a
 shared signature all members are compared with one pivot (the member with most company), which joins groups
 of near copies in one round; what stays apart within a group is then compared pair by pair, so no link is
-lost. Before sets are compared, sizes and 2048-bit parity sketches rule out pairs: every differing element
-flips one bit, so more differing bits than k prove the distance. Both tests run inside the joins.
+lost. Before sets are compared, sizes and parity sketches (about two bits an element) rule out pairs: every differing
+element flips one bit, so more differing bits than k prove the distance. Sketches fold to half their length by
+exclusive or; short folds travel with the signatures and are tested inside the join, the long ones with the pairs.
 
 Result: one row per row of the input. Cases: texts without words (null, empty, blank) have an empty set and
 link with nothing; with fewer than n words the whole sequence is one shingle; rows with a null id link with
@@ -39,7 +41,7 @@ from tidemark.llm import kernel
 from tidemark.llm.components import connected
 from tidemark.llm.storage import discard, written
 
-SKETCH_LONGS = 32
+FOLD_LONGS = 16
 
 
 def band_of(size: int, num: int, den: int) -> tuple[int, int, int]:
@@ -52,9 +54,14 @@ def band_of(size: int, num: int, den: int) -> tuple[int, int, int]:
         low, i = nxt, i + 1
 
 
+def below(mean: float, least: int) -> float:
+    """Probability that a Poisson number is below least."""
+    return math.exp(-mean) * sum(mean**j / math.factorial(j) for j in range(least))
+
+
 @lru_cache(maxsize=4096)
-def instance(i: int, num: int, den: int) -> tuple[int, int, int, int, int]:
-    """k, n1, n2, k2 and E of the instance whose smaller sets lie in band i."""
+def instance(i: int, num: int, den: int) -> tuple[int, int, int, int, int, int]:
+    """k, n1, n2, k2, E and least of the instance whose smaller sets lie in band i."""
     low = 1
     for _ in range(i):
         low = low * den // num + 1
@@ -63,16 +70,12 @@ def instance(i: int, num: int, den: int) -> tuple[int, int, int, int, int]:
     k2 = 1 if 100 * num >= 85 * den and k else 0
     n2 = 3 if k2 else 1
     need = k // (k2 + 1) + 1
-    for extra in range(17):
-        n1 = need + extra
-        mean = n1 * math.comb(n2, k2) * math.exp(-low * (n2 - k2) / (n1 * n2))
-        tail, term = 1.0, math.exp(-mean)
-        for j in range(extra + 1):
-            tail -= term
-            term *= mean / (j + 1)
-        if tail < 1e-5:
-            return k, n1, n2, k2, extra
-    return k, need, n2, k2, 0
+    for least in (4, 3, 2, 1):
+        for n1 in range(need, need + need // 3 + 3):
+            poor = n1 * math.comb(n2, k2) * below(low * (n2 - k2) / (n1 * n2), least)
+            if poor + 4.5 * math.sqrt(poor) <= n1 - need + 1e-4:
+                return k, n1, n2, k2, n1 - need, least
+    return k, need, n2, k2, 0, 1
 
 
 def signatures(elements: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -85,7 +88,7 @@ def signatures(elements: np.ndarray, num: int, den: int) -> np.ndarray:
     for i in (band, band - 1):
         if i < 0:
             continue
-        k, n1, n2, k2, spare = instance(i, num, den)
+        k, n1, n2, k2, spare, least = instance(i, num, den)
         if not k:
             continue  # only equal sets can link, and they have been joined
         part = (spread % np.uint64(n1 * n2)).astype(np.int64)
@@ -94,17 +97,17 @@ def signatures(elements: np.ndarray, num: int, den: int) -> np.ndarray:
         count = np.bincount(part, minlength=n1 * n2).reshape(n1, n2)
         total = kernel.mix(total).reshape(n1, n2)
         names = kernel.mix(np.arange(n1, dtype=np.uint64) + np.uint64((i + 1) << 32))
-        empty = []
+        poor = []
         found = []
         for c, choice in enumerate(combinations(range(n2), n2 - k2)):
             h = names + np.uint64(c)
             for j in choice:
                 h = kernel.mix(h * kernel.BASE + total[:, j])
             found.append(h)
-            empty.append(count[:, choice].sum(axis=1) == 0)
-        found, empty = np.concatenate(found), np.stack(empty)
-        if empty.any(axis=0).sum() <= spare:
-            found = found[~empty.ravel()]
+            poor.append(count[:, choice].sum(axis=1) < least)
+        found, poor = np.concatenate(found), np.stack(poor)
+        if poor.any(axis=0).sum() <= spare:
+            found = found[~poor.ravel()]
         out.append(found)
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
@@ -121,6 +124,20 @@ def shingle_sets(words: kernel.Words, n: int) -> Iterator[np.ndarray]:
             yield np.empty(0, np.uint64)
 
 
+def parity_sketch(elements: np.ndarray) -> np.ndarray:
+    """Bits that each element flips one of, as longs; 2 to 4 bits an element, a power of two of FOLD_LONGS at least."""
+    longs = FOLD_LONGS
+    while 64 * longs < 2 * len(elements):
+        longs *= 2
+    bits = np.bincount((elements & np.uint64(64 * longs - 1)).astype(np.int64), minlength=64 * longs) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
+def lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    at = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(arrays) if arrays else [], pa.int64()))
+
+
 def describe(n: int, num: int, den: int):
     """mapInArrow function: id, size, set hash, signatures and sketch of every text."""
 
@@ -134,17 +151,15 @@ def describe(n: int, num: int, den: int):
                     h1.append(kernel.mix(e).sum(dtype=np.uint64).astype(np.int64))
                     h2.append(kernel.mix(e ^ np.uint64(0xDA942042E4DD58B5)).sum(dtype=np.uint64).astype(np.int64))
                     signed.append(signatures(e, num, den).view(np.int64))
-                    bits = np.bincount((e & np.uint64(64 * SKETCH_LONGS - 1)).astype(np.int64), minlength=64 * SKETCH_LONGS) & 1
-                    sketch.append(np.packbits(bits.astype(np.uint8)).view(np.int64))
-                at = np.concatenate([[0], np.cumsum([len(s) for s in signed])]).astype(np.int32)
+                    sketch.append(parity_sketch(e))
                 yield pa.record_batch(
                     [
                         ids.slice(words.rows.start, len(words.rows)),
                         pa.array(size, pa.int64()),
                         pa.array(h1, pa.int64()),
                         pa.array(h2, pa.int64()),
-                        pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(signed))),
-                        pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * SKETCH_LONGS), pa.array(np.concatenate(sketch))),
+                        lists(signed),
+                        lists(sketch),
                     ],
                     names=["id", "n", "h1", "h2", "signatures", "sketch"],
                 )
@@ -179,11 +194,34 @@ def compare(n: int, num: int, den: int):
     return run
 
 
-def may_link(n_a: Column, n_b: Column, sketch_a: Column, sketch_b: Column, num: int, den: int) -> Column:
-    """Whether sizes and sketches allow the similarity."""
-    sizes = (F.least(n_a, n_b) * den >= F.greatest(n_a, n_b) * num) & (F.least(n_a, n_b) > 0)
-    bits = sum((F.bit_count(F.get(sketch_a, F.lit(i)).bitwiseXOR(F.get(sketch_b, F.lit(i)))) for i in range(SKETCH_LONGS)), F.lit(0))
-    return sizes & (bits * (num + den) <= (n_a + n_b) * (den - num))
+def sizes_fit(n_a: Column, n_b: Column, num: int, den: int) -> Column:
+    return (F.least(n_a, n_b) * den >= F.greatest(n_a, n_b) * num) & (F.least(n_a, n_b) > 0)
+
+
+def within(bits: Column, n_a: Column, n_b: Column, num: int, den: int) -> Column:
+    """Whether so many differing bits leave the similarity possible."""
+    return bits * (num + den) <= (n_a + n_b) * (den - num)
+
+
+def fold(sketch: Column, longs: int = FOLD_LONGS) -> Column:
+    """The sketch at a shorter length."""
+    at = lambda i: F.aggregate(F.sequence(F.lit(i), F.size(sketch) - 1, F.lit(longs)), F.lit(0).cast("long"), lambda a, j: a.bitwiseXOR(F.get(sketch, j)))
+    return F.array(*[at(i) for i in range(longs)])
+
+
+def differing(a: Column, b: Column) -> Column:
+    """Differing bits of two sketches, the longer one folded to the shorter (at most once)."""
+    m = F.least(F.size(a), F.size(b))
+    part = lambda x, i: F.get(x, i).bitwiseXOR(F.coalesce(F.get(x, i + m), F.lit(0).cast("long")))
+    return F.aggregate(F.sequence(F.lit(0), m - 1), F.lit(0), lambda n, i: n + F.bit_count(part(a, i).bitwiseXOR(part(b, i))))
+
+
+def plausible(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b, ...) that sizes and whole sketches leave possible."""
+    side = lambda c: sketches.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
+    n_a, n_b = F.col("n_a"), F.col("n_b")
+    near = sizes_fit(n_a, n_b, num, den) & within(differing(F.col("sketch_a"), F.col("sketch_b")), n_a, n_b, num, den)
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(near).select(*pairs.columns)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int, kind: str) -> DataFrame:
@@ -213,10 +251,8 @@ def near_duplicates(docs: DataFrame, n: int, similarity: tuple[int, int], doc_id
     discard(described)
     rank = shared.groupBy("id").agg(F.sum("company").alias("rank"))
     pivots = shared.join(rank, "id").groupBy("s").agg(F.max(F.struct("rank", "id")).alias("p")).select("s", F.col("p.id").alias("pivot"))
-    a, b = sketches.alias("x"), sketches.alias("y")
     first = shared.join(pivots, "s").where("id <> pivot").groupBy(F.col("id").alias("a"), F.col("pivot").alias("b")).agg(F.count("*").alias("in_common"))
-    fits = may_link(F.col("x.n"), F.col("y.n"), F.col("x.sketch"), F.col("y.sketch"), num, den)
-    first = first.join(a, F.col("a") == F.col("x.id")).join(b, (F.col("b") == F.col("y.id")) & fits).select("a", "b", "in_common")
+    first = plausible(first, sketches, num, den)
     # One link joins a set to its group: the pivot it has most in common with is tried.
     first = written(first.groupBy("a").agg(F.max(F.struct("in_common", "b")).alias("best")).select("a", F.col("best.b").alias("b")), "pairs")
     texts = rows.where("id is not null").dropDuplicates(["id"]) if repeats else rows.where("id is not null")
@@ -227,12 +263,17 @@ def near_duplicates(docs: DataFrame, n: int, similarity: tuple[int, int], doc_id
     of = shared.select("id", "s").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
     by_s = Window.partitionBy("s")
     of = of.withColumn("apart", F.min("component").over(by_s) < F.max("component").over(by_s)).where("apart").select("id", "s", "component")
-    of = written(of.join(sketches, "id"), "apart")
+    folded = sketches.select("id", "n", fold(F.col("sketch")).alias("fold"))
+    of = written(of.join(folded, "id"), "apart")
     a, b = of.alias("x"), of.alias("y")
+    bits = sum((F.bit_count(F.get("x.fold", F.lit(i)).bitwiseXOR(F.get("y.fold", F.lit(i)))) for i in range(FOLD_LONGS)), F.lit(0))
+    n_a, n_b = F.col("x.n"), F.col("y.n")
+    fits = sizes_fit(n_a, n_b, num, den) & within(bits, n_a, n_b, num, den)
     on = (F.col("x.s") == F.col("y.s")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & fits
     rest = a.join(b, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = written(rest.join(tried, ["a", "b"], "left_anti"), "pairs")
+    rest = written(plausible(rest.join(tried, ["a", "b"], "left_anti"), sketches, num, den), "pairs")
+    discard(of)
     if rest.limit(1).count():
         more = written(verified(rest, texts, n, num, den, kind), "links")
         if more.limit(1).count():
