@@ -1,3 +1,3 @@
 """All queries; importing this package fills the registry."""
 
-from tidemark.queries import backtests, panels, research, studies, windows  # noqa: F401
+from tidemark.queries import backtests, panels, remainder, research, studies, windows  # noqa: F401
