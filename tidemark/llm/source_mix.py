@@ -39,6 +39,11 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def mark_of(text: Column) -> Column:
+    """What tells texts of rows with one id apart."""
+    return F.coalesce(F.xxhash64(text), F.lit(0).cast("long"))
+
+
 def source_targets(sources: DataFrame, weights: tuple = WEIGHTS, total_share: float = TOTAL_SHARE, cap: float = CAP) -> DataFrame:
     """Adds target to rows (source, source_size, n_docs), one per source."""
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
@@ -75,12 +80,12 @@ def round_group(rows: pa.Table) -> pa.Table:
         times = min(most, max(0, int((due - used) / size + 0.5))) if size else 0
         used += times * size
         copies.append(times)
-    return rows.append_column("copies", pa.array(copies, pa.int64())).select(["doc_id", "source", "size", "source_size", "target", "rate", "copies"])
+    return rows.append_column("copies", pa.array(copies, pa.int64())).select(["doc_id", "source", "mark", "size", "source_size", "target", "rate", "copies"])
 
 
 def balance(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple = WEIGHTS, total_share: float = TOTAL_SHARE, cap: int = CAP) -> DataFrame:
-    """doc_id, source, size, source_size, target, rate and copies of every row."""
-    sizes = written(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size_of(F.col(text)).alias("size")), "sizes")
+    """doc_id, source, mark (hash of the text), size, source_size, target, rate and copies of every row."""
+    sizes = written(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size_of(F.col(text)).alias("size"), mark_of(F.col(text)).alias("mark")), "sizes")
     sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     tilted = source_targets(sources, weights, total_share, cap)
     tilted = tilted.withColumn("rate", F.least(F.lit(float(cap)), F.exp(multiplier(F.col("source_size"), F.col("target")))))
@@ -88,12 +93,12 @@ def balance(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
     rows = sizes.join(written(tilted, "targets"), sizes["source"].eqNullSafe(F.col("of")))
     groups = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / GROUP_DOCS))
     rows = rows.select(
-        "doc_id", "source", "size", "source_size", "target", "rate",
+        "doc_id", "source", "mark", "size", "source_size", "target", "rate",
         F.lit(int(cap)).alias("cap"),
-        F.xxhash64("doc_id", F.lit("copies")).alias("spread"),
-        F.pmod(F.xxhash64("doc_id", "size"), groups).alias("part"),
+        F.xxhash64("doc_id", "mark", F.lit("copies")).alias("spread"),
+        F.pmod(F.xxhash64("doc_id", "mark"), groups).alias("part"),
     )
-    kinds = f"doc_id {dict(sizes.dtypes)['doc_id']}, source {dict(sizes.dtypes)['source']}, size long, source_size long, target double, rate double, copies long"
+    kinds = f"doc_id {dict(sizes.dtypes)['doc_id']}, source {dict(sizes.dtypes)['source']}, mark long, size long, source_size long, target double, rate double, copies long"
     return rows.groupBy("source", "part").applyInArrow(round_group, kinds)
 
 
@@ -102,11 +107,10 @@ def repeat_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
 
     Rows that agree in id, source and text share their copies evenly.
     """
-    mark = F.coalesce(F.xxhash64(F.col(text)), F.lit(0).cast("long"))
-    marked = docs.select(F.struct(F.col(doc_id).alias("id"), mark.alias("mark")).alias("key"), F.col(text).alias("text"), F.col(source).alias("source"))
-    taken = balance(marked, "key", "text", "source", **options)
-    taken = taken.groupBy("doc_id", "source", "size", "source_size", "target").agg(F.floor(F.avg("copies")).alias("copies")).where("copies > 0")
-    taken = taken.select(F.col("doc_id.id").alias("id_"), F.col("doc_id.mark").alias("mark_"), F.col("source").alias("source_"), F.col("size").alias("size_"), F.col("source_size").alias("source_size_"), F.col("target").alias("target_"), F.col("copies").alias("copies_"))
-    on = F.col(doc_id).eqNullSafe(F.col("id_")) & (mark == F.col("mark_")) & F.col(source).eqNullSafe(F.col("source_"))
-    rows = docs.join(taken, on).select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("copies_").cast("int"))).alias("mix_copy"), F.col("size_").alias("mix_size"), F.col("source_size_").alias("mix_source_size"), F.col("target_").alias("mix_target"))
-    return rows
+    taken = balance(docs, doc_id, text, source, **options)
+    taken = taken.groupBy("doc_id", "source", "mark", "size", "source_size", "target").agg(F.floor(F.avg("copies")).alias("copies")).where("copies > 0")
+    taken = taken.select(*[F.col(c).alias(f"{c}_of_mix") for c in taken.columns])
+    on = F.col(doc_id).eqNullSafe(F.col("doc_id_of_mix")) & (mark_of(F.col(text)) == F.col("mark_of_mix")) & F.col(source).eqNullSafe(F.col("source_of_mix"))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    figures = [F.col(f"{c}_of_mix").alias(f"mix_{c}") for c in ("size", "source_size", "target")]
+    return docs.join(taken, on).select(*own, F.explode(F.sequence(F.lit(1), F.col("copies_of_mix").cast("int"))).alias("mix_copy"), *figures)
