@@ -2,7 +2,7 @@
 
 A word is a maximal run of bytes other than ASCII white space (0x20, 0x09-0x0D).
 Words are turned into 64-bit hashes straight from the column's byte buffer, so no
-Python object is made per word. Columns are worked through in slices of a few MB of
+Python object is made per word. Columns are worked through in slices of about a MB of
 text to bound memory; a single longer text is one slice.
 """
 
@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
@@ -105,7 +105,7 @@ def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 def slices(column: pa.Array, lower: bool = False, is_word: np.ndarray = IS_WORD) -> Iterator[Words]:
-    """The words of a column of texts, a few MB of text at a time."""
+    """The words of a column of texts, about a MB of text at a time."""
     column = plain(column)
     n = len(column)
     if not n:
