@@ -6,7 +6,9 @@ inputs (the whole window unless stated), else null.
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -16,6 +18,20 @@ def series(key: str | list[str] = "symbol", order: str = "ts") -> WindowSpec:
     return Window.partitionBy(*([key] if isinstance(key, str) else key)).orderBy(order)
 
 
+def windowed(fn: Callable) -> Callable:
+    """fn with w = series() where no window is given; windows need a session, so there is none at import."""
+    names = list(inspect.signature(fn).parameters)
+    at = names.index("w")
+
+    @wraps(fn)
+    def call(*args, **kwargs):
+        if len(args) <= at and kwargs.get("w") is None:
+            kwargs["w"] = series()
+        return fn(*args, **kwargs)
+
+    return call
+
+
 def roll(w: WindowSpec, n: int) -> WindowSpec:
     return w.rowsBetween(-(n - 1), 0)
 

@@ -8,35 +8,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-from tidemark.functions.rolling import ahead, change, cum, full, past, roll, series
+from tidemark.functions.rolling import ahead, change, cum, full, past, roll, series, windowed
 from tidemark.operators.folds import ewm
 
-W = series()
 
 
-def zscore(df: DataFrame, x: str, n: int, out: str, w: WindowSpec = W) -> DataFrame:
+def __getattr__(name: str) -> WindowSpec:
+    """W, the window of a bar table; made on use, as it needs a session."""
+    if name == "W":
+        return series()
+    raise AttributeError(name)
+
+
+@windowed
+def zscore(df: DataFrame, x: str, n: int, out: str, w: WindowSpec | None = None) -> DataFrame:
     return df.withColumn(out, F.try_divide(F.col(x) - full(F.avg, x, n, w), full(F.stddev_samp, x, n, w)))
 
 
-def momentum(df: DataFrame, k: int, out: str, x: str = "close", w: WindowSpec = W) -> DataFrame:
+@windowed
+def momentum(df: DataFrame, k: int, out: str, x: str = "close", w: WindowSpec | None = None) -> DataFrame:
     return df.withColumn(out, change(x, k, w))
 
 
-def reversal(df: DataFrame, k: int, out: str, x: str = "close", w: WindowSpec = W) -> DataFrame:
+@windowed
+def reversal(df: DataFrame, k: int, out: str, x: str = "close", w: WindowSpec | None = None) -> DataFrame:
     return df.withColumn(out, -change(x, k, w))
 
 
-def volume_price_trend(df: DataFrame, n: int, out: str, w: WindowSpec = W) -> DataFrame:
+@windowed
+def volume_price_trend(df: DataFrame, n: int, out: str, w: WindowSpec | None = None) -> DataFrame:
     df = zscore(df.withColumn("_ret", change("close", 1, w)), "volume", n, "_volume_z", w)
     return df.withColumn(out, full(F.sum, "_ret", n, w) * F.col("_volume_z")).drop("_ret", "_volume_z")
 
 
-def range_position(df: DataFrame, n: int, out: str, w: WindowSpec = W) -> DataFrame:
+@windowed
+def range_position(df: DataFrame, n: int, out: str, w: WindowSpec | None = None) -> DataFrame:
     low = full(F.min, "low", n, w)
     return df.withColumn(out, F.try_divide(F.col("close") - low, full(F.max, "high", n, w) - low) - 0.5)
 
 
-def rsi(df: DataFrame, n: int, out: str, w: WindowSpec = W, move: str = "return") -> DataFrame:
+@windowed
+def rsi(df: DataFrame, n: int, out: str, w: WindowSpec | None = None, move: str = "return") -> DataFrame:
     """Simple-mean RSI of returns or of price differences; without losses it is 100, without any move null."""
     step = change("close", 1, w) if move == "return" else F.col("close") - F.lag("close").over(w)
     df = df.withColumn("_r", step)
@@ -47,12 +59,14 @@ def rsi(df: DataFrame, n: int, out: str, w: WindowSpec = W, move: str = "return"
     return df.withColumn(out, value).drop("_r", "_gain", "_loss")
 
 
-def volatility(df: DataFrame, n: int, out: str, w: WindowSpec = W) -> DataFrame:
+@windowed
+def volatility(df: DataFrame, n: int, out: str, w: WindowSpec | None = None) -> DataFrame:
     df = df.withColumn("_ret", change("close", 1, w))
     return df.withColumn(out, full(F.stddev_samp, "_ret", n, w)).drop("_ret")
 
 
-def autocorrelation(df: DataFrame, n: int, out: str, w: WindowSpec = W) -> DataFrame:
+@windowed
+def autocorrelation(df: DataFrame, n: int, out: str, w: WindowSpec | None = None) -> DataFrame:
     df = df.withColumn("_ret", change("close", 1, w))
     df = df.withColumn("_before", F.lag("_ret").over(w))
     both = F.when(F.col("_ret").isNotNull() & F.col("_before").isNotNull(), 1)
@@ -60,16 +74,19 @@ def autocorrelation(df: DataFrame, n: int, out: str, w: WindowSpec = W) -> DataF
     return df.withColumn(out, value).drop("_ret", "_before")
 
 
-def bollinger_position(df: DataFrame, n: int, out: str, n_std: float = 2.0, w: WindowSpec = W) -> DataFrame:
+@windowed
+def bollinger_position(df: DataFrame, n: int, out: str, n_std: float = 2.0, w: WindowSpec | None = None) -> DataFrame:
     mid, std = full(F.avg, "close", n, w), full(F.stddev_samp, "close", n, w)
     return df.withColumn(out, F.try_divide(F.col("close") - (mid - n_std * std), 2 * n_std * std))
 
 
-def distance_from_ma(df: DataFrame, n: int, out: str, w: WindowSpec = W) -> DataFrame:
+@windowed
+def distance_from_ma(df: DataFrame, n: int, out: str, w: WindowSpec | None = None) -> DataFrame:
     return df.withColumn(out, F.try_divide(F.col("close"), full(F.avg, "close", n, w)) - 1)
 
 
-def money_flow(df: DataFrame, n: int, out: str, w: WindowSpec = W) -> DataFrame:
+@windowed
+def money_flow(df: DataFrame, n: int, out: str, w: WindowSpec | None = None) -> DataFrame:
     df = df.withColumn("_tp", (F.col("high") + F.col("low") + F.col("close")) / 3.0)
     df = df.withColumn("_before", F.lag("_tp").over(w)).withColumn("_flow", F.col("_tp") * F.col("volume"))
     up = F.when(F.col("_tp") > F.col("_before"), F.col("_flow")).otherwise(0.0)
@@ -78,7 +95,8 @@ def money_flow(df: DataFrame, n: int, out: str, w: WindowSpec = W) -> DataFrame:
     return df.withColumn(out, 100 - F.try_divide(F.lit(100.0), 1 + ratio)).drop("_tp", "_before", "_flow")
 
 
-def stochastic(df: DataFrame, x: str, n: int, out: str, w: WindowSpec = W) -> DataFrame:
+@windowed
+def stochastic(df: DataFrame, x: str, n: int, out: str, w: WindowSpec | None = None) -> DataFrame:
     low, high = full(F.min, x, n, w), full(F.max, x, n, w)
     return df.withColumn(out, F.try_divide(F.col(x) - low, high - low) * 100)
 
@@ -97,12 +115,14 @@ def schaff_trend_cycle(df: DataFrame, out: str, cycle: int = 10, key: str = "sym
     return df.drop("_fast", "_slow", "_macd", "_k1", "_p1", "_k2")
 
 
-def true_range(df: DataFrame, out: str, w: WindowSpec = W) -> DataFrame:
+@windowed
+def true_range(df: DataFrame, out: str, w: WindowSpec | None = None) -> DataFrame:
     before = F.lag("close").over(w)
     return df.withColumn(out, F.greatest(F.abs(F.col("high") - F.col("low")), F.abs(F.col("high") - before), F.abs(F.col("low") - before)))
 
 
-def average_true_range(df: DataFrame, n: int, out: str, w: WindowSpec = W) -> DataFrame:
+@windowed
+def average_true_range(df: DataFrame, n: int, out: str, w: WindowSpec | None = None) -> DataFrame:
     df = true_range(df, "_tr", w)
     return df.withColumn(out, full(F.avg, "_tr", n, w, min_count=max(5, n // 4))).drop("_tr")
 
@@ -121,17 +141,20 @@ def directional_movement(df: DataFrame, n: int = 14, key: str = "symbol", order:
     return ewm(df, {"adx": ("_dx", how)}, key, order).drop("_up", "_down", "_tr", "_plus", "_minus", "_atr", "_plus_s", "_minus_s", "_dx")
 
 
-def on_balance_volume(df: DataFrame, out: str, w: WindowSpec = W) -> DataFrame:
+@windowed
+def on_balance_volume(df: DataFrame, out: str, w: WindowSpec | None = None) -> DataFrame:
     df = df.withColumn("_sign", F.coalesce(F.signum(F.col("close") - F.lag("close").over(w)), F.lit(0.0)))
     return df.withColumn(out, F.sum(F.col("_sign") * F.col("volume")).over(cum(w))).drop("_sign")
 
 
-def rolling_correlation(df: DataFrame, x: str, y: str, n: int, out: str, w: WindowSpec = W) -> DataFrame:
+@windowed
+def rolling_correlation(df: DataFrame, x: str, y: str, n: int, out: str, w: WindowSpec | None = None) -> DataFrame:
     both = F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), 1)
     return df.withColumn(out, F.when(F.count(both).over(roll(w, n)) == n, F.corr(x, y).over(roll(w, n))))
 
 
-def past_quantiles(df: DataFrame, x: str, n: int, levels: dict[str, float], min_count: int, w: WindowSpec = W) -> DataFrame:
+@windowed
+def past_quantiles(df: DataFrame, x: str, n: int, levels: dict[str, float], min_count: int, w: WindowSpec | None = None) -> DataFrame:
     """Quantiles of the n rows before each row, null with fewer than min_count values there."""
     frame = past(w, n)
     enough = F.count(x).over(frame) >= min_count

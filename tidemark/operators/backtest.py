@@ -9,12 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tidemark.functions.rolling import change, cum, first_turn, full, past, series
+from tidemark.functions.rolling import change, cum, first_turn, full, past, series, windowed
 
-W = series()
 
 
-def ma_signal(df: DataFrame, fast: int, slow: int, long_only: bool = False, w: WindowSpec = W) -> DataFrame:
+@windowed
+def ma_signal(df: DataFrame, fast: int, slow: int, long_only: bool = False, w: WindowSpec | None = None) -> DataFrame:
     """ret, ma_fast, ma_slow, signal (0 until the slow mean exists), position (signal one bar later)."""
     df = df.withColumns({"ret": change("close", 1, w), "ma_fast": full(F.avg, "close", fast, w), "ma_slow": full(F.avg, "close", slow, w)})
     below = 0.0 if long_only else -1.0
@@ -23,7 +23,8 @@ def ma_signal(df: DataFrame, fast: int, slow: int, long_only: bool = False, w: W
     return df.withColumn("position", F.coalesce(F.lag("signal").over(w), F.lit(0.0)))
 
 
-def backtest_signal(df: DataFrame, fee_bps: float | Column = 2.0, w: WindowSpec = W) -> DataFrame:
+@windowed
+def backtest_signal(df: DataFrame, fee_bps: float | Column = 2.0, w: WindowSpec | None = None) -> DataFrame:
     """turnover, cost, strategy_ret, and additive equity and buy_hold."""
     df = df.withColumn("turnover", first_turn("position", w))
     df = df.withColumn("cost", F.col("turnover") * fee_bps / 10_000)
@@ -44,7 +45,8 @@ def performance_summary(df: DataFrame, keys: list[str], order: str = "ts", perio
     return out.withColumn("total_return", F.col("last") - 1).withColumn("sharpe", F.when(F.col("annual_vol") > 0, F.try_divide("annual_return", "annual_vol")))
 
 
-def monetise(df: DataFrame, factor: str, target: str, n: int, high: float = 0.8, low: float = 0.2, fee_bps: float = 2.0, direction: int = 1, w: WindowSpec = W) -> DataFrame:
+@windowed
+def monetise(df: DataFrame, factor: str, target: str, n: int, high: float = 0.8, low: float = 0.2, fee_bps: float = 2.0, direction: int = 1, w: WindowSpec | None = None) -> DataFrame:
     """Long above the past high quantile of a factor, short below the low one; the position earns the target of its own row."""
     df = df.withColumn("factor", F.col(factor) * direction)
     frame = past(w, n)

@@ -181,7 +181,7 @@ def johansen(df: DataFrame, keys: list[str], order: str, most_lags: int = 8) ->
         rows = rows.sort_by([(order, "ascending")])
         level = np.log(np.stack([rows.column("y").to_numpy(), rows.column("x").to_numpy()], axis=1))
         diff = np.diff(level, axis=0)
-        aic, bic, coef = var_order(diff, most_lags)
+        aic, bic, coef = var_order(diff, max(1, min(most_lags, len(diff) // 10)))  # ten rows a lag at least
         p = max(1, aic)
         companion = np.zeros((2 * p, 2 * p))
         companion[:2] = coef[1:].T

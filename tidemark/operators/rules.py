@@ -32,8 +32,11 @@ def default_long(buy: Column | float, sell: Column | float) -> Rule:
 
 
 def continuous(cold: Column | float, hot: Column | float) -> Rule:
-    cold_ = cold if isinstance(cold, Column) else F.lit(float(cold))
-    return lambda z: F.when(z > hot, 0.0).when(z <= cold, F.least(F.greatest((-z - F.abs(cold_)) / 2, F.lit(0.0)), F.lit(1.0)))
+    def rule(z: Column) -> Column:
+        edge = cold if isinstance(cold, Column) else F.lit(float(cold))
+        return F.when(z > hot, 0.0).when(z <= edge, F.least(F.greatest((-z - F.abs(edge)) / 2, F.lit(0.0)), F.lit(1.0)))
+
+    return rule
 
 
 def both_to_enter(buy: Column | float, sell: Column | float) -> Rule:

@@ -1,7 +1,8 @@
 """Registry of queries: a function of (spark, sf_dir), the DuckDB SQL for the same rows, and the result's shape.
 
 Shape: key columns are passed through (as text where marked with !, for dates), value columns are doubles rounded to a number of digits on both
-sides, so that the last bits of floating-point sums do not matter.
+sides (below 0: to single precision, for means of decimals, which can sit on a half), so that the last bits
+of floating-point sums do not matter.
 """
 
 from __future__ import annotations
@@ -47,6 +48,8 @@ class Query:
         if not self.keys and not self.values:
             return out
         keys = [F.col(k[:-1]).cast("string").alias(k[:-1]) if k.endswith("!") else F.col(k) for k in self.keys]
+        if self.digits < 0:
+            return out.select(*keys, *[F.col(v).cast("float").cast("double").alias(v) for v in self.values])
         return out.select(*keys, *[(F.round(F.col(v).cast("double"), self.digits) + 0.0).alias(v) for v in self.values])
 
     def oracle(self) -> str | None:
@@ -62,7 +65,11 @@ class Query:
             parts.append(body[m.end() : at].rstrip())
             body = body[at:]
         keys = [f"CAST({k[:-1]} AS VARCHAR) AS {k[:-1]}" if k.endswith("!") else k for k in self.keys]
-        columns = ", ".join([*keys, *[f"round(CAST({v} AS DOUBLE), {self.digits}) + 0.0 AS {v}" for v in self.values]]) or "*"
+        if self.digits < 0:
+            shown = [f"CAST(CAST({v} AS FLOAT) AS DOUBLE) AS {v}" for v in self.values]
+        else:
+            shown = [f"round(CAST({v} AS DOUBLE), {self.digits}) + 0.0 AS {v}" for v in self.values]
+        columns = ", ".join([*keys, *shown]) or "*"
         head = f"WITH {recursive}{', '.join(parts)}\n" if parts else ""
         return f"{head}SELECT {columns} FROM ({body}) AS result"
 

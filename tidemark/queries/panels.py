@@ -38,8 +38,8 @@ def s08(spark, d):
 
 source("s09_trading_calendar", lambda s, d: T.calendar(s, d), "SELECT date FROM v4", "date!")
 source("s10_constituents", lambda s, d: T.members(s, d), "SELECT * FROM v6", "symbol in_date! out_date!")
-source("s11_index", lambda s, d: T.index_level(s, d), "SELECT * FROM v5", "date!", "close", 9)
-source("s12_prices_long", lambda s, d: T.prices(s, d), "SELECT * FROM v3", "date! symbol", "close", 9)
+source("s11_index", lambda s, d: T.index_level(s, d), "SELECT * FROM v5", "date!", "close", -1)
+source("s12_prices_long", lambda s, d: T.prices(s, d), "SELECT * FROM v3", "date! symbol", "close", -1)
 source("s13_market_bundle", lambda s, d: T.calendar(s, d).agg(F.count("*").alias("n_dates")).crossJoin(T.prices(s, d).agg(F.count("*").alias("n_prices"), F.count_distinct("symbol").alias("n_symbols"))).crossJoin(T.members(s, d).agg(F.count("*").alias("n_spells"))),
        "SELECT (SELECT count(*) FROM v4) AS n_dates, (SELECT count(*) FROM v3) AS n_prices, (SELECT count(DISTINCT symbol) FROM v3) AS n_symbols, (SELECT count(*) FROM v6) AS n_spells", "n_dates n_prices n_symbols n_spells")
 source("s17_labelled_table", lambda s, d: T.labelled(s, d), "SELECT * FROM v7", "doc_id lang source n_chars quality toxic")
@@ -106,15 +106,15 @@ simple("p20_regime", lambda b: X.zscore(b, "close", 20, "z").withColumn("regime"
 source("p21_enrich", lambda s, d: (lambda t: t.crossJoin(F.broadcast(t.agg(F.max("n_chars").alias("mx"), F.avg("n_chars").alias("mean")))).select("doc_id", F.bround(F.col("n_chars") / F.greatest("mx", F.lit(1)) * 0.3 + F.col("quality") * 0.7, 3).alias("x"), F.bround(F.col("n_chars") / F.greatest("mean", F.lit(1.0)), 3).alias("y")))(T.labelled(s, d)),
        "SELECT doc_id, round_even(n_chars / greatest((SELECT max(n_chars) FROM v7), 1) * 0.3 + quality * 0.7, 3) AS x, round_even(n_chars / greatest((SELECT avg(n_chars) FROM v7), 1), 3) AS y FROM v7", "doc_id", "x y", 3)
 source("p22_ordinal", lambda s, d: T.labelled(s, d).select("doc_id", C.ordinal(F.col("lang"), ("en", "de", "fr")).cast("long").alias("x")), "SELECT doc_id, CAST(CASE lang WHEN 'en' THEN 1 WHEN 'de' THEN 2 WHEN 'fr' THEN 3 ELSE 1 END AS BIGINT) AS x FROM v7", "doc_id x")
-source("p24_residual", lambda s, d: T.pair(s, d).select("date", (F.col("y") - 1000 - 0.5 * F.col("x")).alias("e")), "SELECT date, y - 1000 - 0.5 * x AS e FROM v2", "date!", "e", 8)
-source("p25_zscore", lambda s, d: T.pair(s, d).select("date", ((F.col("y") - 1000 - 0.5 * F.col("x") - 10) / 500).alias("z")), "SELECT date, (y - 1000 - 0.5 * x - 10) / 500 AS z FROM v2", "date!", "z", 8)
+source("p24_residual", lambda s, d: T.pair(s, d).select("date", (F.col("y") - 1000 - 0.5 * F.col("x")).alias("e")), "SELECT date, y - 1000 - 0.5 * x AS e FROM v2", "date!", "e", -1)
+source("p25_zscore", lambda s, d: T.pair(s, d).select("date", ((F.col("y") - 1000 - 0.5 * F.col("x") - 10) / 500).alias("z")), "SELECT date, (y - 1000 - 0.5 * x - 10) / 500 AS z FROM v2", "date!", "z", -1)
 source("x06_slug", lambda s, d: T.table(s, d, "part").select("p_partkey", C.slug(F.concat("p_brand", F.lit(" / Size #"), F.col("p_partkey").cast("string"), F.lit("!!"))).alias("slug")), "SELECT p_partkey, trim(regexp_replace(lower(p_brand || ' / Size #' || p_partkey || '!!'), '[^a-z0-9]+', '_', 'g'), '_') AS slug FROM part", "p_partkey slug")
 
 # --- joins and sets ----------------------------------------------------------------------------------------
 
 simple("j01_pair_panel", lambda b: J.pair_panel(b.where("symbol = 'click'").withColumn("k", F.lit("p")).withColumnRenamed("ts", "date"), b.where("symbol = 'view'").withColumn("k", F.lit("p")).withColumnRenamed("ts", "date"), "k"),
        "SELECT 'p' AS k, y.ts AS date, y.close AS y, x.close AS x, y.close / NULLIF(lag(y.close) OVER (ORDER BY y.ts), 0) - 1 AS y_ret, x.close / NULLIF(lag(x.close) OVER (ORDER BY y.ts), 0) - 1 AS x_ret FROM v1 y JOIN v1 x ON y.ts = x.ts WHERE y.symbol = 'click' AND x.symbol = 'view' QUALIFY count(*) OVER () >= 252", "y x y_ret x_ret", "k date")
-source("j02_left_index", lambda s, d: T.pair(s, d).join(T.index_level(s, d).withColumn("ln", F.log("close")), "date", "left"), "SELECT v2.date, y, ln(v5.close) AS ln FROM v2 LEFT JOIN v5 ON v2.date = v5.date", "date!", "y ln", 8)
+source("j02_left_index", lambda s, d: T.pair(s, d).join(T.index_level(s, d).withColumn("ln", F.log("close")), "date", "left"), "SELECT v2.date, y, ln(v5.close) AS ln FROM v2 LEFT JOIN v5 ON v2.date = v5.date", "date!", "y ln", -1)
 source("j03_split_labels", lambda s, d: (lambda t: t.join(B.split_rows(t.withColumn("k", F.lit(1)), ["k"], "date").select("date", "split"), "date"))(T.pair(s, d)), "SELECT date, CASE WHEN rn < floor(n * 6 / 10) THEN 'train' WHEN rn < floor(n * 8 / 10) THEN 'valid' ELSE 'test' END AS split FROM (SELECT date, row_number() OVER (ORDER BY date) - 1 AS rn, count(*) OVER () AS n FROM v2)", "date! split")
 simple("j05_alpha_matrix", lambda b: b.where("symbol in ('click', 'view', 'signup')").groupBy("ts").pivot("symbol", ["click", "view", "signup"]).agg(F.first("close")).na.drop(), "SELECT a.ts, a.close AS click, b.close AS view, c.close AS signup FROM v1 a JOIN v1 b ON a.ts = b.ts JOIN v1 c ON a.ts = c.ts WHERE a.symbol = 'click' AND b.symbol = 'view' AND c.symbol = 'signup'", "click view signup", "ts")
 simple("j04_dual_signal", lambda b: b.where("symbol = 'click'").select("ts", F.col("close").alias("a")).join(b.where("symbol = 'view'").select("ts", F.col("close").alias("b")), "ts").na.drop(), "SELECT x.ts, x.close AS a, y.close AS b FROM v1 x JOIN v1 y ON x.ts = y.ts WHERE x.symbol = 'click' AND y.symbol = 'view'", "a b", "ts")
@@ -134,10 +134,10 @@ def panel(s, d, n: int = 20) -> DataFrame:
 PANEL = f"""grid AS (SELECT c.date, s.symbol, p.close FROM v4 c CROSS JOIN (SELECT DISTINCT symbol FROM v3) s LEFT JOIN v3 p ON p.date = c.date AND p.symbol = s.symbol),
     counted AS (SELECT *, count(close) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS seen FROM grid), inside AS ({SPELLS}),
     pan AS (SELECT g.date, g.symbol, g.close, (g.close IS NOT NULL AND seen >= 10 AND i.symbol IS NOT NULL) AS valid FROM counted g LEFT JOIN inside i ON i.date = g.date AND i.symbol = g.symbol)"""
-source("j08_calendar_reindex", lambda s, d: panel(s, d).withColumn("valid", F.col("valid").cast("long")), f"WITH {PANEL} SELECT date, symbol, close, CAST(valid AS BIGINT) AS valid FROM pan", "date! symbol valid", "close", 9)
+source("j08_calendar_reindex", lambda s, d: panel(s, d).withColumn("valid", F.col("valid").cast("long")), f"WITH {PANEL} SELECT date, symbol, close, CAST(valid AS BIGINT) AS valid FROM pan", "date! symbol valid", "close", -1)
 simple("j09_semi_join", lambda b: b.join(b.where("symbol = 'click'").select("ts"), "ts", "left_semi").groupBy("symbol").agg(F.count("*").alias("n")), "SELECT symbol, count(*) AS n FROM v1 WHERE ts IN (SELECT ts FROM v1 WHERE symbol = 'click') GROUP BY symbol", "", "symbol n")
 simple("j10_missing_bars", lambda b: J.missing_bars(b), "SELECT symbol, ts FROM (SELECT symbol, unnest(generate_series(min(ts), max(ts), INTERVAL 1 HOUR)) AS ts FROM v1 GROUP BY symbol) g ANTI JOIN v1 USING (symbol, ts)", "")
-source("j11_as_of", lambda s, d: (lambda p: J.last_known(p.withColumn("k", F.lit(1)), p.where(F.dayofmonth("date") <= 2).select(F.lit(1).alias("k"), "date", F.col("y").alias("beta")), ["k"], "date", ["beta"]))(T.pair(s, d)), "SELECT a.date, b.y AS beta FROM v2 a ASOF LEFT JOIN (SELECT date, y FROM v2 WHERE day(date) <= 2) b ON a.date >= b.date", "date!", "beta", 8)
+source("j11_as_of", lambda s, d: (lambda p: J.last_known(p.withColumn("k", F.lit(1)), p.where(F.dayofmonth("date") <= 2).select(F.lit(1).alias("k"), "date", F.col("y").alias("beta")), ["k"], "date", ["beta"]))(T.pair(s, d)), "SELECT a.date, b.y AS beta FROM v2 a ASOF LEFT JOIN (SELECT date, y FROM v2 WHERE day(date) <= 2) b ON a.date >= b.date", "date!", "beta", -1)
 simple("j13_portfolio_alignment", lambda b: b.where("symbol in ('click', 'view')").groupBy("ts").pivot("symbol", ["click", "view"]).agg(F.first("close")).na.fill(0.0), "SELECT ts, coalesce(max(close) FILTER (WHERE symbol = 'click'), 0) AS click, coalesce(max(close) FILTER (WHERE symbol = 'view'), 0) AS view FROM v1 WHERE symbol IN ('click', 'view') GROUP BY ts", "click view", "ts")
 simple("j14_standardise_by_train", lambda b: J.standardise_by(B.split_rows(b, ["symbol"]), ["close"], ["symbol"], "split = 'train'"), f"""WITH n AS (SELECT *, row_number() OVER ({W}) - 1 AS rn, count(*) OVER (PARTITION BY symbol) AS n FROM v1), f AS (SELECT *, CASE WHEN rn < floor(n * 6 / 10) THEN close END AS t FROM n)
     SELECT symbol, ts, (close - avg(t) OVER p) / NULLIF(stddev_samp(t) OVER p, 0) AS close FROM f WINDOW p AS (PARTITION BY symbol)""", "close")

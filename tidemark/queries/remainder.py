@@ -59,7 +59,7 @@ def s16(spark, d):
     return spark.createDataFrame(list(found.items()), "name string, value double")
 
 
-query("s19_csv_cache", "SELECT date, close FROM v5", "date!", "close", 9)(lambda s, d: T.first_available(lambda: s.read.schema("date date, close double").csv(f"{d}/no_such_cache.csv").limit(0).crossJoin(s.read.parquet(f"{d}/no_such_cache.parquet")), lambda: T.index_level(s, d)))
+query("s19_csv_cache", "SELECT date, close FROM v5", "date!", "close", -1)(lambda s, d: T.first_available(lambda: s.read.schema("date date, close double").csv(f"{d}/no_such_cache.csv").limit(0).crossJoin(s.read.parquet(f"{d}/no_such_cache.parquet")), lambda: T.index_level(s, d)))
 query("s20_replay_cache", NAV + " SELECT symbol, count(*) AS n FROM nv GROUP BY symbol", "symbol n")(lambda s, d: reloaded(nav(T.bars(s, d)).select("symbol", "ts", "nav"), "replay").groupBy("symbol").agg(F.count("*").alias("n")))
 simple("k01_csv_sink", lambda b: reloaded(b.select("symbol", F.col("ts").cast("string").alias("ts"), "volume"), "csv", kind="csv").groupBy("symbol").agg(F.sum("volume").alias("n")), "SELECT symbol, CAST(sum(volume) AS BIGINT) AS n FROM v1 GROUP BY symbol", "", "symbol n")
 simple("k02_parquet_sink", lambda b: reloaded(b, "parquet", "symbol").groupBy("symbol").agg(F.count("*").alias("n")), "SELECT symbol, count(*) AS n FROM v1 GROUP BY symbol", "", "symbol n")
@@ -115,7 +115,7 @@ query("g11_report_tables", HELD + " SELECT year(ts) AS y, count(*) AS n, -quanti
     lambda s, d: B.pair_backtest(held(s, d), ["symbol"], "ts", 0.5).groupBy(F.year("ts").cast("long").alias("y")).agg(F.count("*").alias("n"), E.value_at_risk("pnl").alias("var95"), (F.stddev_samp("pnl") * F.sqrt(F.lit(252.0))).alias("vol")))
 query("g14_sensitivity_export", None, "study level", "value", 4)(lambda s, d: QUERIES["g09_cost_sensitivity"](s, d).select(F.lit("cost").alias("study"), F.col("cost").alias("level"), F.col("total").alias("value")).unionByName(grid_trades(s, d).select(F.lit("entry").alias("study"), F.col("entry").alias("level"), F.col("per_year").alias("value"))))
 query("g15_pair_screen", None, "symbol by entry", "value", 4)(
-    lambda s, d: (lambda g: g.where("split = 'train'").groupBy("symbol", "entry").agg((F.avg("pnl") / F.stddev_samp("pnl")).alias("sharpe")).withColumn("r", F.row_number().over(Window.partitionBy("symbol").orderBy(F.col("sharpe").desc(), "entry"))).where("r = 1").select("symbol", F.lit("sharpe").alias("by"), "entry", F.col("sharpe").alias("value")).unionByName(
+    lambda s, d: (lambda g: g.where("split = 'train'").groupBy("symbol", "entry").agg(F.try_divide(F.avg("pnl"), F.stddev_samp("pnl")).alias("sharpe")).withColumn("r", F.row_number().over(Window.partitionBy("symbol").orderBy(F.col("sharpe").desc(), "entry"))).where("r = 1").select("symbol", F.lit("sharpe").alias("by"), "entry", F.col("sharpe").alias("value")).unionByName(
         grid_trades(s, d).withColumn("r", F.row_number().over(Window.partitionBy("symbol").orderBy(F.abs(F.col("per_year") - 4), "entry"))).where("r = 1").select("symbol", F.lit("trades").alias("by"), "entry", F.col("per_year").alias("value"))))(B.pair_backtest(z_grid(s, d, ["symbol", "split"]), ["symbol", "split", "entry"], "ts", 0.5)))
 query("m25_fit_guards", f"WITH {RSI_T} SELECT symbol, count(*) AS n, CAST(count(*) >= 4 AS BIGINT) AS ridge_ok, CAST(count(*) >= 200 AS BIGINT) AS tree_ok FROM fac WHERE t IS NOT NULL AND f IS NOT NULL GROUP BY symbol", "symbol n ridge_ok tree_ok")(lambda s, d: factors(s, d).where("t is not null and f is not null").groupBy("symbol").agg(F.count("*").alias("n"), (F.count("*") >= 4).cast("long").alias("ridge_ok"), (F.count("*") >= 200).cast("long").alias("tree_ok")))
 

@@ -76,7 +76,7 @@ def z_grid(s, d, by: list[str]) -> DataFrame:
 def grid_trades(s, d) -> DataFrame:
     rows = z_grid(s, d, ["symbol"])
     years = rows.groupBy("symbol", "entry").agg((F.count("z") / 252).alias("years"))
-    return B.round_trips(rows, ["symbol", "entry"], "ts").join(years, ["symbol", "entry"]).withColumn("per_year", F.col("n_trades") / F.col("years"))
+    return B.round_trips(rows, ["symbol", "entry"], "ts").join(years, ["symbol", "entry"]).withColumn("per_year", F.try_divide("n_trades", "years"))
 
 
 query("e14_scan_z_grid", None, "symbol entry n_trades chosen", "per_year avg_holding time_in_market", 4)(lambda s, d: grid_trades(s, d).withColumn("chosen", (F.row_number().over(Window.partitionBy("symbol").orderBy(F.abs(F.col("per_year") - 4), "entry")) == 1).cast("long")))
