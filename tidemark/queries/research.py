@@ -61,16 +61,33 @@ def z_sql(span: int) -> str:
     sz AS (SELECT symbol, ts, close, rn, CASE WHEN rn >= 2 THEN (y - avg(y) OVER c) / NULLIF(stddev_samp(y) OVER c, 0) END AS z FROM ew WINDOW c AS ({W} ROWS UNBOUNDED PRECEDING))"""
 
 
+def chain_sql(lead: str, rows: str, keys: str, span: int, order: str = "date") -> str:
+    """Percentile rank, EMA and expanding z of the column x of rows (keys, order, x), as the CTE sz."""
+    on = " AND ".join(f"b.{k} = a.{k}" for k in keys.split(", "))
+    follows = " AND ".join(f"n.{k} = p.{k}" for k in keys.split(", "))
+    a, n = ", ".join(f"a.{k}" for k in keys.split(", ")), ", ".join(f"n.{k}" for k in keys.split(", "))
+    return f"""{lead}, xr AS ({rows}), pk AS (SELECT {a}, a.{order}, sum(CASE WHEN b.x < a.x THEN 1.0 WHEN b.x = a.x THEN 0.5 ELSE 0 END) / count(*) * 100 AS pct FROM xr a JOIN xr b ON {on} AND b.{order} <= a.{order} GROUP BY ALL),
+    nu AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY {order}) AS rn FROM pk),
+    ew AS (SELECT {keys}, rn, {order}, CAST(pct AS DOUBLE) AS y FROM nu WHERE rn = 1 UNION ALL SELECT {n}, n.rn, n.{order}, p.y + {2 / (span + 1)!r} * (n.pct - p.y) FROM ew p JOIN nu n ON {follows} AND n.rn = p.rn + 1),
+    sz AS (SELECT {keys}, {order}, y, CASE WHEN rn >= 2 THEN (y - avg(y) OVER c) / NULLIF(stddev_samp(y) OVER c, 0) END AS z FROM ew WINDOW c AS (PARTITION BY {keys} ORDER BY {order} ROWS UNBOUNDED PRECEDING))"""
+
+
 def signal(b: DataFrame, span: int = 10) -> DataFrame:
     return H.signal_z(b, "close", span, "symbol", "ts", "z")
 
 
 simple("w39_signal_z", lambda b: signal(b), z_sql(10) + " SELECT * FROM sz", "z", digits=5)
-query("w40_composite_sentiment", None, "date! regime", "sentiment_raw sentiment_slow sentiment_z")(lambda s, d: H.composite(breadth(s, d).where("above_ma is not null").withColumn("k", F.lit(1)), {"new_high_low_net": 0.4, "above_ma": 0.3, "positive_return": 0.3}, 20, "k", "date"))
+COMPOSITE = f"""WITH RECURSIVE {BREADTH}, xr AS (SELECT * FROM br WHERE above_ma IS NOT NULL),
+    pk AS (SELECT a.date, {", ".join(f"(sum(CASE WHEN b.{c} < a.{c} THEN 1.0 WHEN b.{c} = a.{c} THEN 0.5 ELSE 0 END) / count(b.{c})) * 100 AS {c}_pct" for c in H.BREADTH[:3])} FROM xr a JOIN xr b ON b.date <= a.date GROUP BY a.date),
+    nu AS (SELECT date, 0.4 * new_high_low_net_pct + 0.3 * above_ma_pct + 0.3 * positive_return_pct AS sentiment_raw, row_number() OVER (ORDER BY date) AS rn FROM pk),
+    ew AS (SELECT date, rn, CAST(sentiment_raw AS DOUBLE) AS sentiment_raw, CAST(sentiment_raw AS DOUBLE) AS y FROM nu WHERE rn = 1 UNION ALL SELECT n.date, n.rn, n.sentiment_raw, p.y + {2 / 21!r} * (n.sentiment_raw - p.y) FROM ew p JOIN nu n ON n.rn = p.rn + 1),
+    sz AS (SELECT date, sentiment_raw, y AS sentiment_slow, CASE WHEN rn >= 2 THEN (y - avg(y) OVER c) / NULLIF(stddev_samp(y) OVER c, 0) END AS sentiment_z FROM ew WINDOW c AS (ORDER BY date ROWS UNBOUNDED PRECEDING))
+    SELECT *, CASE WHEN sentiment_z > 1 THEN 'overheated' WHEN sentiment_z < -1 THEN 'overcooled' WHEN sentiment_z IS NOT NULL THEN 'neutral' END AS regime FROM sz"""
+query("w40_composite_sentiment", COMPOSITE, "date! regime", "sentiment_raw sentiment_slow sentiment_z")(lambda s, d: H.composite(breadth(s, d).where("above_ma is not null").withColumn("k", F.lit(1)), {"new_high_low_net": 0.4, "above_ma": 0.3, "positive_return": 0.3}, 20, "k", "date"))
 simple("w48_signal_with_regime", lambda b: signal(b).withColumn("regime", F.when(F.col("z") > 1, "overheated").when(F.col("z") < -1, "overcooled").otherwise("neutral")).where("z is not null").groupBy("symbol", "regime").agg(F.count("*").alias("n")),
        z_sql(10) + " SELECT symbol, CASE WHEN z > 1 THEN 'overheated' WHEN z < -1 THEN 'overcooled' ELSE 'neutral' END AS regime, count(*) AS n FROM sz WHERE z IS NOT NULL GROUP BY 1, 2", "", "symbol regime n")
-query("w49_index_momentum_signal", None, "date!", "z")(lambda s, d: H.signal_z(T.index_level(s, d).withColumn("k", F.lit(1)).withColumn("m", R.change("close", 60, R.series("k", "date"))).where("m is not null"), "m", 40, "k", "date", "z"))
-query("w50_all_alphas", None, "alpha date!", "z")(lambda s, d: H.signal_z(breadth(s, d).unpivot(["date"], list(H.BREADTH), "alpha", "x").where("x is not null"), "x", 40, "alpha", "date", "z"))
+query("w49_index_momentum_signal", chain_sql("WITH RECURSIVE im AS (SELECT date, close / NULLIF(lag(close, 60) OVER (ORDER BY date), 0) - 1 AS m FROM v5)", "SELECT 1 AS k, date, m AS x FROM im WHERE m IS NOT NULL", "k", 40) + " SELECT * FROM sz", "date!", "z")(lambda s, d: H.signal_z(T.index_level(s, d).withColumn("k", F.lit(1)).withColumn("m", R.change("close", 60, R.series("k", "date"))).where("m is not null"), "m", 40, "k", "date", "z"))
+query("w50_all_alphas", chain_sql(f"WITH RECURSIVE {BREADTH}", " UNION ALL ".join(f"SELECT '{c}' AS alpha, date, {c} AS x FROM br WHERE {c} IS NOT NULL" for c in H.BREADTH), "alpha", 40) + " SELECT * FROM sz", "alpha date!", "z")(lambda s, d: H.signal_z(breadth(s, d).unpivot(["date"], list(H.BREADTH), "alpha", "x").where("x is not null"), "x", 40, "alpha", "date", "z"))
 simple("w41_forward_returns", lambda b: b.withColumns({f"f{h}": R.ahead("close", h, X.W) for h in (5, 20)}), f"SELECT symbol, ts, lead(close, 5) OVER ({W}) / NULLIF(close, 0) - 1 AS f5, lead(close, 20) OVER ({W}) / NULLIF(close, 0) - 1 AS f20 FROM v1", "f5 f20")
 simple("w43_feature_block", lambda b: X.on_balance_volume(X.rsi(X.stochastic(X.bollinger_position(X.distance_from_ma(b, 7, "dev7"), 20, "bb"), "close", 14, "k"), 14, "rsi", move="difference"), "obv").withColumn("d", R.full(F.avg, "k", 3, X.W)).withColumn("ratio", F.try_divide(F.col("close"), R.full(F.max, "close", 60, X.W))).withColumn("vr", F.try_divide(F.col("volume"), R.full(F.avg, "volume", 20, X.W))),
        f"""WITH s AS (SELECT *, close / NULLIF({roll('avg', 'close', 7)}, 0) - 1 AS dev7, (close - ({roll('avg', 'close', 20)} - 2 * {roll('stddev_samp', 'close', 20)})) / NULLIF(4 * {roll('stddev_samp', 'close', 20)}, 0) AS bb,
@@ -143,7 +160,8 @@ def nav(b: DataFrame) -> DataFrame:
 
 simple("f09_run_backtest", nav, NAV + " SELECT * FROM nv", "position cost net nav benchmark", digits=4)
 simple("f10_trading_cost", lambda b: nav(b).groupBy("symbol").agg(F.sum("cost").alias("x")), NAV + " SELECT symbol, sum(cost) AS x FROM nv GROUP BY symbol", "x", "symbol")
-simple("f11_dual_backtest", lambda b: B.nav_backtest(rules.hold(z20(b).withColumn("y", F.lag("z", 5).over(X.W)).withColumn("index_close", 1000 * F.exp(F.sum(F.coalesce("z", F.lit(0.0)) / 200).over(R.cum(X.W)))), rules.both_to_enter(-0.5, 1.0), ["z", "y"], ["symbol"], "ts"), ["symbol"], "ts"), None, "position net nav")
+NAV_DUAL = NAV.replace(Z20, Z2).replace("AS index_close, zp FROM zl)", "AS index_close, zp, yp FROM zl)").replace(f"CASE WHEN zp IS NOT NULL THEN {BASE} END AS fixed", "CASE WHEN zp IS NOT NULL AND yp IS NOT NULL THEN CASE WHEN zp > 1 OR yp > 1 THEN 0.0 WHEN zp < -0.5 AND yp < -0.5 THEN 1.0 END END AS fixed")
+simple("f11_dual_backtest", lambda b: B.nav_backtest(rules.hold(z20(b).withColumn("y", F.lag("z", 5).over(X.W)).withColumn("index_close", 1000 * F.exp(F.sum(F.coalesce("z", F.lit(0.0)) / 200).over(R.cum(X.W)))), rules.both_to_enter(-0.5, 1.0), ["z", "y"], ["symbol"], "ts"), ["symbol"], "ts"), NAV_DUAL + " SELECT * FROM nv", "position net nav", digits=4)
 SUM = """sd AS (SELECT *, nav / max(nav) OVER (PARTITION BY {k} ORDER BY ts ROWS UNBOUNDED PRECEDING) - 1 AS dd, abs(position - lag(position) OVER (PARTITION BY {k} ORDER BY ts)) > 1e-9 AS moved FROM {t})
     SELECT {k}, count(*) AS n_days, max_by(nav, ts) / min_by(nav, ts) - 1 AS total_return, max_by(benchmark, ts) / min_by(benchmark, ts) - 1 AS benchmark_return, min(dd) AS max_drawdown,
       avg(net) / NULLIF(stddev_pop(net), 0) * sqrt(252.0) AS sharpe, CAST(count(*) FILTER (WHERE moved) AS BIGINT) AS n_trades, avg(position) AS avg_position, pow(product(1 + net), 252.0 / count(*)) - 1 AS annualized_return FROM sd GROUP BY {k}"""
@@ -162,8 +180,30 @@ def exits(b: DataFrame) -> DataFrame:
     return folds.exit_rules(z.crossJoin(F.broadcast(modes)), ["symbol", "mode"])
 
 
-query("f13_exit_rules", None, "symbol mode ts hold_bars exit_reason", "position entry_price")(lambda s, d: exits(T.bars(s, d)))
-query("f14_compare_exit_rules", None, "symbol mode split", "ann_return ann_vol sharpe max_drawdown total_return", 4)(
+EXITS = f"""WITH RECURSIVE {Z20}, px AS (SELECT symbol, ts, z, 1000 * exp(sum(coalesce(z, 0) / 50) OVER ({W} ROWS UNBOUNDED PRECEDING)) AS c FROM zl),
+    hl AS (SELECT symbol, ts, c AS close, c * (1 + abs(z) / 100) AS high, c * (1 - abs(z) / 100) AS low, CASE WHEN z < -0.5 THEN 1.0 WHEN z > 0.5 THEN -1.0 ELSE 0.0 END AS target, c / lag(c) OVER ({W}) - 1 AS ret, lag(c) OVER ({W}) AS before FROM px),
+    tr AS (SELECT *, greatest(abs(high - low), abs(high - before), abs(low - before)) AS t FROM hl),
+    aa AS (SELECT *, CASE WHEN count(t) OVER f >= 6 THEN avg(t) OVER f END AS atr FROM tr WINDOW f AS ({W} ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)),
+    nm AS (SELECT *, row_number() OVER ({W}) AS rn FROM aa WHERE ret IS NOT NULL AND high IS NOT NULL),
+    md AS (SELECT n.*, m.mode FROM nm n, (VALUES ('none'), ('fixed'), ('atr'), ('time'), ('trailing')) m(mode)),
+    st AS (SELECT symbol, mode, ts, rn, target AS position, CASE WHEN target <> 0 THEN close END AS entry_price, CAST(0 AS BIGINT) AS hold_bars, CASE WHEN target <> 0 THEN close END AS best, CASE WHEN target <> 0 THEN 'enter' ELSE '' END AS exit_reason FROM md WHERE rn = 1
+      UNION ALL SELECT symbol, mode, ts, rn, CASE WHEN fresh THEN target WHEN why <> '' THEN 0.0 ELSE pos END, CASE WHEN fresh THEN close WHEN why = '' THEN entry END,
+        CASE WHEN fresh OR why <> '' OR pos = 0 THEN 0 ELSE held END, CASE WHEN fresh THEN close WHEN why = '' AND pos <> 0 THEN far END, CASE WHEN fresh THEN CASE WHEN pos = 0 THEN 'enter' ELSE 'flip' END ELSE why END
+      FROM (SELECT *, CASE WHEN fresh OR pos = 0 THEN '' WHEN sgn * against <= sgn * stop THEN CASE WHEN mode = 'trailing' THEN 'trailing_stop' ELSE 'stop_loss' END WHEN sgn * along >= sgn * gain THEN 'take_profit'
+          WHEN mode = 'time' AND held >= 24 THEN 'time_stop' WHEN target = 0 THEN 'signal_flat' ELSE '' END AS why
+        FROM (SELECT *, CASE mode WHEN 'fixed' THEN entry * (1 - sgn * 0.01) WHEN 'atr' THEN CASE WHEN atr > 0 THEN entry - sgn * atr END WHEN 'trailing' THEN far * (1 - sgn * 0.1) END AS stop,
+            CASE mode WHEN 'fixed' THEN entry * (1 + sgn * 0.02) WHEN 'atr' THEN CASE WHEN atr > 0 THEN entry + sgn * 2 * atr END END AS gain
+          FROM (SELECT n.symbol, n.mode, n.ts, n.rn, n.target, n.close, n.atr, p.position AS pos, p.entry_price AS entry, p.hold_bars + 1 AS held, sign(p.position) AS sgn,
+              n.target <> 0 AND (p.position = 0 OR sign(n.target) <> sign(p.position)) AS fresh, CASE WHEN p.position > 0 THEN n.low ELSE n.high END AS against, CASE WHEN p.position > 0 THEN n.high ELSE n.low END AS along,
+              CASE WHEN p.position > 0 THEN greatest(p.best, n.high) ELSE least(p.best, n.low) END AS far
+            FROM st p JOIN md n ON n.symbol = p.symbol AND n.mode = p.mode AND n.rn = p.rn + 1) q1) q2) q3)"""
+query("f13_exit_rules", EXITS + " SELECT * FROM st", "symbol mode ts hold_bars exit_reason", "position entry_price")(lambda s, d: exits(T.bars(s, d)))
+MODE = "PARTITION BY symbol, mode ORDER BY ts"
+COMPARED = EXITS + f""", jr AS (SELECT s.symbol, s.mode, s.ts, s.position, n.ret, n.target AS signal, s.rn - 1 AS r0, count(*) OVER (PARTITION BY s.symbol, s.mode) AS n FROM st s JOIN nm n ON n.symbol = s.symbol AND n.rn = s.rn),
+    js AS (SELECT *, CASE WHEN r0 < floor(n * 6 / 10) THEN 'train' WHEN r0 < floor(n * 8 / 10) THEN 'valid' ELSE 'test' END AS split, coalesce(lag(position) OVER ({MODE}), 0) * ret - {turn('position', MODE)} * 2 / 10000 AS pnl FROM jr),
+    je AS (SELECT *, 1 + sum(pnl) OVER (PARTITION BY symbol, mode, split ORDER BY ts ROWS UNBOUNDED PRECEDING) AS eq FROM js), jd AS (SELECT *, eq - max(eq) OVER (PARTITION BY symbol, mode, split ORDER BY ts ROWS UNBOUNDED PRECEDING) AS dd FROM je)
+    SELECT symbol, mode, split, avg(pnl) * 8760 AS ann_return, stddev_samp(pnl) * sqrt(8760.0) AS ann_vol, avg(pnl) * 8760 / NULLIF(stddev_samp(pnl) * sqrt(8760.0), 0) AS sharpe, min(dd) AS max_drawdown, sum(pnl) AS total_return FROM jd GROUP BY symbol, mode, split"""
+query("f14_compare_exit_rules", COMPARED, "symbol mode split", "ann_return ann_vol sharpe max_drawdown total_return", 4)(
     lambda s, d: B.signal_metrics(B.split_rows(B.lagged_pnl(exits(T.bars(s, d)), ["symbol", "mode"]).withColumn("signal", F.col("target")), ["symbol", "mode"]), ["symbol", "mode", "split"]))
 for _h, _id in ((1, "f17_cash_book"), (3, "f18_cash_book_holding")):
     query(_id, None, "symbol ts event", "equity shares", 4)(lambda s, d, h=_h: folds.scan(z20(T.bars(s, d)).withColumn("buy", F.when(F.col("z") < -1, 1.0).otherwise(0.0)).withColumn("price", F.col("close") + 1), ["symbol"], "ts", lambda c, h=h: folds.all_in_book(c["buy"], c["price"], h, 10_000.0, 0.0005, 0.001), ["buy", "price"], {"equity": "double", "shares": "double", "event": "string"}))
@@ -203,7 +243,7 @@ def factors(s, d) -> DataFrame:
 
 query("a07_ic_table", IC + " SELECT * FROM ics", "factor n_obs", "pearson_ic clipped_ic spearman_ic", 5)(lambda s, d: S.ic_table(factors(s, d), ["f", "ret"], "t"))
 query("t01_sort_by_abs", IC + " SELECT factor, row_number() OVER (ORDER BY abs(pearson_ic) DESC) AS place FROM ics", "factor place")(lambda s, d: S.ic_table(factors(s, d), ["f", "ret"], "t").withColumn("place", F.row_number().over(Window.orderBy(F.abs("pearson_ic").desc())).cast("long")))
-query("t02_top_factors", IC + " SELECT row_number() OVER (ORDER BY abs(clipped_ic) DESC) AS rank, factor, abs(clipped_ic) AS score, CASE WHEN pearson_ic < 0 THEN -1 ELSE 1 END AS direction FROM ics", "rank factor direction", "score", 5)(lambda s, d: S.top_factors(S.ic_table(factors(s, d), ["f", "ret"], "t"), 1000, 5, 100))
+query("t02_top_factors", IC + " SELECT row_number() OVER (ORDER BY abs(clipped_ic) DESC) AS rank, factor, abs(clipped_ic) AS score, CAST(CASE WHEN pearson_ic < 0 THEN -1 ELSE 1 END AS BIGINT) AS direction FROM ics", "rank factor direction", "score", 5)(lambda s, d: S.top_factors(S.ic_table(factors(s, d), ["f", "ret"], "t"), 1000, 5, 100))
 RANKED = "rank() OVER (PARTITION BY {p} ORDER BY {c}) + (count(*) OVER (PARTITION BY {p}, {c}) - 1) / 2.0"
 query("a08_rank_ic", f"WITH {RSI_T}, k AS (SELECT symbol, {RANKED.format(p='symbol', c='f')} AS a, {RANKED.format(p='symbol', c='t')} AS b FROM fac WHERE f IS NOT NULL AND t IS NOT NULL) SELECT symbol, corr(a, b) AS ic, count(*) AS n FROM k GROUP BY symbol", "symbol n", "ic", 5)(lambda s, d: S.rank_ic(factors(s, d), "f", "t", ["symbol"]))
 DAILY = f"WITH {RSI_T}, k AS (SELECT CAST(ts AS DATE) AS day, {RANKED.format(p='CAST(ts AS DATE)', c='f')} AS a, {RANKED.format(p='CAST(ts AS DATE)', c='t')} AS b FROM fac WHERE f IS NOT NULL AND t IS NOT NULL), md AS (SELECT day, CASE WHEN count(*) >= 3 THEN corr(a, b) END AS ic, count(*) AS n FROM k GROUP BY day)"
@@ -229,7 +269,7 @@ query("a20_distributions", None, "column distribution cardinality")(lambda s, d:
 source("a21_cardinality", lambda s, d: T.labelled(s, d).agg(F.count_distinct("lang").alias("lang"), F.count_distinct("source").alias("source"), F.count_distinct("doc_id").alias("doc")), "SELECT count(DISTINCT lang) AS lang, count(DISTINCT source) AS source, count(DISTINCT doc_id) AS doc FROM v7", "lang source doc")
 source("a22_tukey_fences", lambda s, d: Tb.fences(T.labelled(s, d), ["n_chars"]), "SELECT quantile_cont(n_chars, 0.25) - 1.5 * (quantile_cont(n_chars, 0.75) - quantile_cont(n_chars, 0.25)) AS n_chars_lo, quantile_cont(n_chars, 0.75) + 1.5 * (quantile_cont(n_chars, 0.75) - quantile_cont(n_chars, 0.25)) AS n_chars_hi FROM v7", "", "n_chars_lo n_chars_hi", 3)
 source("a23_feature_rank", lambda s, d: S.feature_gap(T.labelled(s, d).select("quality", F.col("n_chars").cast("double").alias("n_chars"), F.col("toxic").cast("double").alias("toxic")), "quality", ["n_chars", "toxic"], 0.0), "SELECT * FROM (SELECT 'n_chars' AS factor, abs(avg(n_chars) FILTER (WHERE quality = 0) - avg(n_chars) FILTER (WHERE quality = 1)) / stddev_samp(n_chars) AS gap FROM v7 UNION ALL SELECT 'toxic', abs(avg(toxic) FILTER (WHERE quality = 0) - avg(toxic) FILTER (WHERE quality = 1)) / stddev_samp(toxic) FROM v7) WHERE gap > 0", "factor", "gap")
-source("a24_constant_columns", lambda s, d: T.labelled(s, d).withColumn("c", F.lit(1)).agg(F.count_distinct("c").alias("c"), F.count_distinct("lang").alias("lang")), "SELECT 1 AS c, count(DISTINCT lang) AS lang FROM v7", "c lang")
+source("a24_constant_columns", lambda s, d: T.labelled(s, d).withColumn("c", F.lit(1)).agg(F.count_distinct("c").alias("c"), F.count_distinct("lang").alias("lang")), "SELECT CAST(1 AS BIGINT) AS c, count(DISTINCT lang) AS lang FROM v7", "c lang")
 query("a25_redundant_columns", "SELECT * FROM (VALUES ('n_chars', 'twice')) t(a, b)", "a b")(lambda s, d: S.redundant_pairs(T.labelled(s, d).select(F.col("n_chars").cast("double").alias("n_chars"), (F.col("n_chars") * 2.0).alias("twice"), F.col("quality").cast("double").alias("quality")), ["n_chars", "twice", "quality"]))
 source("a26_frequency_codes", lambda s, d: Tb.frequency_codes(T.labelled(s, d), "source"), "SELECT source AS value, count(*) / sum(count(*)) OVER () AS code FROM v7 GROUP BY source", "value", "code")
 simple("a32_covariance", lambda b: P.covariance(b, "symbol", "close"), "SELECT a.symbol AS a, b.symbol AS b, covar_samp(a.close, b.close) AS cov FROM v1 a JOIN v1 b USING (ts) GROUP BY 1, 2", "cov", "a b", 4)

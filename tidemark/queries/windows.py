@@ -102,7 +102,19 @@ simple(
     "added grown peak",
 )
 simple("w15_schaff_trend_cycle", lambda b: X.schaff_trend_cycle(b, "x"), None)
-simple("w16_directional_movement", lambda b: X.directional_movement(b), None, "plus_di minus_di adx")
+simple(
+    "w16_directional_movement",
+    lambda b: X.directional_movement(b),
+    f"""WITH RECURSIVE b AS (SELECT *, row_number() OVER ({W}) AS rn, high - {lag('high')} AS up, {lag('low')} - low AS dn, greatest(abs(high - low), abs(high - {lag('close')}), abs(low - {lag('close')})) AS tr FROM v1),
+    c AS (SELECT symbol, ts, rn, tr, CASE WHEN up > dn AND up > 0 THEN up ELSE 0.0 END AS p, CASE WHEN dn > up AND dn > 0 THEN dn ELSE 0.0 END AS m FROM b),
+    e AS (SELECT symbol, ts, rn, CAST(tr AS DOUBLE) AS t, CAST(p AS DOUBLE) AS ps, CAST(m AS DOUBLE) AS ms FROM c WHERE rn = 1
+      UNION ALL SELECT c.symbol, c.ts, c.rn, e.t + {1 / 14!r} * (c.tr - e.t), e.ps + {1 / 14!r} * (c.p - e.ps), e.ms + {1 / 14!r} * (c.m - e.ms) FROM e JOIN c ON c.symbol = e.symbol AND c.rn = e.rn + 1),
+    d AS (SELECT symbol, ts, rn, CASE WHEN rn >= 14 THEN 100 * ps / NULLIF(t, 0) END AS plus_di, CASE WHEN rn >= 14 THEN 100 * ms / NULLIF(t, 0) END AS minus_di FROM e),
+    x AS (SELECT *, 100 * abs(plus_di - minus_di) / NULLIF(plus_di + minus_di, 0) AS dx FROM d),
+    g AS (SELECT symbol, rn, dx AS y FROM x WHERE rn = 14 UNION ALL SELECT x.symbol, x.rn, g.y + {1 / 14!r} * (x.dx - g.y) FROM g JOIN x ON x.symbol = g.symbol AND x.rn = g.rn + 1)
+    SELECT x.symbol, x.ts, plus_di, minus_di, CASE WHEN x.rn >= 27 THEN g.y END AS adx FROM x LEFT JOIN g ON g.symbol = x.symbol AND g.rn = x.rn""",
+    "plus_di minus_di adx",
+)
 
 
 def _w17(b: DataFrame) -> DataFrame:
