@@ -23,7 +23,7 @@ from tidemark.operators import tabular as Tb
 from tidemark.plans.registry import QUERIES, query
 from tidemark.queries.panels import source
 from tidemark.queries.research import HELD, IC, NAV, breadth, factors, held, nav, pair, z20
-from tidemark.queries.studies import features, grid_trades, levels, positive, threshold_grid, z_grid
+from tidemark.queries.studies import THRESHOLDS, features, grid_trades, levels, positive, threshold_grid, z_grid
 from tidemark.queries.windows import RSI_T, W, simple
 from tidemark.sources import tables as T
 
@@ -80,7 +80,7 @@ source("a39_rollup", lambda s, d: T.labelled(s, d).rollup("lang", "quality").agg
 simple("w31_split_labels", lambda b: B.split_rows(b, ["symbol"], names=("train", "valid", "final")).groupBy("symbol", "split").agg(F.count("*").alias("n"), F.min("ts").alias("a")), f"SELECT symbol, split, count(*) AS n, min(ts) AS a FROM (SELECT *, CASE WHEN rn < floor(n * 6 / 10) THEN 'train' WHEN rn < floor(n * 8 / 10) THEN 'valid' ELSE 'final' END AS split FROM (SELECT *, row_number() OVER ({W}) - 1 AS rn, count(*) OVER (PARTITION BY symbol) AS n FROM v1)) GROUP BY 1, 2", "", "symbol split n a")
 source("t05_best_by_group", lambda s, d: T.labelled(s, d).groupBy("lang").agg(F.max_by("doc_id", F.struct("n_chars", "doc_id")).alias("doc_id")), "SELECT lang, doc_id FROM v7 QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id DESC) = 1", "lang doc_id")
 source("t06_largest_ten", lambda s, d: T.labelled(s, d).orderBy(F.col("n_chars").desc(), "doc_id").limit(10), "SELECT doc_id, n_chars FROM v7 ORDER BY n_chars DESC, doc_id LIMIT 10", "doc_id n_chars")
-query("t07_top_archive", None, "symbol buy sell", "total_return", 4)(lambda s, d: threshold_grid(s, d).where("split = 'valid'").orderBy(F.col("total_return").desc(), "symbol", "buy", "sell").limit(10))
+query("t07_top_archive", THRESHOLDS + " SELECT * FROM su WHERE split = 'valid' ORDER BY round(total_return, 9) DESC, symbol, buy, sell LIMIT 10", "symbol buy sell", "total_return", 4)(lambda s, d: threshold_grid(s, d).where("split = 'valid'").orderBy(F.round("total_return", 9).desc(), "symbol", "buy", "sell").limit(10))
 query("t08_union_of_tops", IC + " SELECT factor FROM (SELECT factor FROM ics ORDER BY abs(pearson_ic) DESC LIMIT 1) UNION SELECT factor FROM (SELECT factor FROM ics ORDER BY abs(spearman_ic) DESC LIMIT 1)", "factor")(
     lambda s, d: (lambda t: t.orderBy(F.abs("pearson_ic").desc()).limit(1).select("factor").union(t.orderBy(F.abs("spearman_ic").desc()).limit(1).select("factor")).distinct())(S.ic_table(factors(s, d), ["f", "ret"], "t")))
 simple("x05_overlap_counts", lambda b: b.groupBy("symbol").agg(F.collect_set("volume").alias("v")).alias("x").crossJoin(b.where("symbol = 'click'").agg(F.collect_set("volume").alias("w"))).select("symbol", F.size(F.array_intersect("v", "w")).cast("long").alias("n")), "SELECT symbol, CAST(count(DISTINCT volume) AS BIGINT) AS n FROM v1 WHERE volume IN (SELECT volume FROM v1 WHERE symbol = 'click') GROUP BY symbol", "", "symbol n")

@@ -20,7 +20,7 @@ from tidemark.operators.alignment import last_known, standardise_by
 from tidemark.plans.registry import query
 from tidemark.queries.backtests import CUM, LAGGED, METRIC_COLUMNS, QPOS, SIGNAL, ma_sql, signal_bt, signal_frame, turn
 from tidemark.queries.panels import source
-from tidemark.queries.research import HELD, PAIR, exits, held, nav, pair, z20
+from tidemark.queries.research import BASE, CONTINUOUS, DAMP, HELD, PAIR, Z20, exits, held, nav, pair, z20
 from tidemark.queries.windows import CHANGE, W, past_q, roll, simple
 from tidemark.sources import tables as T
 
@@ -79,9 +79,17 @@ def grid_trades(s, d) -> DataFrame:
     return B.round_trips(rows, ["symbol", "entry"], "ts").join(years, ["symbol", "entry"]).withColumn("per_year", F.try_divide("n_trades", "years"))
 
 
-query("e14_scan_z_grid", None, "symbol entry n_trades chosen", "per_year avg_holding time_in_market", 4)(lambda s, d: grid_trades(s, d).withColumn("chosen", (F.row_number().over(Window.partitionBy("symbol").orderBy(F.abs(F.col("per_year") - 4), "entry")) == 1).cast("long")))
-query("t10_closest_to_target", None, "symbol entry")(lambda s, d: grid_trades(s, d).orderBy(F.abs(F.col("per_year") - 4), "entry").limit(1))
-query("e15_evaluate_z", None, "symbol n_trades", "avg_holding time_in_market", 4)(lambda s, d: B.round_trips(held(s, d), ["symbol"], "ts"))
+ISLANDS = """, nw AS (SELECT *, CASE WHEN position = lag(position) OVER ({w}) THEN 0 ELSE 1 END AS fresh FROM {t}), ru AS (SELECT *, sum(fresh) OVER ({w} ROWS UNBOUNDED PRECEDING) AS run FROM nw),
+    il AS (SELECT {k}, run, min(position) AS position, count(*) AS bars FROM ru GROUP BY ALL),
+    tr AS (SELECT {k}, count(*) FILTER (WHERE position <> 0) AS n_trades, coalesce(avg(bars) FILTER (WHERE position <> 0), 0) AS avg_holding, coalesce(sum(bars) FILTER (WHERE position <> 0), 0) / sum(bars) AS time_in_market FROM il GROUP BY {k})"""
+GRID_HELD = f"""WITH RECURSIVE {PAIR} pe AS (SELECT *, y - x AS e FROM pj), pz AS (SELECT *, CASE WHEN count(e) OVER f = 20 THEN (e - avg(e) OVER f) / NULLIF(stddev_samp(e) OVER f, 0) END AS z, row_number() OVER ({W}) AS rn FROM pe WINDOW f AS ({W} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+    pg AS (SELECT pz.*, g.i / 4.0::DOUBLE AS entry FROM pz, range(2, 10) g(i)),
+    st AS (SELECT symbol, entry, ts, rn, z, 0.0::DOUBLE AS position FROM pg WHERE rn = 1 UNION ALL SELECT n.symbol, n.entry, n.ts, n.rn, n.z, CASE WHEN n.z IS NULL THEN p.position WHEN p.position = 0 THEN CASE WHEN n.z >= n.entry THEN -1.0 WHEN n.z <= -n.entry THEN 1.0 ELSE 0.0 END
+      WHEN p.position > 0 AND n.z >= 0 THEN 0.0 WHEN p.position < 0 AND n.z <= 0 THEN 0.0 ELSE p.position END FROM st p JOIN pg n ON n.entry = p.entry AND n.rn = p.rn + 1){ISLANDS.format(w="PARTITION BY entry ORDER BY ts", t="st", k="entry")},
+    gt AS (SELECT 'p' AS symbol, tr.*, n_trades / NULLIF((SELECT count(z) / 252 FROM pz), 0) AS per_year FROM tr)"""
+query("e14_scan_z_grid", GRID_HELD + " SELECT *, CAST(row_number() OVER (ORDER BY abs(per_year - 4), entry) = 1 AS BIGINT) AS chosen FROM gt", "symbol entry n_trades chosen", "per_year avg_holding time_in_market", 4)(lambda s, d: grid_trades(s, d).withColumn("chosen", (F.row_number().over(Window.partitionBy("symbol").orderBy(F.abs(F.col("per_year") - 4), "entry")) == 1).cast("long")))
+query("t10_closest_to_target", GRID_HELD + " SELECT * FROM gt ORDER BY abs(per_year - 4), entry LIMIT 1", "symbol entry")(lambda s, d: grid_trades(s, d).orderBy(F.abs(F.col("per_year") - 4), "entry").limit(1))
+query("e15_evaluate_z", HELD + ISLANDS.format(w="PARTITION BY symbol ORDER BY ts", t="bk", k="symbol") + " SELECT * FROM tr", "symbol n_trades", "avg_holding time_in_market", 4)(lambda s, d: B.round_trips(held(s, d), ["symbol"], "ts"))
 
 
 def train_test(s, d) -> DataFrame:
@@ -199,18 +207,36 @@ def threshold_grid(s, d) -> DataFrame:
     return B.nav_summary(B.split_rows(B.nav_backtest(rows, key, "ts"), key, names=("train", "valid", "final")), [*key, "split"], "ts")
 
 
-query("g06_threshold_grid", None, "symbol buy sell split n_trades", "total_return sharpe max_drawdown excess_return", 4)(threshold_grid)
-query("t03_select_on_valid", None, "symbol buy sell", "train valid", 4)(
-    lambda s, d: (lambda g: g.groupBy("symbol", "buy", "sell").pivot("split", ["train", "valid"]).agg(F.first("total_return")).withColumn("r", F.row_number().over(Window.partitionBy("symbol").orderBy(F.col("train").desc(), "buy", "sell"))).where("r <= 5").withColumn("v", F.row_number().over(Window.partitionBy("symbol").orderBy(F.col("valid").desc(), "buy", "sell"))).where("v = 1"))(threshold_grid(s, d)))
-query("g05_rule_matrix", None, "symbol rule", "total_return sharpe", 4)(
+def nav_grid_sql(key: str, grid: str, fixed: str) -> str:
+    """CTEs up to nv (daily books) and su (their summary by key and split) of a rule under every row of a grid."""
+    by = f"PARTITION BY {key} ORDER BY ts"
+    seg = f"PARTITION BY {key}, split ORDER BY ts"
+    return f"""WITH {Z20}, {DAMP}, gx AS (SELECT ix.*, g.* FROM ix, {grid}), fx AS (SELECT *, CASE WHEN zp IS NOT NULL THEN {fixed} END AS fixed FROM gx),
+    ps AS (SELECT *, coalesce(last_value(fixed IGNORE NULLS) OVER ({by} ROWS UNBOUNDED PRECEDING), 0.0) AS position, index_close / lag(index_close) OVER ({by}) - 1 AS ret FROM fx),
+    mv AS (SELECT *, position - coalesce(lag(position) OVER ({by}), position) AS move FROM ps), cs AS (SELECT *, CASE WHEN ret IS NULL THEN 0 ELSE abs(move) * 0.0002 + greatest(-move, 0) * 0.001 END AS cost FROM mv),
+    ne AS (SELECT *, coalesce(position * ret - cost, 0) AS net FROM cs),
+    nv AS (SELECT *, 1000000.0 * product(1 + net) OVER ({by} ROWS UNBOUNDED PRECEDING) AS nav, 1000000.0 * product(1 + coalesce(ret, 0)) OVER ({by} ROWS UNBOUNDED PRECEDING) AS benchmark, row_number() OVER ({by}) - 1 AS r0, count(*) OVER (PARTITION BY {key}) AS n0 FROM ne),
+    sp AS (SELECT *, CASE WHEN r0 < floor(n0 * 6 / 10) THEN 'train' WHEN r0 < floor(n0 * 8 / 10) THEN 'valid' ELSE 'final' END AS split FROM nv),
+    sd AS (SELECT *, nav / max(nav) OVER ({seg} ROWS UNBOUNDED PRECEDING) - 1 AS dd, abs(position - lag(position) OVER ({seg})) > 1e-9 AS moved FROM sp),
+    su AS (SELECT {key}, split, CAST(count(*) FILTER (WHERE moved) AS BIGINT) AS n_trades, max_by(nav, ts) / min_by(nav, ts) - 1 AS total_return, avg(net) / NULLIF(stddev_pop(net), 0) * sqrt(252.0) AS sharpe, min(dd) AS max_drawdown,
+      max_by(nav, ts) / min_by(nav, ts) - max_by(benchmark, ts) / min_by(benchmark, ts) AS excess_return FROM sd GROUP BY {key}, split)"""
+
+
+THRESHOLDS = nav_grid_sql("symbol, buy, sell", "(SELECT b / 2.0::DOUBLE AS buy, c / 2.0::DOUBLE AS sell FROM range(-4, 1) x(b), range(0, 4) y(c) WHERE b < c) g", "CASE WHEN zp < buy THEN 1.0 WHEN zp > sell THEN 0.0 END")
+RULE_BOOKS = nav_grid_sql("symbol, rule", "(VALUES ('baseline'), ('hysteresis'), ('continuous')) g(rule)", f"CASE rule WHEN 'baseline' THEN {BASE} WHEN 'hysteresis' THEN CASE WHEN zp < -1.5 THEN 1.0 WHEN zp > 0.5 THEN 0.0 END ELSE {CONTINUOUS} END") + """,
+    rm AS (SELECT symbol, rule, max_by(nav, ts) / min_by(nav, ts) - 1 AS total_return, avg(net) / NULLIF(stddev_pop(net), 0) * sqrt(252.0) AS sharpe FROM nv GROUP BY symbol, rule)"""
+query("g06_threshold_grid", THRESHOLDS + " SELECT * FROM su", "symbol buy sell split n_trades", "total_return sharpe max_drawdown excess_return", 4)(threshold_grid)
+query("t03_select_on_valid", THRESHOLDS + ", wd AS (SELECT symbol, buy, sell, max(total_return) FILTER (WHERE split = 'train') AS train, max(total_return) FILTER (WHERE split = 'valid') AS valid FROM su GROUP BY ALL), r5 AS (SELECT * FROM wd QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY round(train, 9) DESC, buy, sell) <= 5) SELECT * FROM r5 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY round(valid, 9) DESC, buy, sell) = 1", "symbol buy sell", "train valid", 4)(
+    lambda s, d: (lambda g: g.groupBy("symbol", "buy", "sell").pivot("split", ["train", "valid"]).agg(F.first("total_return")).withColumn("r", F.row_number().over(Window.partitionBy("symbol").orderBy(F.round("train", 9).desc(), "buy", "sell"))).where("r <= 5").withColumn("v", F.row_number().over(Window.partitionBy("symbol").orderBy(F.round("valid", 9).desc(), "buy", "sell"))).where("v = 1"))(threshold_grid(s, d)))
+query("g05_rule_matrix", RULE_BOOKS + " SELECT * FROM rm", "symbol rule", "total_return sharpe", 4)(
     lambda s, d: (lambda z: __import__("functools").reduce(lambda a, b: a.unionByName(b), [B.nav_summary(B.nav_backtest(rules.hold(z, r, ["z"], ["symbol"], "ts"), ["symbol"], "ts"), ["symbol"], "ts").withColumn("rule", F.lit(n)) for n, r in rules.RULES.items()]))(z20(T.bars(s, d)).withColumn("index_close", 1000 * F.exp(F.sum(F.coalesce("z", F.lit(0.0)) / 200).over(R.cum(X.W))))))
 query("g08_z_grid_out_of_sample", None, "symbol split entry n_trades", "total_return time_in_market", 4)(
     lambda s, d: (lambda g: B.round_trips(g, ["symbol", "split", "entry"], "ts").join(B.pair_backtest(g, ["symbol", "split", "entry"], "ts", 0.5).groupBy("symbol", "split", "entry").agg(F.sum("pnl").alias("total_return")), ["symbol", "split", "entry"]))(z_grid(s, d, ["symbol", "split"])))
 query("g09_cost_sensitivity", HELD.replace("5 / 10000 AS pnl FROM st)", "0 / 10000 AS gross, 2 * " + turn() + " / 10000 AS unit FROM st)") + ", cs AS (SELECT cost, sum(gross - unit * cost) AS total, product(1 + gross - unit * cost) - 1 AS grown FROM bk, (VALUES (0.0::DOUBLE), (5.0), (20.0)) g(cost) WHERE gross IS NOT NULL GROUP BY cost) SELECT * FROM cs", "cost", "total", 5)(
     lambda s, d: B.pair_backtest(held(s, d).crossJoin(F.broadcast(s.createDataFrame([(0.0,), (5.0,), (20.0,)], "cost double"))), ["symbol", "cost"], "ts", 0.5, F.col("cost")).groupBy("cost").agg(F.sum("pnl").alias("total")))
-query("g12_config_evaluation", None, "symbol buy sell beats", "excess_return", 4)(lambda s, d: threshold_grid(s, d).where("split = 'valid'").withColumn("beats", (F.col("excess_return") > 0).cast("long")))
+query("g12_config_evaluation", THRESHOLDS + " SELECT *, CAST(excess_return > 0 AS BIGINT) AS beats FROM su WHERE split = 'valid'", "symbol buy sell beats", "excess_return", 4)(lambda s, d: threshold_grid(s, d).where("split = 'valid'").withColumn("beats", (F.col("excess_return") > 0).cast("long")))
 query("g13_threshold_pairs", "SELECT b / 2.0 AS buy, c / 2.0 AS sell FROM range(-4, 1) x(b), range(0, 4) y(c) WHERE b < c", "", "buy sell")(lambda s, d: s.range(-4, 1).crossJoin(s.range(0, 4).withColumnRenamed("id", "c")).where("id < c").select((F.col("id") / 2).alias("buy"), (F.col("c") / 2).alias("sell")))
-query("t04_best_per_method", None, "symbol rule", "total_return", 4)(lambda s, d: QUERIES_RUN("g05_rule_matrix", s, d).withColumn("r", F.row_number().over(Window.partitionBy("symbol").orderBy(F.col("total_return").desc(), "rule"))).where("r = 1"))
+query("t04_best_per_method", RULE_BOOKS + " SELECT * FROM rm QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY round(total_return, 4) + 0.0 DESC, rule) = 1", "symbol rule", "total_return", 4)(lambda s, d: QUERIES_RUN("g05_rule_matrix", s, d).withColumn("r", F.row_number().over(Window.partitionBy("symbol").orderBy(F.col("total_return").desc(), "rule"))).where("r = 1"))
 
 
 def QUERIES_RUN(name: str, s, d) -> DataFrame:  # noqa: N802
