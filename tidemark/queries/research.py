@@ -205,8 +205,15 @@ COMPARED = EXITS + f""", jr AS (SELECT s.symbol, s.mode, s.ts, s.position, n.ret
     SELECT symbol, mode, split, avg(pnl) * 8760 AS ann_return, stddev_samp(pnl) * sqrt(8760.0) AS ann_vol, avg(pnl) * 8760 / NULLIF(stddev_samp(pnl) * sqrt(8760.0), 0) AS sharpe, min(dd) AS max_drawdown, sum(pnl) AS total_return FROM jd GROUP BY symbol, mode, split"""
 query("f14_compare_exit_rules", COMPARED, "symbol mode split", "ann_return ann_vol sharpe max_drawdown total_return", 4)(
     lambda s, d: B.signal_metrics(B.split_rows(B.lagged_pnl(exits(T.bars(s, d)), ["symbol", "mode"]).withColumn("signal", F.col("target")), ["symbol", "mode"]), ["symbol", "mode", "split"]))
+BOOK = f"""WITH RECURSIVE {Z20}, bk AS (SELECT symbol, ts, 100 + close / 500 AS price, coalesce(z < -1, false) AS buy, row_number() OVER ({W}) AS rn, count(*) OVER (PARTITION BY symbol) AS n FROM zz),
+    st AS (SELECT symbol, ts, rn, CASE WHEN buy AND n > 1 THEN 0.0::DOUBLE ELSE 10000.0 END AS cash, CASE WHEN buy AND n > 1 THEN (10000 - price * 1.0005 * 0.001) / (price * 1.0005) ELSE 0.0::DOUBLE END AS shares,
+        CASE WHEN buy AND n > 1 THEN rn END AS bought, CASE WHEN buy AND n > 1 THEN 'buy' ELSE '' END AS event, price FROM bk WHERE rn = 1
+      UNION ALL SELECT symbol, ts, rn, CASE WHEN sells THEN cash + shares * (price * (1 - 0.0005) - price * 0.001) WHEN buys THEN 0.0 ELSE cash END,
+        CASE WHEN sells THEN 0.0 WHEN buys THEN (cash - price * 1.0005 * 0.001) / (price * 1.0005) ELSE shares END, CASE WHEN buys THEN rn WHEN NOT sells THEN bought END, CASE WHEN sells THEN 'sell' WHEN buys THEN 'buy' ELSE '' END, price
+      FROM (SELECT n.symbol, n.ts, n.rn, n.price, p.cash, p.shares, p.bought, p.shares > 0 AND n.rn - p.bought >= HOLD AS sells, p.shares = 0 AND n.buy AND n.rn < n.n AS buys FROM st p JOIN bk n ON n.symbol = p.symbol AND n.rn = p.rn + 1) q)
+    SELECT symbol, ts, event, cash + shares * price AS equity, shares FROM st"""
 for _h, _id in ((1, "f17_cash_book"), (3, "f18_cash_book_holding")):
-    query(_id, None, "symbol ts event", "equity shares", 4)(lambda s, d, h=_h: folds.scan(z20(T.bars(s, d)).withColumn("buy", F.when(F.col("z") < -1, 1.0).otherwise(0.0)).withColumn("price", F.col("close") + 1), ["symbol"], "ts", lambda c, h=h: folds.all_in_book(c["buy"], c["price"], h, 10_000.0, 0.0005, 0.001), ["buy", "price"], {"equity": "double", "shares": "double", "event": "string"}))
+    query(_id, BOOK.replace("HOLD", str(_h)), "symbol ts event", "equity shares", 4)(lambda s, d, h=_h: folds.scan(z20(T.bars(s, d)).withColumn("buy", F.when(F.col("z") < -1, 1.0).otherwise(0.0)).withColumn("price", 100 + F.col("close") / 500), ["symbol"], "ts", lambda c, h=h: folds.all_in_book(c["buy"], c["price"], h, 10_000.0, 0.0005, 0.001), ["buy", "price"], {"equity": "double", "shares": "double", "event": "string"}))
 
 PAIR = "pj AS (SELECT 'p' AS symbol, date AS ts, y, x FROM v2), "
 

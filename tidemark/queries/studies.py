@@ -119,7 +119,14 @@ query("o01_mean_variance", None, "symbol", "weight", 4)(lambda s, d: s.createDat
 query("o02_portfolio_returns", BTS + " SELECT ts, sum(coalesce(pnl, 0) * 0.2) AS pnl FROM bt GROUP BY ts", "ts", "pnl")(lambda s, d: P.portfolio_returns(signal_bt(s, d), P.moment_weights(signal_bt(s, d)), "equal"))
 
 
-@query("o03_risk_layer", None, "method", "ann_return ann_vol sharpe max_drawdown", 4)
+RISK = BTS + """, mw AS (SELECT symbol, avg(pnl) AS mu, stddev_samp(pnl) AS vol FROM bt WHERE split = 'train' GROUP BY symbol), kw AS (SELECT symbol, greatest(coalesce(mu / NULLIF(vol, 0), 0), 0) AS s, coalesce(1 / NULLIF(vol, 0), 0) AS v FROM mw),
+    wt AS (SELECT symbol, 'equal' AS method, 1.0 / count(*) OVER () AS w FROM kw UNION ALL SELECT symbol, 'sharpe', coalesce(s / NULLIF(sum(s) OVER (), 0), 1.0 / count(*) OVER ()) FROM kw UNION ALL SELECT symbol, 'risk_target', v / sum(v) OVER () FROM kw),
+    pf AS (SELECT method, ts, sum(coalesce(pnl, 0) * w) AS pnl FROM bt JOIN wt USING (symbol) GROUP BY method, ts), pe AS (SELECT *, 1 + sum(pnl) OVER (PARTITION BY method ORDER BY ts ROWS UNBOUNDED PRECEDING) AS eq FROM pf),
+    pd AS (SELECT *, eq - max(eq) OVER (PARTITION BY method ORDER BY ts ROWS UNBOUNDED PRECEDING) AS dd FROM pe)
+    SELECT method, avg(pnl) * 8760 AS ann_return, stddev_samp(pnl) * sqrt(8760.0) AS ann_vol, avg(pnl) * 8760 / NULLIF(stddev_samp(pnl) * sqrt(8760.0), 0) AS sharpe, min(dd) AS max_drawdown FROM pd GROUP BY method"""
+
+
+@query("o03_risk_layer", RISK, "method", "ann_return ann_vol sharpe max_drawdown", 4)
 def o03(spark, d):
     returns = signal_bt(spark, d)
     w = P.moment_weights(returns.where("split = 'train'"))
@@ -184,7 +191,26 @@ def g01(spark, d):
     return out
 
 
-@query("g02_combination_sensitivity", None, "symbol q lookback fee_bps split", "ann_return sharpe max_drawdown total_return", 4)
+_QS = ((0.6, None), (0.6, 48), (0.6, 96), (0.7, None), (0.7, 48), (0.7, 96), (0.8, None), (0.8, 48), (0.8, 96))
+
+
+def _bands(q: float, lookback: int | None) -> str:
+    if lookback is None:
+        level = lambda p: f"quantile_cont(CASE WHEN split = 'train' THEN signal END, {p}) OVER (PARTITION BY symbol)"
+    else:
+        level = lambda p: past_q("signal", lookback, p, max(5, lookback // 4))
+    return f"SELECT symbol, ts, split, signal, ret, {q} AS q, {lookback or -1} AS lookback, {level(q)} AS hi, {level(round(1 - q, 6))} AS lo FROM sp"
+
+
+CELL = "PARTITION BY symbol, q, lookback ORDER BY ts"
+FEED = "PARTITION BY symbol, q, lookback, fee_bps, split ORDER BY ts"
+CELLS = SIGNAL + ", bd AS (" + " UNION ALL ".join(_bands(*c) for c in _QS) + f"""), bp AS (SELECT *, CASE WHEN signal < lo THEN -1.0 WHEN signal > hi THEN 1.0 ELSE 0.0 END AS position FROM bd),
+    bq AS (SELECT *, {turn('position', CELL)} AS tn, coalesce(lag(position) OVER ({CELL}), 0) AS held FROM bp), bf AS (SELECT *, held * ret - tn * fee_bps / 10000 AS pnl FROM bq, (VALUES (2.0::DOUBLE), (5.0), (10.0)) g(fee_bps)),
+    be AS (SELECT *, 1 + sum(pnl) OVER ({FEED} ROWS UNBOUNDED PRECEDING) AS eq FROM bf), bx AS (SELECT *, eq - max(eq) OVER ({FEED} ROWS UNBOUNDED PRECEDING) AS dd FROM be)
+    SELECT symbol, CAST(q AS DOUBLE) AS q, lookback, fee_bps, split, avg(pnl) * 8760 AS ann_return, avg(pnl) * 8760 / NULLIF(stddev_samp(pnl) * sqrt(8760.0), 0) AS sharpe, min(dd) AS max_drawdown, sum(pnl) AS total_return FROM bx GROUP BY symbol, q, lookback, fee_bps, split"""
+
+
+@query("g02_combination_sensitivity", CELLS, "symbol q lookback fee_bps split", "ann_return sharpe max_drawdown total_return", 4)
 def g02(spark, d):
     rows = signal_frame(spark, d)
     fees = spark.createDataFrame([(2.0,), (5.0,), (10.0,)], "fee_bps double")

@@ -101,7 +101,27 @@ simple(
     SELECT *, max(added) OVER ({W} ROWS UNBOUNDED PRECEDING) AS peak FROM e""",
     "added grown peak",
 )
-simple("w15_schaff_trend_cycle", lambda b: X.schaff_trend_cycle(b, "x"), None)
+
+
+def later_ewm(source: str, x: str, alpha: float, name: str, first: int) -> str:
+    """As ewm_sql for a column whose first value stands in row first."""
+    return f"""{name} AS (SELECT symbol, rn, CAST({x} AS DOUBLE) AS y FROM {source} WHERE rn = {first}
+      UNION ALL SELECT s.symbol, s.rn, CASE WHEN s.{x} IS NULL THEN p.y ELSE p.y + {alpha!r} * (s.{x} - p.y) END FROM {name} p JOIN {source} s ON s.symbol = p.symbol AND s.rn = p.rn + 1)"""
+
+
+def stochastic_sql(source: str, name: str) -> str:
+    frame = "OVER (PARTITION BY symbol ORDER BY rn ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)"
+    return f"{name} AS (SELECT symbol, rn, CASE WHEN count(y) {frame} = 10 THEN (y - min(y) {frame}) / NULLIF(max(y) {frame} - min(y) {frame}, 0) * 100 END AS k FROM {source})"
+
+
+simple(
+    "w15_schaff_trend_cycle",
+    lambda b: X.schaff_trend_cycle(b, "x"),
+    f"""WITH RECURSIVE {NUMBERED}, {ewm_sql('b', 'close', 2 / 13, 'fast')}, {ewm_sql('b', 'close', 2 / 27, 'slow')},
+    macd AS (SELECT f.symbol, f.rn, f.y - s.y AS y FROM fast f JOIN slow s USING (symbol, rn)), {stochastic_sql('macd', 'k1')}, {later_ewm('k1', 'k', 0.5, 'p1', 10)},
+    {stochastic_sql('p1', 'k2')}, {later_ewm('k2', 'k', 0.5, 'stc', 19)}
+    SELECT b.symbol, b.ts, stc.y AS x FROM b LEFT JOIN stc ON stc.symbol = b.symbol AND stc.rn = b.rn""",
+)
 simple(
     "w16_directional_movement",
     lambda b: X.directional_movement(b),
