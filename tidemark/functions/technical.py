@@ -5,11 +5,12 @@ All windows share one partitioning and order, so a chain of indicators needs one
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.functions.rolling import ahead, change, cum, full, past, roll, series, windowed
-from tidemark.operators.folds import ewm
+from tidemark.operators.folds import ewm_values, scan
 
 
 
@@ -101,18 +102,45 @@ def stochastic(df: DataFrame, x: str, n: int, out: str, w: WindowSpec | None = N
     return df.withColumn(out, F.try_divide(F.col(x) - low, high - low) * 100)
 
 
+def macd_values(close: np.ndarray, fast: int = 12, slow: int = 26, signal: int = 9) -> np.ndarray:
+    """(MACD - its signal line) / close of one series."""
+    macd = ewm_values(close, 2 / (fast + 1)) - ewm_values(close, 2 / (slow + 1))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(close != 0, (macd - ewm_values(macd, 2 / (signal + 1))) / close, np.nan)
+
+
+def stochastic_values(x: np.ndarray, n: int) -> np.ndarray:
+    """Place of each value in the range of the last n, 0 to 100; null without n values or without a range."""
+    out = np.full(len(x), np.nan)
+    if len(x) >= n:
+        rows = np.lib.stride_tricks.sliding_window_view(x, n)
+        low, high = rows.min(axis=1), rows.max(axis=1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out[n - 1 :] = np.where(high > low, (x[n - 1 :] - low) / (high - low) * 100, np.nan)
+    return out
+
+
+def trend_cycle_values(close: np.ndarray, cycle: int = 10) -> np.ndarray:
+    """MACD, stochastic, EMA 3, stochastic, EMA 3 of one series."""
+    macd = ewm_values(close, 2 / 13) - ewm_values(close, 2 / 27)
+    return ewm_values(stochastic_values(ewm_values(stochastic_values(macd, cycle), 0.5), cycle), 0.5)
+
+
+def directional_values(tr: np.ndarray, plus: np.ndarray, minus: np.ndarray, n: int = 14) -> dict[str, np.ndarray]:
+    """plus_di, minus_di and adx of one series, with Wilder smoothing (alpha 1/n, n values needed)."""
+    atr, up, down = (ewm_values(x, 1 / n, n) for x in (tr, plus, minus))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        up, down = (np.where(atr != 0, 100 * x / atr, np.nan) for x in (up, down))
+        dx = np.where(up + down != 0, 100 * np.abs(up - down) / (up + down), np.nan)
+    return {"plus_di": up, "minus_di": down, "adx": ewm_values(dx, 1 / n, n)}
+
+
 def macd_normalized(df: DataFrame, out: str, fast: int = 12, slow: int = 26, signal: int = 9, key: str = "symbol", order: str = "ts") -> DataFrame:
-    df = ewm(df, {"_fast": ("close", {"span": fast}), "_slow": ("close", {"span": slow})}, key, order).withColumn("_macd", F.col("_fast") - F.col("_slow"))
-    df = ewm(df, {"_signal": ("_macd", {"span": signal})}, key, order)
-    return df.withColumn(out, F.try_divide(F.col("_macd") - F.col("_signal"), F.col("close"))).drop("_fast", "_slow", "_macd", "_signal")
+    return scan(df, [key], order, lambda c: {out: macd_values(c["close"], fast, slow, signal)}, ["close"], {out: "double"})
 
 
 def schaff_trend_cycle(df: DataFrame, out: str, cycle: int = 10, key: str = "symbol", order: str = "ts") -> DataFrame:
-    w = series(key, order)
-    df = ewm(df, {"_fast": ("close", {"span": 12}), "_slow": ("close", {"span": 26})}, key, order).withColumn("_macd", F.col("_fast") - F.col("_slow"))
-    df = ewm(stochastic(df, "_macd", cycle, "_k1", w), {"_p1": ("_k1", {"span": 3})}, key, order)
-    df = ewm(stochastic(df, "_p1", cycle, "_k2", w), {out: ("_k2", {"span": 3})}, key, order)
-    return df.drop("_fast", "_slow", "_macd", "_k1", "_p1", "_k2")
+    return scan(df, [key], order, lambda c: {out: trend_cycle_values(c["close"], cycle)}, ["close"], {out: "double"})
 
 
 @windowed
@@ -127,18 +155,19 @@ def average_true_range(df: DataFrame, n: int, out: str, w: WindowSpec | None = N
     return df.withColumn(out, full(F.avg, "_tr", n, w, min_count=max(5, n // 4))).drop("_tr")
 
 
+def directional_moves(df: DataFrame, w: WindowSpec) -> DataFrame:
+    """_tr, _plus, _minus: true range and directional moves."""
+    df = true_range(df.withColumn("_up", F.col("high") - F.lag("high").over(w)).withColumn("_down", F.lag("low").over(w) - F.col("low")), "_tr", w)
+    plus = F.when((F.col("_up") > F.col("_down")) & (F.col("_up") > 0), F.col("_up")).otherwise(0.0)
+    minus = F.when((F.col("_down") > F.col("_up")) & (F.col("_down") > 0), F.col("_down")).otherwise(0.0)
+    return df.withColumns({"_plus": plus, "_minus": minus}).drop("_up", "_down")
+
+
 def directional_movement(df: DataFrame, n: int = 14, key: str = "symbol", order: str = "ts") -> DataFrame:
-    """plus_di, minus_di, adx with Wilder smoothing (alpha 1/n, n values needed)."""
-    w = series(key, order)
-    up, down = F.col("high") - F.lag("high").over(w), F.lag("low").over(w) - F.col("low")
-    df = true_range(df.withColumn("_up", up).withColumn("_down", down), "_tr", w)
-    df = df.withColumn("_plus", F.when((F.col("_up") > F.col("_down")) & (F.col("_up") > 0), F.col("_up")).otherwise(0.0))
-    df = df.withColumn("_minus", F.when((F.col("_down") > F.col("_up")) & (F.col("_down") > 0), F.col("_down")).otherwise(0.0))
-    how = {"alpha": 1 / n, "min_count": n}
-    df = ewm(df, {"_atr": ("_tr", how), "_plus_s": ("_plus", how), "_minus_s": ("_minus", how)}, key, order)
-    df = df.withColumn("plus_di", F.try_divide(100 * F.col("_plus_s"), "_atr")).withColumn("minus_di", F.try_divide(100 * F.col("_minus_s"), "_atr"))
-    df = df.withColumn("_dx", F.try_divide(100 * F.abs(F.col("plus_di") - F.col("minus_di")), F.col("plus_di") + F.col("minus_di")))
-    return ewm(df, {"adx": ("_dx", how)}, key, order).drop("_up", "_down", "_tr", "_plus", "_minus", "_atr", "_plus_s", "_minus_s", "_dx")
+    """plus_di, minus_di and adx."""
+    df = directional_moves(df, series(key, order))
+    made = scan(df, [key], order, lambda c: directional_values(c["_tr"], c["_plus"], c["_minus"], n), ["_tr", "_plus", "_minus"], dict.fromkeys(("plus_di", "minus_di", "adx"), "double"))
+    return made.drop("_tr", "_plus", "_minus")
 
 
 @windowed
@@ -180,8 +209,14 @@ def alpha_dataset(df: DataFrame, week: int = 168, key: str = "symbol", order: st
     for n in (10, 50):
         df = distance_from_ma(df, n, f"factor_dist_ma_{n}", w)
     df = money_flow(df, 14, "factor_mfi_14", w)
-    df = macd_normalized(df, "factor_macd_signal", key=key, order=order)
-    df = schaff_trend_cycle(df, "factor_stc", key=key, order=order)
-    df = directional_movement(df, 14, key, order)
-    df = df.withColumnsRenamed({"plus_di": "factor_plus_di", "minus_di": "factor_minus_di", "adx": "factor_adx"})
+    # All recurrences in one scan of a series, so the factors need one more exchange and no second one.
+    df = directional_moves(df, w)
+    names = {"plus_di": "factor_plus_di", "minus_di": "factor_minus_di", "adx": "factor_adx"}
+
+    def recurrences(c: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        dmi = directional_values(c["_tr"], c["_plus"], c["_minus"], 14)
+        return {names[k]: v for k, v in dmi.items()} | {"factor_macd_signal": macd_values(c["close"]), "factor_stc": trend_cycle_values(c["close"])}
+
+    outputs = ["factor_macd_signal", "factor_stc", *names.values()]
+    df = scan(df, [key], order, recurrences, ["close", "_tr", "_plus", "_minus"], dict.fromkeys(outputs, "double")).drop("_tr", "_plus", "_minus")
     return df.withColumn("factor_dmi_spread", F.col("factor_plus_di") - F.col("factor_minus_di"))

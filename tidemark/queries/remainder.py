@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 from functools import reduce
 
@@ -32,7 +34,11 @@ from tidemark.sources import tables as T
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A folder for a written table: the shared one where it is set, a temporary one in local sessions."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        folder = tempfile.mkdtemp(prefix="tidemark-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        root = "file://" + folder
     return f"{root}/{name}"
 
 
