@@ -66,3 +66,45 @@ def expanding_folds(n_splits: int, place: Column, n: Column) -> Column:
 
 def confusion(df: DataFrame, label: str, predicted: str) -> DataFrame:
     return df.groupBy(label, predicted).agg(F.count("*").alias("n"))
+
+
+#: Ordinal levels of two category columns; unknown levels count as 1.
+COURSE_LEVELS = {"Beginner": 1, "Intermediate": 2, "Advanced": 3}
+EXPERIENCE_LEVELS = {"Fresher": 1, "Student": 2, "Working Professional": 3}
+
+
+def level(column: str, levels: dict[str, int]) -> Column:
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in levels.items() for x in pair]), F.col(column)), F.lit(1))
+
+
+def _per(column: str, stat: str) -> Column:
+    """A column per fitted statistic, which counts as 1 at least."""
+    return F.col(column) / F.greatest(F.coalesce(F.col(stat).cast("double"), F.lit(1.0)), F.lit(1.0))
+
+
+def derived() -> dict[str, tuple[list[str], Column, int]]:
+    """Derived features: the columns each needs, its expression over them and the fitted statistics, its digits."""
+    c = F.col
+    return {
+        "engagement_score": (["Login_Frequency", "Discussion_Participation", "Assignments_Submitted"], 0.3 * _per("Login_Frequency", "_max_login") + 0.3 * _per("Discussion_Participation", "_max_discuss") + 0.4 * _per("Assignments_Submitted", "_max_assign"), 3),
+        "efficiency": (["Quiz_Score_Avg", "Progress_Percentage"], F.coalesce(c("Quiz_Score_Avg") * c("Progress_Percentage") / 10_000, F.lit(0.0)), 3),
+        "instructor_level_interaction": (["Instructor_Rating", "Course_Level"], c("Instructor_Rating") * level("Course_Level", COURSE_LEVELS), 3),
+        "total_session_time": (["Average_Session_Duration_Min", "Login_Frequency"], c("Average_Session_Duration_Min") * c("Login_Frequency"), 2),
+        "video_quiz_alignment": (["Video_Completion_Rate", "Quiz_Score_Avg"], c("Video_Completion_Rate") * c("Quiz_Score_Avg") / 10_000, 3),
+        "time_invested": (["Hours_Spent_Per_Week", "Course_Duration_Weeks"], c("Hours_Spent_Per_Week") * c("Course_Duration_Weeks"), 2),
+        "completion_satisfaction_alignment": (["Completion_Percentage", "Satisfaction_Score"], c("Completion_Percentage") * c("Satisfaction_Score") / 500, 3),
+        "workload_alignment": (["Experience_Level", "Hours_Spent_Per_Week"], _per("Hours_Spent_Per_Week", "_avg_hours") * level("Experience_Level", EXPERIENCE_LEVELS), 3),
+        "engagement_intensity": (["Completion_Percentage", "Hours_Spent_Per_Week"], _per("Completion_Percentage", "_avg_completion") * _per("Hours_Spent_Per_Week", "_avg_hours"), 3),
+        "video_per_chapter": (["nplay_video", "nchapters"], c("nplay_video") / (c("nchapters") + 1), 3),
+        "forum_per_day": (["nforum_posts", "ndays_act"], c("nforum_posts") / (c("ndays_act") + 1), 3),
+        "participation_ratio": (["nplay_video", "nforum_posts", "nevents"], (c("nplay_video") + c("nforum_posts")) / (c("nevents") + 1), 3),
+    }
+
+
+def enrich(df: DataFrame, fitted_on: DataFrame) -> DataFrame:
+    """df with every derived feature whose columns it has; statistics come from the fitting rows, as one row."""
+    wanted = {"_max_login": (F.max, "Login_Frequency"), "_max_discuss": (F.max, "Discussion_Participation"), "_max_assign": (F.max, "Assignments_Submitted"), "_avg_hours": (F.avg, "Hours_Spent_Per_Week"), "_avg_completion": (F.avg, "Completion_Percentage")}
+    stats = fitted_on.agg(*[(f(c) if c in fitted_on.columns else F.lit(None).cast("double")).alias(name) for name, (f, c) in wanted.items()], F.count(F.lit(1)).alias("_n"))
+    have = set(df.columns)
+    made = {name: F.bround(expr.cast("double"), digits) for name, (needs, expr, digits) in derived().items() if have >= set(needs)}
+    return df.crossJoin(F.broadcast(stats)).withColumns(made).drop(*wanted, "_n")

@@ -71,7 +71,7 @@ def p02(spark, d):
 
 source("p03_parse_numeric", lambda s, d: T.table(s, d, "orders").select("o_orderkey", C.number(F.concat(F.format_number("o_totalprice", 2), F.when(F.col("o_orderkey") % 7 == 0, "x").otherwise(""))).alias("x")), "SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END AS x FROM orders", "o_orderkey", "x", 2)
 source("p04_parse_dates", lambda s, d: T.table(s, d, "orders").select("o_orderkey", C.mixed_date(F.when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "yyyy/MM/dd")).when(F.col("o_orderkey") % 3 == 1, F.date_format("o_orderdate", "yyyyMMdd")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))).alias("date")), "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS date FROM orders", "o_orderkey date!")
-query("p05_column_types")(lambda s, d: s.createDataFrame([(k, c) for k, cs in zip(("number", "other"), C.numeric_columns(T.labelled(s, d)), strict=True) for c in cs], "kind string, column string"))
+query("p05_column_types", "SELECT kind, name FROM (VALUES ('number', 'doc_id'), ('number', 'n_chars'), ('number', 'quality'), ('number', 'toxic'), ('other', 'lang'), ('other', 'source')) t(kind, name)", "kind name")(lambda s, d: s.createDataFrame([(k, c) for k, cs in zip(("number", "other"), C.numeric_columns(T.labelled(s, d)), strict=True) for c in cs], "kind string, name string"))
 
 
 @query("p06_infer_types", "SELECT * FROM (VALUES ('doc_id', 'number'), ('lang', 'text'), ('n_chars', 'number'), ('day', 'date'), ('tag', 'id')) t(name, kind)", "name kind")

@@ -92,6 +92,22 @@ query("t08_union_of_tops", IC + " SELECT factor FROM (SELECT factor FROM ics ORD
 simple("x05_overlap_counts", lambda b: b.groupBy("symbol").agg(F.collect_set("volume").alias("v")).alias("x").crossJoin(b.where("symbol = 'click'").agg(F.collect_set("volume").alias("w"))).select("symbol", F.size(F.array_intersect("v", "w")).cast("long").alias("n")), "SELECT symbol, CAST(count(DISTINCT volume) AS BIGINT) AS n FROM v1 WHERE volume IN (SELECT volume FROM v1 WHERE symbol = 'click') GROUP BY symbol", "", "symbol n")
 simple("f12_long_only_alias", nav, NAV + " SELECT * FROM nv", "position nav", digits=4)
 
+COURSE = {"Login_Frequency": "n_chars % 50", "Discussion_Participation": "n_chars % 7", "Assignments_Submitted": "doc_id % 9", "Quiz_Score_Avg": "n_chars % 100", "Progress_Percentage": "doc_id % 100", "Hours_Spent_Per_Week": "n_chars % 20",
+          "Course_Duration_Weeks": "doc_id % 12", "Completion_Percentage": "n_chars % 97", "Satisfaction_Score": "doc_id % 5", "nplay_video": "n_chars % 300", "nchapters": "doc_id % 20", "nforum_posts": "n_chars % 11", "ndays_act": "doc_id % 30", "nevents": "n_chars % 900"}
+MADE = {"engagement_score": "0.3 * Login_Frequency / greatest((SELECT max(Login_Frequency) FROM cs), 1) + 0.3 * Discussion_Participation / greatest((SELECT max(Discussion_Participation) FROM cs), 1) + 0.4 * Assignments_Submitted / greatest((SELECT max(Assignments_Submitted) FROM cs), 1)",
+        "efficiency": "Quiz_Score_Avg * Progress_Percentage / 10000", "time_invested": "Hours_Spent_Per_Week * Course_Duration_Weeks", "completion_satisfaction_alignment": "Completion_Percentage * Satisfaction_Score / 500",
+        "workload_alignment": "Hours_Spent_Per_Week / greatest((SELECT avg(Hours_Spent_Per_Week) FROM cs), 1) * CASE lang WHEN 'en' THEN 2 WHEN 'de' THEN 3 ELSE 1 END",
+        "engagement_intensity": "Completion_Percentage / greatest((SELECT avg(Completion_Percentage) FROM cs), 1) * (Hours_Spent_Per_Week / greatest((SELECT avg(Hours_Spent_Per_Week) FROM cs), 1))",
+        "video_per_chapter": "nplay_video / (nchapters + 1)", "forum_per_day": "nforum_posts / (ndays_act + 1)", "participation_ratio": "(nplay_video + nforum_posts) / (nevents + 1)"}
+
+
+@query("p21_enrich_schema_conditional", f"WITH cs AS (SELECT doc_id, lang, {', '.join(f'{v} AS {k}' for k, v in COURSE.items())} FROM v7) SELECT doc_id, " + ", ".join(f"round_even({v}, 3) AS {k}" for k, v in MADE.items()) + " FROM cs", "doc_id", " ".join(MADE), 3)
+def p21(spark, d):
+    rows = T.labelled(spark, d)
+    rows = rows.select("doc_id", F.when(F.col("lang") == "en", "Student").when(F.col("lang") == "de", "Working Professional").otherwise(F.col("lang")).alias("Experience_Level"), *[F.expr(v).alias(k) for k, v in COURSE.items()])
+    return Tb.enrich(rows, rows)
+
+
 # --- grids and studies -------------------------------------------------------------------------------------
 
 

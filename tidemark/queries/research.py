@@ -272,7 +272,10 @@ query("a18_data_quality", "SELECT symbol, min(ts) AS a, max(ts) AS b, count(*) A
 # --- tabular -----------------------------------------------------------------------------------------------
 
 source("a19_completeness", lambda s, d: T.labelled(s, d).agg(F.avg(F.col("quality").isNotNull().cast("int")).alias("full"), F.avg("quality").alias("share"), F.count("*").alias("n")), "SELECT avg(CAST(quality IS NOT NULL AS INT)) AS \"full\", avg(quality) AS share, count(*) AS n FROM v7".replace('"full"', "complete"), "n", "share")
-query("a20_distributions", None, "column distribution cardinality")(lambda s, d: S.kinds_of(T.labelled(s, d), ["n_chars", "quality", "toxic"]))
+FACTS = " UNION ALL ".join(f"SELECT '{c}' AS name, min({c}) AS lo, max({c}) AS hi, CASE WHEN stddev_pop({c}) > 0 THEN skewness({c}) END AS skew, count(DISTINCT {c}) AS d, count({c}) AS n FROM v7" for c in ("n_chars", "quality", "toxic"))
+query("a20_distributions", f"""WITH fc AS ({FACTS}) SELECT name, CASE WHEN lo >= 0 AND hi <= 1 THEN 'ratio' WHEN lo >= 0 AND hi <= 5 THEN 'rating' WHEN lo >= 0 AND hi <= 6 THEN 'weekday' WHEN lo >= 0 AND hi <= 30 THEN 'date' WHEN lo >= 0 AND hi <= 100 THEN 'percentage'
+      WHEN lo >= 1990 AND hi <= 2100 THEN 'year' WHEN d / n < 0.15 THEN 'discrete' WHEN skew > 1 THEN 'right_skewed' WHEN abs(skew) < 0.5 THEN 'normal' ELSE 'general' END AS distribution,
+    CASE WHEN d <= 10 THEN 'low' WHEN d <= 50 AND d / n < 0.85 THEN 'medium' ELSE 'high' END AS cardinality FROM fc""", "name distribution cardinality")(lambda s, d: S.kinds_of(T.labelled(s, d), ["n_chars", "quality", "toxic"]).withColumnRenamed("column", "name"))
 source("a21_cardinality", lambda s, d: T.labelled(s, d).agg(F.count_distinct("lang").alias("lang"), F.count_distinct("source").alias("source"), F.count_distinct("doc_id").alias("doc")), "SELECT count(DISTINCT lang) AS lang, count(DISTINCT source) AS source, count(DISTINCT doc_id) AS doc FROM v7", "lang source doc")
 source("a22_tukey_fences", lambda s, d: Tb.fences(T.labelled(s, d), ["n_chars"]), "SELECT quantile_cont(n_chars, 0.25) - 1.5 * (quantile_cont(n_chars, 0.75) - quantile_cont(n_chars, 0.25)) AS n_chars_lo, quantile_cont(n_chars, 0.75) + 1.5 * (quantile_cont(n_chars, 0.75) - quantile_cont(n_chars, 0.25)) AS n_chars_hi FROM v7", "", "n_chars_lo n_chars_hi", 3)
 source("a23_feature_rank", lambda s, d: S.feature_gap(T.labelled(s, d).select("quality", F.col("n_chars").cast("double").alias("n_chars"), F.col("toxic").cast("double").alias("toxic")), "quality", ["n_chars", "toxic"], 0.0), "SELECT * FROM (SELECT 'n_chars' AS factor, abs(avg(n_chars) FILTER (WHERE quality = 0) - avg(n_chars) FILTER (WHERE quality = 1)) / stddev_samp(n_chars) AS gap FROM v7 UNION ALL SELECT 'toxic', abs(avg(toxic) FILTER (WHERE quality = 0) - avg(toxic) FILTER (WHERE quality = 1)) / stddev_samp(toxic) FROM v7) WHERE gap > 0", "factor", "gap")
@@ -297,4 +300,8 @@ source("m16_confusion", lambda s, d: Tb.confusion(T.labelled(s, d).withColumn("p
 source("m16_auc", lambda s, d: S.auc(T.labelled(s, d), "n_chars", "quality"), "WITH k AS (SELECT quality, rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2.0 AS r FROM v7) SELECT (sum(r) FILTER (WHERE quality = 1) - count(*) FILTER (WHERE quality = 1) * (count(*) FILTER (WHERE quality = 1) + 1) / 2.0) / (count(*) FILTER (WHERE quality = 1) * count(*) FILTER (WHERE quality = 0)) AS auc FROM k", "", "auc")
 source("m17_anova_f", lambda s, d: S.f_statistic(T.labelled(s, d).select("quality", F.col("n_chars").cast("double").alias("n_chars"), F.col("toxic").cast("double").alias("toxic")), "quality", ["n_chars", "toxic"]),
        "WITH l AS (SELECT quality, 'n_chars' AS factor, CAST(n_chars AS DOUBLE) AS v FROM v7 UNION ALL SELECT quality, 'toxic', toxic FROM v7), g AS (SELECT factor, quality, count(*) AS n, avg(v) AS m, var_pop(v) AS s FROM l GROUP BY 1, 2), a AS (SELECT factor, avg(v) AS m, count(*) AS n FROM l GROUP BY 1) SELECT g.factor, sum(g.n * pow(g.m - a.m, 2)) / (count(*) - 1) / (sum(g.n * g.s) / (any_value(a.n) - count(*))) AS f FROM g JOIN a USING (factor) GROUP BY g.factor", "factor", "f", 5)
-query("m18_mutual_information", None, "factor", "mi")(lambda s, d: S.mutual_information(T.labelled(s, d).select("quality", F.col("n_chars").cast("double").alias("n_chars"), F.col("toxic").cast("double").alias("toxic")), "quality", ["n_chars", "toxic"]))
+BINNED = """WITH l AS (SELECT quality AS y, 'n_chars' AS factor, CAST(n_chars AS DOUBLE) AS v FROM v7 UNION ALL SELECT quality, 'toxic', toxic FROM v7),
+    e AS (SELECT factor, quantile_cont(v, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS q FROM l GROUP BY factor), b AS (SELECT factor, y, len(list_filter(q, lambda x: v > x)) AS bin FROM l JOIN e USING (factor)),
+    c AS (SELECT factor, bin, y, count(*) AS n FROM b GROUP BY ALL), t AS (SELECT *, sum(n) OVER (PARTITION BY factor, bin) AS r, sum(n) OVER (PARTITION BY factor, y) AS k, sum(n) OVER (PARTITION BY factor) AS a FROM c)
+    SELECT factor, sum(n / a * ln(n * a / (r * k))) AS mi FROM t GROUP BY factor"""
+query("m18_mutual_information", BINNED, "factor", "mi")(lambda s, d: S.mutual_information(T.labelled(s, d).select("quality", F.col("n_chars").cast("double").alias("n_chars"), F.col("toxic").cast("double").alias("toxic")), "quality", ["n_chars", "toxic"]))
