@@ -1,6 +1,6 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax.
 
-A word is the bag of its hashed character n-grams (3 to 5 bytes of ``<word>``, A-Z lower-cased), so a
+A word is the bag of its hashed character n-grams (3 and 4 bytes of ``<word>``, A-Z lower-cased; not the word itself), so a
 misspelling that never occurred in training shares most of its vectors with the right spelling. Word
 vectors are averaged over segments of SEGMENT words and go into a two-class softmax; embeddings and softmax
 are trained jointly in numpy by Adagrad. A document's label says only that some segment earns it, so
@@ -32,10 +32,10 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import kernel
 
-SEGMENT = 8
+SEGMENT = 4
 BUCKETS = 1 << 16
 DIM = 8
-GRAMS = (3, 4, 5)
+GRAMS = (3, 4)
 SAMPLE = 2000
 ROUNDS = 4
 STEPS = 150
@@ -47,8 +47,8 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def subwords(data: np.ndarray, start: np.ndarray, end: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the n-grams of words, and where each word's begin (whole: hashes of the words, the last resort of short ones)."""
+def subwords(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the n-grams of words, and where each word's begin (the marks give every word one at least)."""
     n = len(start)
     length = end - start + 2
     first = np.concatenate([[0], np.cumsum(length)])
@@ -58,8 +58,7 @@ def subwords(data: np.ndarray, start: np.ndarray, end: np.ndarray, whole: np.nda
     word = np.repeat(np.arange(n), length - 2)
     inner = np.arange(len(word)) - np.repeat(np.cumsum(length - 2) - (length - 2), length - 2)
     text[first[word] + 1 + inner] = data[start[word] + inner]
-    at, owner = [first[:-1]], [np.arange(n)]
-    ids = [whole]
+    owner, ids = [], []
     for g in GRAMS:
         count = np.maximum(length - g + 1, 0)
         own = np.repeat(np.arange(n), count)
@@ -67,7 +66,6 @@ def subwords(data: np.ndarray, start: np.ndarray, end: np.ndarray, whole: np.nda
         h = np.full(len(pos), np.uint64(g))
         for k in range(g):
             h = h * kernel.BASE + text[pos + k] + np.uint64(1)
-        at.append(pos)
         owner.append(own)
         ids.append(kernel.mix(h))
     owner_all = np.concatenate(owner)
@@ -101,7 +99,7 @@ class Model:
         top, n = np.full(len(words.rows), self.bias), np.zeros(len(words.rows))
         if not len(at):
             return top, n
-        buckets, first = subwords(words.data, words.start[at], words.end[at], words.hash[at])
+        buckets, first = subwords(words.data, words.start[at], words.end[at])
         size = np.diff(np.append(first, len(buckets)))
         of_word = (np.add.reduceat(self.evidence[buckets], first) / size)[which]
         total = np.concatenate([[0.0], np.cumsum(of_word)])
@@ -164,7 +162,7 @@ def train(texts: pa.Array, toxic: np.ndarray) -> Model:
         values, at = np.unique(words.hash, return_index=True)
         new = ~np.isin(values, seen, assume_unique=True)
         if new.any():
-            buckets, first = subwords(words.data, words.start[at[new]], words.end[at[new]], values[new])
+            buckets, first = subwords(words.data, words.start[at[new]], words.end[at[new]])
             grams.append(buckets.astype(np.int32))
             sizes.append(np.diff(np.append(first, len(buckets))).astype(np.int32))
             fresh.append(values[new])
