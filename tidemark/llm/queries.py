@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import chat_format, decontaminate, ngram_join, quality, source_mix, substring_dedup, token_count, topk_search, toxicity, url_filter
-from tidemark.llm.storage import table
+from tidemark.llm.storage import bound_batches, table
 
 
 def tokenizer_file(name: str) -> bytes:
@@ -83,6 +85,15 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), n=3, similarity=(90, 100))
 
 
+def bounded(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @wraps(run)
+    def call(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bound_batches(spark)
+        return run(spark, sf_dir)
+
+    return call
+
+
 def queries() -> dict:
     """Query name to function of (spark, sf_dir)."""
-    return {f.__name__: f for f in (op1_url_filter, op2_decontamination, op3_token_counts, op4_substring_dedup, op5_quality, op6_chat_formatting, op7_exact_topk, op8_source_mix, op9_toxicity, op10_ngram_join)}
+    return {f.__name__: bounded(f) for f in (op1_url_filter, op2_decontamination, op3_token_counts, op4_substring_dedup, op5_quality, op6_chat_formatting, op7_exact_topk, op8_source_mix, op9_toxicity, op10_ngram_join)}

@@ -26,6 +26,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Bytes of rows that go to a Python worker at once. Spark's default of 64 MB is several times that in a task.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Limit Arrow batches to BATCH_BYTES where the session leaves Spark's default."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "") in ("67108864b", "64m", "67108864"):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 #: Paths of the tables that written() has made and nothing has deleted.
 _MADE: set[str] = set()
 
