@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, ngram_join, source_mix, substring_dedup, toxicity
-from tidemark.llm.storage import discard, made, release, table, written
+from tidemark.llm.storage import bound_batches, discard, made, release, table, written
 
 #: No SQL: stages hold trained models. Tests hold every stage against a brute-force version.
 ORACLE_SQL = None
@@ -29,6 +29,7 @@ def stage(fn: Callable) -> Callable:
 
     @wraps(fn)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bound_batches(spark)
         release(spark, _LEFT)
         _LEFT.clear()
         before = made()
