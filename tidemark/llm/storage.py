@@ -33,7 +33,7 @@ BATCH_BYTES = 8 << 20
 def bound_batches(spark: SparkSession) -> None:
     """Limit Arrow batches to BATCH_BYTES where the session leaves Spark's default."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, "") in ("67108864b", "64m", "67108864"):
+    if spark.conf.get(key) in ("67108864b", "64m", "67108864"):
         spark.conf.set(key, str(BATCH_BYTES))
 
 
