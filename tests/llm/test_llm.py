@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tests.oracle import compare
 from tidemark.llm import chat_format, decontaminate, kernel, ngram_join, oracles, quality, queries, source_mix, substring_dedup, token_count, topk_search, toxicity, url_filter
+from tidemark.llm.components import connected
 from tidemark.llm.fm_index import FMIndex
 
 SF = "/root/testdata/sf0.001"
@@ -486,6 +487,28 @@ def test_signatures_are_complete():
                 assert len(np.intersect1d(ngram_join.signatures(x, num, den), ngram_join.signatures(y, num, den)))
 
 
+def test_components_of_long_chains_and_random_graphs(spark):
+    """The shuffled chain needs hundreds of rounds where labels move one link a round."""
+    rng = random.Random(11)
+    chain = rng.sample(range(1000), 1000)
+    links = list(itertools.pairwise(chain)) + [(2000 - i, 1999 - i) for i in range(300)]
+    links += [(3000 + rng.randrange(400), 3000 + rng.randrange(400)) for _ in range(250)] + [(5000, 5000 - i) for i in range(1, 40)]
+    parent = {i: i for pair in links for i in pair}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in links:
+        ra, rb = sorted((find(a), find(b)))
+        parent[rb] = ra
+    linked = {i for a, b in links if a != b for i in (a, b)}
+    got = connected(spark.createDataFrame(links, "a long, b long")).collect()
+    assert sorted((r["id"], r["component"]) for r in got) == sorted((i, find(i)) for i in linked)
+    assert connected(spark.createDataFrame([(1, 1)], "a long, b long")).count() == 0
+
+
 def test_no_rows(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_join.near_duplicates(df, 3, (90, 100)).count() == 0
