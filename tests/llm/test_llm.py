@@ -509,6 +509,29 @@ def test_components_of_long_chains_and_random_graphs(spark):
     assert connected(spark.createDataFrame([(1, 1)], "a long, b long")).count() == 0
 
 
+def test_every_link_counts(spark, docs, monkeypatch):
+    """Links inside components too, for each document as many as brute force finds; classes cut into several blocks."""
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 4)
+    rng = random.Random(12)
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    base = prose(rng, 60)
+    rows += [(1000 + k, edited(rng, base, k % 4)) for k in range(24)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: shingles(t, 3) for i, t in rows if i is not None}
+    expected = Counter()
+    for (a, x), (b, y) in itertools.combinations(sets.items(), 2):
+        if x and y and 100 * len(x & y) >= 80 * len(x | y):
+            expected.update((a, b))
+    got = {r["doc_id"]: r["n_links"] for r in ngram_join.near_duplicates(df, 3, (80, 100), count_links=True).collect()}
+    assert got == {i: expected[i] for i in sets} | {None: 0}
+    components = Counter(c for _, _, c in brute_components(rows, 3, 80, 100))
+    assert any(0 < expected[i] < components[c] - 1 for i, _, c in brute_components(rows, 3, 80, 100))
+
+
+def test_links_by_sql(spark):
+    compare(spark, queries.op10_ngram_links, oracles.OP10_LINKS, SF)
+
+
 def test_no_rows(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_join.near_duplicates(df, 3, (90, 100)).count() == 0

@@ -14,11 +14,16 @@ parts more than needed, sets share E + 1 parts; a set with at most E parts in wh
 
 Sets that are equal are joined first, by a 128-bit hash, and one representative goes on. In each group of a
 shared signature all members are compared with one pivot (the member with most company), which joins groups
-of near copies in one round; what stays apart within a group is then compared pair by pair, so no link is
-lost. Before sets are compared, sizes and parity sketches (about two bits an element) rule out pairs: every differing
+of near copies in one round; what stays apart within a group is then compared pair by pair, so no class
+is split. Before sets are compared, sizes and parity sketches (about two bits an element) rule out pairs: every differing
 element flips one bit, so more differing bits than k prove the distance. Sketches fold to half their length by
 exclusive or; short folds travel with the signatures and are tested inside the join, the long ones with the pairs.
 
+The number of links counts for every document all others that reach the similarity. Links lie inside classes,
+so each class is cut into blocks by hash and every pair of blocks is one group: the elements' incidence
+matrices are multiplied, which gives the exact intersection of every pair, and a link counts for as many
+documents as its other set stands for. Tasks are bounded by blocks; work grows with the square of a class.
+
 Result: one row per row of the input. Cases: texts without words (null, empty, blank) have an empty set and
 link with nothing; with fewer than n words the whole sequence is one shingle; rows with a null id link with
 nothing; rows that share an id are one document in what they link to; rows that repeat are kept; an empty
@@ -42,6 +47,7 @@ from tidemark.llm.components import connected
 from tidemark.llm.storage import discard, written
 
 FOLD_LONGS = 16
+BLOCK_ROWS, BLOCK_CHARS = 256, 4 << 20
 
 
 def band_of(size: int, num: int, den: int) -> tuple[int, int, int]:
@@ -231,8 +237,61 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int, kin
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(compare(n, num, den), f"a {kind}, b {kind}")
 
 
-def near_duplicates(docs: DataFrame, n: int, similarity: tuple[int, int], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (least id reachable by links of similarity num / den) of every row."""
+def intersections(xs: list[np.ndarray], ys: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Number of common elements of every x and y, by products of incidence matrices of so many columns."""
+    every = xs + ys
+    values, column, seen = np.unique(np.concatenate(every), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(every)), [len(e) for e in every])
+    order = np.argsort(column, kind="stable")
+    order = order[seen[column[order]] > 1]
+    row, column = row[order], column[order]
+    out = np.zeros((len(xs), len(ys)))
+    for first in range(0, len(values), width):
+        a, b = np.searchsorted(column, [first, first + width])
+        if a < b:
+            at = np.zeros((len(every), width), np.float32)
+            at[row[a:b], column[a:b] - first] = 1
+            out += at[: len(xs)] @ at[len(xs) :].T
+    return out.astype(np.int64)
+
+
+def links_of_blocks(n: int, num: int, den: int):
+    """applyInArrow function: id and number of documents linked with, for the two blocks (side 0 and 1) of a group or the one."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        sets = [e for words in kernel.slices(rows.column("text").combine_chunks(), lower=True) for e in shingle_sets(words, n)]
+        side, weight = rows.column("side").to_numpy(), rows.column("weight").to_numpy()
+        size = np.array([len(e) for e in sets], np.int64)
+        one = rows.column("low")[0].as_py() == rows.column("high")[0].as_py()
+        x, y = (np.arange(len(sets)),) * 2 if one else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+        common = intersections([sets[i] for i in x], [sets[i] for i in y])
+        link = (common > 0) & (den * common >= num * (size[x][:, None] + size[y][None, :] - common))
+        found = np.zeros(len(sets), np.int64)
+        if one:
+            np.fill_diagonal(link, False)
+            found = link @ weight
+        else:
+            found[x], found[y] = link @ weight[y], link.T @ weight[x]
+        return pa.table({"id": rows.column("id"), "n_links": pa.array(found, pa.int64())})
+
+    return run
+
+
+def links_between(members: DataFrame, texts: DataFrame, n: int, num: int, den: int, kind: str) -> DataFrame:
+    """id and n_links of members (id, component, weight): how many documents the other members it links with stand for."""
+    rows = written(members.join(texts, "id"), "members")
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum(F.length("text")) / BLOCK_CHARS)).cast("int")
+    rows = rows.join(rows.groupBy("component").agg(F.greatest(F.lit(1), blocks).alias("blocks")), "component")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = rows.select("id", "text", "weight", "component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), (F.col("block") > F.col("other")).cast("int").alias("side"))
+    return pairs.groupBy("component", "low", "high").applyInArrow(links_of_blocks(n, num, den), f"id {kind}, n_links long").groupBy("id").agg(F.sum("n_links").alias("n_links"))
+
+
+def near_duplicates(docs: DataFrame, n: int, similarity: tuple[int, int], doc_id: str = "doc_id", text: str = "text", count_links: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id (least id reachable by links of similarity num / den) of every row.
+
+    With count_links also n_links, the number of other documents that the row's links with.
+    """
     num, den = similarity
     kind = dict(docs.dtypes)[doc_id]
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
@@ -278,10 +337,20 @@ def near_duplicates(docs: DataFrame, n: int, similarity: tuple[int, int], doc_id
         more = written(verified(rest, texts, n, num, den, kind), "links")
         if more.limit(1).count():
             parts = connected(links.union(more))
-    classes = same.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("component"))
+    classes = same.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", "n", "rep", F.coalesce("component", "rep").alias("component"))
+    if count_links:
+        weights = written(usable.select("h1", "h2", "n", "id").distinct().groupBy("h1", "h2", "n").agg(F.count("*").alias("weight")), "weights")
+        classes = classes.join(weights, ["h1", "h2", "n"])
+        members = classes.select(F.col("rep").alias("id"), "weight").join(parts, "id")
+        between = written(links_between(members, texts, n, num, den, kind), "n_links").withColumnRenamed("id", "rep")
+        classes = classes.join(between, "rep", "left").withColumn("links", F.coalesce("n_links", F.lit(0)) + F.col("weight") - 1).drop("n_links", "weight")
+    classes = classes.drop("rep")
     out = sets.select("id", "n", "h1", "h2").join(classes, ["h1", "h2", "n"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    columns = [F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), component.alias("component_id")]
+    if count_links:
+        columns.append(F.when(F.col("id").isNotNull(), F.coalesce("links", F.lit(0))).otherwise(0).cast("long").alias("n_links"))
+    return out.select(*columns)
 
 
 def keep_one(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (80, 100), doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -51,6 +51,11 @@ SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, c.component_id
 FROM documents d LEFT JOIN sizes s USING (doc_id) JOIN (SELECT origin AS doc_id, min(node) AS component_id FROM reach GROUP BY origin) c USING (doc_id)
 """
 
+OP10_LINKS = OP10.replace(
+    "SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, c.component_id",
+    "SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, c.component_id, (SELECT count(*) FROM both_ways l WHERE l.a = d.doc_id) AS n_links",
+)
+
 OP4 = r"""
 WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM texts),
@@ -73,4 +78,4 @@ FROM documents LEFT JOIN kept USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substring_dedup": OP4, "op6_chat_formatting": OP6, "op7_exact_topk": OP7, "op10_ngram_join": OP10}
+    return {"op4_substring_dedup": OP4, "op6_chat_formatting": OP6, "op7_exact_topk": OP7, "op10_ngram_join": OP10, "op10_ngram_links": OP10_LINKS}

@@ -85,6 +85,11 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), n=3, similarity=(90, 100))
 
 
+def op10_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The join with the number of links of every document."""
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), n=3, similarity=(90, 100), count_links=True)
+
+
 def bounded(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @wraps(run)
     def call(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,4 +101,4 @@ def bounded(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSes
 
 def queries() -> dict:
     """Query name to function of (spark, sf_dir)."""
-    return {f.__name__: bounded(f) for f in (op1_url_filter, op2_decontamination, op3_token_counts, op4_substring_dedup, op5_quality, op6_chat_formatting, op7_exact_topk, op8_source_mix, op9_toxicity, op10_ngram_join)}
+    return {f.__name__: bounded(f) for f in (op1_url_filter, op2_decontamination, op3_token_counts, op4_substring_dedup, op5_quality, op6_chat_formatting, op7_exact_topk, op8_source_mix, op9_toxicity, op10_ngram_join, op10_ngram_links)}
