@@ -389,6 +389,20 @@ def test_mix_of_the_tables(spark):
     assert mixed.count() == copies
 
 
+def test_repeated_rows_get_all_that_the_mix_took(spark, monkeypatch):
+    monkeypatch.setattr(source_mix, "GROUP_DOCS", 64)
+    rows = [(None, "one two three", "a", i) for i in range(300)] + [(7, "four five", None, i) for i in range(50)] + [(i, "six seven", "b", i) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n long")
+    taken, got = Counter(), Counter()
+    for r in source_mix.balance(df).collect():
+        taken[r["doc_id"], r["source"]] += r["copies"]
+    mixed = source_mix.repeat_rows(df).collect()
+    for r in mixed:
+        got[r["doc_id"], r["source"]] += 1
+    assert got == +taken and taken[None, "a"] % 300
+    assert len({(r["doc_id"], r["source"], r["n"], r["mix_copy"]) for r in mixed}) == len(mixed)
+
+
 # --- 9 toxicity --------------------------------------------------------------------------------------------------------------------
 
 

@@ -105,12 +105,30 @@ def balance(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
 def repeat_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """The mix itself: every row of docs as often as the mix takes it, with copy (from 1) and the mix's figures.
 
-    Rows that agree in id, source and text share their copies evenly.
+    Rows that agree in id, source and text share the sum of their copies: each has its whole part, the first rows one more.
     """
     taken = balance(docs, doc_id, text, source, **options)
-    taken = taken.groupBy("doc_id", "source", "mark", "size", "source_size", "target").agg(F.floor(F.avg("copies")).alias("copies")).where("copies > 0")
+    taken = taken.groupBy("doc_id", "source", "mark", "size", "source_size", "target").agg(F.sum("copies").alias("copies"), F.count("*").alias("n")).where("copies > 0")
     taken = taken.select(*[F.col(c).alias(f"{c}_of_mix") for c in taken.columns])
     on = F.col(doc_id).eqNullSafe(F.col("doc_id_of_mix")) & (mark_of(F.col(text)) == F.col("mark_of_mix")) & F.col(source).eqNullSafe(F.col("source_of_mix"))
     own = [F.col(f"`{c}`") for c in docs.columns]
     figures = [F.col(f"{c}_of_mix").alias(f"mix_{c}") for c in ("size", "source_size", "target")]
-    return docs.join(taken, on).select(*own, F.explode(F.sequence(F.lit(1), F.col("copies_of_mix").cast("int"))).alias("mix_copy"), *figures)
+    rows = written(docs.join(written(taken, "taken"), on).select(F.struct(*own).alias("row"), *[f"{c}_of_mix" for c in ("doc_id", "source", "mark", "n", "copies")], *figures, F.monotonically_increasing_id().alias("place")), "rows")
+    least = F.floor(F.col("copies_of_mix") / F.col("n_of_mix"))
+    more = F.col("copies_of_mix") % F.col("n_of_mix")
+    once = rows.where("n_of_mix = 1 or copies_of_mix % n_of_mix = 0").withColumn("copies", least)
+    # Repeated rows are numbered in parts of about GROUP_DOCS, so that no group lands in one task.
+    key = ["doc_id_of_mix", "source_of_mix", "mark_of_mix"]
+    part = F.pmod(F.xxhash64("place"), F.ceil(F.col("n_of_mix") / GROUP_DOCS)).alias("part")
+    repeated = rows.where("n_of_mix > 1 and copies_of_mix % n_of_mix <> 0").select("*", part)
+    parts = repeated.groupBy(*key, "part").agg(F.count("*").alias("in_part"))
+    before = F.coalesce(F.sum("in_part").over(Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select(*[F.col(c).alias(f"{c}_") for c in (*key, "part")], before.alias("before"))
+    same = F.col("part") == F.col("part_")
+    for c in key:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}_"))
+    number = F.col("before") + F.row_number().over(Window.partitionBy(*key, "part").orderBy("place"))
+    spread = repeated.join(parts, same).withColumn("copies", least + (number <= more).cast("long"))
+    columns = ["row", "copies", *[f"mix_{c}" for c in ("size", "source_size", "target")]]
+    each = once.select(*columns).unionByName(spread.select(*columns)).where("copies > 0")
+    return each.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("mix_copy"), *columns[2:])
