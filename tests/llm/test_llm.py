@@ -130,6 +130,15 @@ def test_host_names_are_split_like_the_best_split(spark):
     assert seg.split("bluestone") == ("blue", "stone")
 
 
+def test_names_split_beside_a_million_words(spark):
+    """A string that is no word stays unseen however many words there are."""
+    word = lambda i: F.concat(F.lit("z"), F.translate(i.cast("string"), "0123456789", "abcdefghij"))
+    many = F.array_join(F.transform(F.sequence(F.col("page_id") * 1000, F.col("page_id") * 1000 + 999), word), " ")
+    html = F.when(F.col("page_id") < 60, F.concat(many, F.lit(" blue stone"))).otherwise(many)
+    df = spark.range(1100).select(F.col("id").alias("page_id"), F.lit("http://bluestone.net/").alias("url"), F.lit(None).alias("x")).withColumn("html", html)
+    assert {r["host_words"] for r in url_filter.filter_urls(df, queries.RULES).select("host_words").distinct().collect()} == {"blue stone"}
+
+
 def test_naive_bayes_counts(spark):
     """The odds are those of a multinomial model over hashed tokens of the rule-decided URLs."""
     urls = ["http://good.org/river"] * 3 + ["http://bad.com/de/mud", "http://x.net/river", "http://x.net/mud"]
