@@ -198,6 +198,27 @@ def test_token_counts(spark, docs):
         assert (got[i]["n_bytes"], got[i]["n_tokens"]) == (len((t or "").encode()), len(sp.encode(t or ""))), repr(t)
     assert token_count.count_tokens(docs, model).where("doc_id is null").count() == 1
     assert token_count.count_tokens(df.limit(0), model).count() == 0
+    again = token_count.count_tokens(df.select(F.lit(1).alias("doc_id"), "text").repartition(3), model)
+    assert Counter(r["n_tokens"] for r in again.collect()) == Counter(r["n_tokens"] for r in got.values())
+
+
+@pytest.mark.parametrize("heavy", [8, 700])
+def test_few_heavy_pre_tokens(spark, monkeypatch, heavy):
+    """Whatever is broadcast and however long pre-tokens are, counts stay the same."""
+    import sentencepiece
+
+    rng = random.Random(heavy)
+    model = queries.tokenizer_file("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_proto=model)
+    texts = [prose(rng, rng.randrange(400)) + " the" * rng.randrange(50) + rng.choice([" ", "  ", " " + "long" * 30]) for _ in range(120)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    monkeypatch.setattr(token_count, "HEAVY", heavy)
+    known = token_count.heavy_pieces(df, model)
+    count = Counter(p for t in texts for p in token_count.pre_tokens(t))
+    often = {token_count.brief(p) for p, n in count.items() if n >= 2 * sum(count.values()) / heavy}
+    assert often <= known.keys() and len(known) <= heavy
+    got = {r["doc_id"]: r["n_tokens"] for r in token_count.count_tokens(df, model).collect()}
+    assert got == {i: len(sp.encode(t)) for i, t in enumerate(texts)}
 
 
 def test_token_counts_of_the_tables(spark):
