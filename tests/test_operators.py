@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import rolling as R
 from tidemark.functions import technical as X
-from tidemark.operators import alignment, backtest, breadth, cleaning, econometrics, folds, montecarlo, portfolio, rules, tabular
+from tidemark.operators import alignment, backtest, breadth, cleaning, econometrics, folds, montecarlo, allocation, rules, tabular
 from tidemark.sources import tables
 
 
@@ -129,6 +129,31 @@ def test_johansen_finds_the_relation(spark):
     assert r["rank"] >= 1 and abs(r["beta"]) == pytest.approx(0.8, abs=0.1) and r["max_root"] < 1
 
 
+def test_johansen_by_canonical_correlations(spark):
+    """The eigenvalues are the squared canonical correlations of differences and lagged levels given the lagged differences."""
+    rng = np.random.default_rng(12)
+    lx = np.cumsum(rng.normal(0, 0.02, 400)) + 3
+    ly = 0.5 + 0.6 * lx + rng.normal(0, 0.03, 400)
+    r = econometrics.johansen(series(spark, "y", np.exp(ly), x=np.exp(lx)), ["symbol"], "ts", most_lags=1).first()
+    level = np.stack([ly, lx], axis=1)
+    diff = np.diff(level, axis=0)
+    z = np.concatenate([np.ones((398, 1)), diff[:-1]], axis=1)
+    rest = lambda a: a - z @ np.linalg.solve(z.T @ z, z.T @ a)
+    q = lambda a: np.linalg.qr(a)[0]
+    canonical = np.linalg.svd(q(rest(diff[1:])).T @ q(rest(level[1:-1])))[1] ** 2
+    assert r["trace0"] == pytest.approx(-398 * np.log(1 - canonical).sum()) and r["trace1"] == pytest.approx(-398 * math.log(1 - canonical[1]))
+    assert r["max0"] == pytest.approx(-398 * math.log(1 - canonical[0])) and r["aic_lag"] == 1
+
+
+def test_johansen_of_degenerate_series(spark):
+    rng = np.random.default_rng(13)
+    x = np.exp(np.cumsum(rng.normal(0, 0.02, 200)))
+    for y in (x, 2 * x, np.ones(200), np.where(np.arange(200) < 195, -1.0, x)):
+        r = econometrics.johansen(series(spark, "y", y, x=x), ["symbol"], "ts").first()
+        assert r["rank"] is None and r["trace0"] is None and r["beta"] is None
+    assert econometrics.johansen(series(spark, "y", x[:5], x=x[:5]), ["symbol"], "ts").first()["aic_lag"] is None
+
+
 def test_rolling_adf_equals_the_plain_one(spark):
     rng = np.random.default_rng(3)
     e = np.cumsum(rng.normal(size=80)) * 0.3 + rng.normal(size=80)
@@ -187,7 +212,7 @@ def test_exact_paths_price_near_black_scholes(spark):
 
 
 def test_mean_variance_prefers_the_better_asset():
-    w = portfolio.mean_variance(np.array([0.3, 0.0, -0.5]), np.eye(3) * 0.04)
+    w = allocation.mean_variance(np.array([0.3, 0.0, -0.5]), np.eye(3) * 0.04)
     assert w.sum() == pytest.approx(1) and w[0] > w[1] >= w[2] == 0
 
 

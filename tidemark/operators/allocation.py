@@ -1,4 +1,4 @@
-"""Portfolio weights from grouped moments of asset returns, and portfolio returns."""
+"""Allocation weights from grouped moments of asset returns, and allocation returns."""
 
 from __future__ import annotations
 
@@ -50,6 +50,6 @@ def optimal(returns: DataFrame, asset: str = "symbol", ret: str = "pnl", order:
     return dict(zip(names, w.tolist(), strict=True))
 
 
-def portfolio_returns(returns: DataFrame, weights: DataFrame, weight: str, asset: str = "symbol", ret: str = "pnl", order: str = "ts") -> DataFrame:
+def allocation_returns(returns: DataFrame, weights: DataFrame, weight: str, asset: str = "symbol", ret: str = "pnl", order: str = "ts") -> DataFrame:
     """Weighted sum by date; a missing return counts as 0."""
     return returns.join(F.broadcast(weights.select(asset, F.col(weight).alias("_w"))), asset).groupBy(order).agg(F.sum(F.coalesce(ret, F.lit(0.0)) * F.col("_w")).alias("pnl"))

@@ -173,13 +173,24 @@ def var_order(data: np.ndarray, most: int) -> tuple[int, int, np.ndarray]:
     return aic, min(best, key=lambda p: best[p][1]), best[aic][2]
 
 
+DOUBLES = ("trace0", "trace1", "max0", "max1", "beta", "max_root")
+
+
 def johansen(df: DataFrame, keys: list[str], order: str, most_lags: int = 8) -> DataFrame:
     """Johansen's test of log prices y, x: eigenvalues, trace and max-eigenvalue statistics, rank at 5 %, hedge ratio,
-    with AIC and BIC lags of log returns and the largest companion root."""
+    with AIC and BIC lags of log returns and the largest companion root.
+
+    Where the rows are too few or a moment matrix is singular (one series a multiple of the other, constant series)
+    statistics, rank and hedge ratio are null. Non-positive and null prices are left out.
+    """
 
     def test(key: tuple, rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([(order, "ascending")])
-        level = np.log(np.stack([rows.column("y").to_numpy(), rows.column("x").to_numpy()], axis=1))
+        price = np.stack([rows.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("y", "x")], axis=1)
+        level = np.log(price[(price > 0).all(axis=1)])
+        empty = pa.table({**{k: [v.as_py()] for k, v in zip(keys, key, strict=True)}, **{k: pa.nulls(1, pa.float64()) for k in DOUBLES}, **{k: pa.nulls(1, pa.int64()) for k in ("rank", "aic_lag", "bic_lag")}})
+        if len(level) < 20:
+            return empty
         diff = np.diff(level, axis=0)
         aic, bic, coef = var_order(diff, max(1, min(most_lags, len(diff) // 10)))  # ten rows a lag at least
         p = max(1, aic)
@@ -192,9 +203,16 @@ def johansen(df: DataFrame, keys: list[str], order: str, most_lags: int = 8) ->
         r0, r1 = left(y), left(lagged)
         n = len(r0)
         s00, s11, s01 = r0.T @ r0 / n, r1.T @ r1 / n, r0.T @ r1 / n
+        lags = {"aic_lag": pa.array([aic], pa.int64()), "bic_lag": pa.array([bic], pa.int64())}
+        # A residual is nothing but rounding where its variance is next to none of the series' own.
+        own = [(a - a.mean(axis=0)).var(axis=0) for a in (y, lagged)]
+        if n <= z.shape[1] + 2 or any((np.diag(m) <= 1e-12 * v).any() or np.linalg.cond(m) > 1e12 for m, v in zip((s00, s11), own, strict=True)):
+            for k, v in lags.items():
+                empty = empty.set_column(empty.schema.get_field_index(k), k, v)
+            return empty
         values, vectors = np.linalg.eig(np.linalg.solve(s11, s01.T) @ np.linalg.solve(s00, s01))
         by = np.argsort(-values.real)
-        values, vectors = values.real[by], vectors.real[:, by]
+        values, vectors = np.clip(values.real[by], 0.0, 1 - 1e-15), vectors.real[:, by]
         trace = [-n * np.log(1 - values[i:]).sum() for i in range(2)]
         largest = [-n * math.log(1 - v) for v in values]
         rank = 0 if trace[0] < TRACE_5[0] else 1 if trace[1] < TRACE_5[1] else 2
@@ -202,7 +220,7 @@ def johansen(df: DataFrame, keys: list[str], order: str, most_lags: int = 8) ->
         return pa.table({**{k: [v.as_py()] for k, v in zip(keys, key, strict=True)}, **{k: [float(v)] for k, v in out.items()}, "rank": [rank], "aic_lag": [aic], "bic_lag": [bic]})
 
     kinds = ", ".join(f"{k} {dict(df.dtypes)[k]}" for k in keys)
-    doubles = ", ".join(f"{c} double" for c in ("trace0", "trace1", "max0", "max1", "beta", "max_root"))
+    doubles = ", ".join(f"{c} double" for c in DOUBLES)
     return df.select(*keys, order, "y", "x").groupBy(*keys).applyInArrow(test, f"{kinds}, {doubles}, rank long, aic_lag long, bic_lag long")
 
 

@@ -138,7 +138,7 @@ source("j08_calendar_reindex", lambda s, d: panel(s, d).withColumn("valid", F.co
 simple("j09_semi_join", lambda b: b.join(b.where("symbol = 'click'").select("ts"), "ts", "left_semi").groupBy("symbol").agg(F.count("*").alias("n")), "SELECT symbol, count(*) AS n FROM v1 WHERE ts IN (SELECT ts FROM v1 WHERE symbol = 'click') GROUP BY symbol", "", "symbol n")
 simple("j10_missing_bars", lambda b: J.missing_bars(b), "SELECT symbol, ts FROM (SELECT symbol, unnest(generate_series(min(ts), max(ts), INTERVAL 1 HOUR)) AS ts FROM v1 GROUP BY symbol) g ANTI JOIN v1 USING (symbol, ts)", "")
 source("j11_as_of", lambda s, d: (lambda p: J.last_known(p.withColumn("k", F.lit(1)), p.where(F.dayofmonth("date") <= 2).select(F.lit(1).alias("k"), "date", F.col("y").alias("beta")), ["k"], "date", ["beta"]))(T.pair(s, d)), "SELECT a.date, b.y AS beta FROM v2 a ASOF LEFT JOIN (SELECT date, y FROM v2 WHERE day(date) <= 2) b ON a.date >= b.date", "date!", "beta", -1)
-simple("j13_portfolio_alignment", lambda b: b.where("symbol in ('click', 'view')").groupBy("ts").pivot("symbol", ["click", "view"]).agg(F.first("close")).na.fill(0.0), "SELECT ts, coalesce(max(close) FILTER (WHERE symbol = 'click'), 0) AS click, coalesce(max(close) FILTER (WHERE symbol = 'view'), 0) AS view FROM v1 WHERE symbol IN ('click', 'view') GROUP BY ts", "click view", "ts")
+simple("j13_allocation_alignment", lambda b: b.where("symbol in ('click', 'view')").groupBy("ts").pivot("symbol", ["click", "view"]).agg(F.first("close")).na.fill(0.0), "SELECT ts, coalesce(max(close) FILTER (WHERE symbol = 'click'), 0) AS click, coalesce(max(close) FILTER (WHERE symbol = 'view'), 0) AS view FROM v1 WHERE symbol IN ('click', 'view') GROUP BY ts", "click view", "ts")
 simple("j14_standardise_by_train", lambda b: J.standardise_by(B.split_rows(b, ["symbol"]), ["close"], ["symbol"], "split = 'train'"), f"""WITH n AS (SELECT *, row_number() OVER ({W}) - 1 AS rn, count(*) OVER (PARTITION BY symbol) AS n FROM v1), f AS (SELECT *, CASE WHEN rn < floor(n * 6 / 10) THEN close END AS t FROM n)
     SELECT symbol, ts, (close - avg(t) OVER p) / NULLIF(stddev_samp(t) OVER p, 0) AS close FROM f WINDOW p AS (PARTITION BY symbol)""", "close")
 source("j15_position_reindexed", lambda s, d: T.pair(s, d).join(T.pair(s, d).where("y > x").select("date", F.lit(1.0).alias("position")), "date", "left").withColumn("position", F.coalesce("position", F.lit(0.0))), "SELECT date, CASE WHEN y > x THEN 1.0 ELSE 0.0 END AS position FROM v2", "date!", "position")

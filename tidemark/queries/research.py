@@ -12,7 +12,7 @@ from tidemark.operators import breadth as H
 from tidemark.operators import econometrics as E
 from tidemark.operators import folds
 from tidemark.operators import montecarlo as M
-from tidemark.operators import portfolio as P
+from tidemark.operators import allocation as P
 from tidemark.operators import rules
 from tidemark.operators import statistics as S
 from tidemark.operators import tabular as Tb

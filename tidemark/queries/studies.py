@@ -1,4 +1,4 @@
-"""Queries of econometrics, portfolios, simulation, grids, models and battles."""
+"""Queries of econometrics, allocations, simulation, grids, models and battles."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from tidemark.operators import econometrics as E
 from tidemark.operators import folds
 from tidemark.operators import models as Md
 from tidemark.operators import montecarlo as M
-from tidemark.operators import portfolio as P
+from tidemark.operators import allocation as P
 from tidemark.operators import rules
 from tidemark.operators import tabular as Tb
 from tidemark.operators.alignment import last_known, standardise_by
@@ -26,13 +26,13 @@ from tidemark.sources import tables as T
 
 # --- econometrics ------------------------------------------------------------------------------------------
 
-LEVELS = f"WITH {PAIR} wk AS (SELECT symbol, ts, sum(y - (SELECT avg(y) FROM pj)) OVER (ORDER BY ts) / 1e6 AS x, y / 1e5 AS n FROM pj), lv AS (SELECT symbol, ts, x, 0.5 + 1.2 * x + n AS y FROM wk)"
+LEVELS = f"WITH {PAIR} wk AS (SELECT symbol, ts, sum(x - (SELECT avg(x) FROM pj)) OVER (ORDER BY ts) / 1e6 AS x, y / 1e5 AS n FROM pj), lv AS (SELECT symbol, ts, x, 0.5 + 1.2 * x + n AS y FROM wk)"
 
 
 def levels(s, d) -> DataFrame:
-    """A random walk x and a y that is tied to it."""
+    """A random walk x, summed from one leg of the pair, and a y tied to it up to noise from the other leg."""
     p = pair(s, d)
-    p = p.withColumn("c", F.col("y") - F.avg("y").over(Window.partitionBy("symbol")))
+    p = p.withColumn("c", F.col("x") - F.avg("x").over(Window.partitionBy("symbol")))
     p = p.withColumn("w", F.sum("c").over(R.cum(X.W)) / 1e6)
     return p.select("symbol", "ts", F.col("w").alias("x"), (0.5 + 1.2 * F.col("w") + F.col("y") / 1e5).alias("y"))
 
@@ -111,12 +111,12 @@ query("e17_rolling_beta_experiment", None, "symbol n", "fixed rolling", 4)(
                   .groupBy("symbol").agg(F.count("*").alias("n"), F.sum("pnl").alias("fixed"), F.sum("moving").alias("rolling")))(held(s, d)))
 query("e18_ridge_moments", f"{SIGNAL} SELECT symbol, sum(signal * t) / (sum(signal * signal) + 20) AS beta FROM sp WHERE split = 'train' AND t IS NOT NULL GROUP BY symbol", "symbol", "beta")(lambda s, d: signal_frame(s, d).where("split = 'train' and t is not null").groupBy("symbol").agg((F.sum(F.col("signal") * F.col("t")) / (F.sum(F.col("signal") * F.col("signal")) + 20)).alias("beta")))
 
-# --- portfolio ---------------------------------------------------------------------------------------------
+# --- allocation ---------------------------------------------------------------------------------------------
 
 BTS = f"{SIGNAL}, {QPOS}, {LAGGED}"
-query("o01_portfolio_weights", BTS + ", m AS (SELECT symbol, avg(pnl) AS mu, stddev_samp(pnl) AS vol FROM bt WHERE split = 'train' GROUP BY symbol), k AS (SELECT symbol, greatest(coalesce(mu / NULLIF(vol, 0), 0), 0) AS s, coalesce(1 / NULLIF(vol, 0), 0) AS v FROM m)".replace(", m AS (SELECT symbol, avg", ", mw AS (SELECT symbol, avg").replace("FROM m)", "FROM mw)") + " SELECT symbol, 1.0 / count(*) OVER () AS equal, coalesce(s / NULLIF(sum(s) OVER (), 0), 1.0 / count(*) OVER ()) AS sharpe, v / sum(v) OVER () AS risk_target FROM k", "symbol", "equal sharpe risk_target", 5)(lambda s, d: P.moment_weights(signal_bt(s, d).where("split = 'train'")))
+query("o01_allocation_weights", BTS + ", m AS (SELECT symbol, avg(pnl) AS mu, stddev_samp(pnl) AS vol FROM bt WHERE split = 'train' GROUP BY symbol), k AS (SELECT symbol, greatest(coalesce(mu / NULLIF(vol, 0), 0), 0) AS s, coalesce(1 / NULLIF(vol, 0), 0) AS v FROM m)".replace(", m AS (SELECT symbol, avg", ", mw AS (SELECT symbol, avg").replace("FROM m)", "FROM mw)") + " SELECT symbol, 1.0 / count(*) OVER () AS equal, coalesce(s / NULLIF(sum(s) OVER (), 0), 1.0 / count(*) OVER ()) AS sharpe, v / sum(v) OVER () AS risk_target FROM k", "symbol", "equal sharpe risk_target", 5)(lambda s, d: P.moment_weights(signal_bt(s, d).where("split = 'train'")))
 query("o01_mean_variance", None, "symbol", "weight", 4)(lambda s, d: s.createDataFrame(list(P.optimal(signal_bt(s, d).where("split = 'train'")).items()), "symbol string, weight double"))
-query("o02_portfolio_returns", BTS + " SELECT ts, sum(coalesce(pnl, 0) * 0.2) AS pnl FROM bt GROUP BY ts", "ts", "pnl")(lambda s, d: P.portfolio_returns(signal_bt(s, d), P.moment_weights(signal_bt(s, d)), "equal"))
+query("o02_allocation_returns", BTS + " SELECT ts, sum(coalesce(pnl, 0) * 0.2) AS pnl FROM bt GROUP BY ts", "ts", "pnl")(lambda s, d: P.allocation_returns(signal_bt(s, d), P.moment_weights(signal_bt(s, d)), "equal"))
 
 
 RISK = BTS + """, mw AS (SELECT symbol, avg(pnl) AS mu, stddev_samp(pnl) AS vol FROM bt WHERE split = 'train' GROUP BY symbol), kw AS (SELECT symbol, greatest(coalesce(mu / NULLIF(vol, 0), 0), 0) AS s, coalesce(1 / NULLIF(vol, 0), 0) AS v FROM mw),
@@ -132,7 +132,7 @@ def o03(spark, d):
     w = P.moment_weights(returns.where("split = 'train'"))
     out = None
     for method in ("equal", "sharpe", "risk_target"):
-        part = P.portfolio_returns(returns, w, method).withColumns({"method": F.lit(method), "position": F.lit(1.0), "signal": F.lit(1.0), "ret": F.col("pnl")})
+        part = P.allocation_returns(returns, w, method).withColumns({"method": F.lit(method), "position": F.lit(1.0), "signal": F.lit(1.0), "ret": F.col("pnl")})
         out = part if out is None else out.unionByName(part)
     return B.signal_metrics(out, ["method"])
 
