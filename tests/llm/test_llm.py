@@ -591,6 +591,28 @@ def test_keep_one_of_repeated_ids(spark):
     assert sorted(str(r["doc_id"]) for r in ngram_join.keep_one(df).collect()) == ["1", "3", "None", "None"]
 
 
+def test_an_id_with_several_texts(spark, monkeypatch):
+    """Its texts link each for itself, the id joins what they reach; when one of a group stays, unrelated texts all stay."""
+    monkeypatch.setattr(ngram_join, "SIEVE_BITS", 64)
+    rng = random.Random(14)
+    one, two, lone = prose(rng, 90), prose(rng, 70), prose(rng, 50)
+    rows = [(1, one), (1, two), (2, edited(rng, one, 1)), (3, edited(rng, two, 1)), (7, lone), (8, lone.upper()), (8, lone.upper()), (9, "")]
+    df = spark.createDataFrame([(i, t, 4, "k", 1, 2, 3) for i, t in rows], "doc_id long, text string, id_ int, key string, word int, bits int, id int")
+    got = ngram_join.near_duplicates(df, 3, (80, 100), count_links=True).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["n_links"]) for r in got) == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (7, 7, 2), (8, 7, 2), (8, 7, 2), (9, 9, 0)]
+    kept = ngram_join.keep_one(df, 3)
+    assert kept.columns == df.columns
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == sorted([(1, one), (1, two), (7, lone), (9, "")])
+
+
+def test_pairs_of_hot_keys_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "PARTS", 1 << 20)
+    table = spark.range(6000).select(F.col("id").alias("at"), (F.col("id") * 2).alias("n"))
+    pairs = [(i, 7) for i in range(100, 5000)] + [(9, i) for i in range(1000, 3500)] + [(1, 2)]
+    got = ngram_join.paired(spark.createDataFrame(pairs, "a long, b long"), table, ["n"]).collect()
+    assert sorted(tuple(r[c] for c in ("a", "b", "n_a", "n_b")) for r in got) == sorted((a, b, 2 * a, 2 * b) for a, b in pairs)
+
+
 # --- pipeline ----------------------------------------------------------------------------------------------------------------------------
 
 

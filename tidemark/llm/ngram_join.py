@@ -12,34 +12,41 @@ Signatures over few elements would bring unrelated sets together (all that share
 parts more than needed, sets share E + 1 parts; a set with at most E parts in which a choice holds fewer than
 `least` elements leaves those signatures out, and E is chosen so that hardly any set has more.
 
-Sets that are equal are joined first, by a 128-bit hash, and one representative goes on. In each group of a
-shared signature all members are compared with one pivot (the member with most company), which joins groups
-of near copies in one round; what stays apart within a group is then compared pair by pair, so no class
-is split. Before sets are compared, sizes and parity sketches (about two bits an element) rule out pairs: every differing
-element flips one bit, so more differing bits than k prove the distance. Sketches fold to half their length by
-exclusive or; short folds travel with the signatures and are tested inside the join, the long ones with the pairs.
+Sets that are equal are one node, named by a 128-bit hash of the set. In each group of a shared signature all
+members are compared with one pivot (the member that shares most signatures), which joins groups of near copies
+in one round; what stays apart within a group is then compared pair by pair, so no class is split. Before sets
+are compared, sizes and parity sketches (about two bits an element) rule out pairs: every differing element flips
+one bit, so more differing bits than k prove the distance. Sketches fold to half their length by exclusive or;
+short folds travel with the signatures and are tested inside the join, the long ones with the pairs.
+
+Most signatures stand alone and most texts are in no pair. A bitmap of fixed size, broadcast, sifts out most of
+them before an exact join; once the keys fill it, more rows take the exact join. Pairs of a pivot with many
+members are dealt to salts, and the pivot's row is repeated for each, so that no key holds more than 1 / PARTS of
+the pairs. In the pair-by-pair step members of a group's largest component meet the others, never each other.
 
 The number of links counts for every document all others that reach the similarity. Links lie inside classes,
 so each class is cut into blocks by hash and every pair of blocks is one group: the elements' incidence
 matrices are multiplied, which gives the exact intersection of every pair, and a link counts for as many
 documents as its other set stands for. Tasks are bounded by blocks; work grows with the square of a class.
 
-Result: one row per row of the input. Cases: texts without words (null, empty, blank) have an empty set and
-link with nothing; with fewer than n words the whole sequence is one shingle; rows with a null id link with
-nothing; rows that share an id are one document in what they link to; rows that repeat are kept; an empty
-table gives an empty result; other columns are ignored.
+Result: one row per row of the input. Cases: every row is a document; texts without words (null, empty, blank)
+have an empty set and link with nothing; with fewer than n words the whole sequence is one shingle; rows with a
+null id link with nothing; rows that share an id and differ in text link each by its own text, and what any of
+them reaches is reachable by the id; rows that repeat are kept; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import kernel
@@ -48,6 +55,9 @@ from tidemark.llm.storage import discard, written
 
 FOLD_LONGS = 16
 BLOCK_ROWS, BLOCK_CHARS = 256, 4 << 20
+PARTS = 1024
+SIEVE_BITS = 1 << 25
+NONE = np.empty(0, np.int64)
 
 
 def band_of(size: int, num: int, den: int) -> tuple[int, int, int]:
@@ -145,29 +155,31 @@ def lists(arrays: list[np.ndarray]) -> pa.ListArray:
 
 
 def describe(n: int, num: int, den: int):
-    """mapInArrow function: id, size, set hash, signatures and sketch of every text."""
+    """mapInArrow function: id, mark, size and set hash of every text, signatures and sketch of the first of a task with this set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in batches:
-            ids = batch.column("id")
             for words in kernel.slices(batch.column("text"), lower=True):
                 size, h1, h2, signed, sketch = [], [], [], [], []
                 for e in shingle_sets(words, n):
                     size.append(len(e))
                     h1.append(kernel.mix(e).sum(dtype=np.uint64).astype(np.int64))
                     h2.append(kernel.mix(e ^ np.uint64(0xDA942042E4DD58B5)).sum(dtype=np.uint64).astype(np.int64))
-                    signed.append(signatures(e, num, den).view(np.int64))
-                    sketch.append(parity_sketch(e))
+                    first = (h1[-1], h2[-1]) not in seen
+                    seen.add((h1[-1], h2[-1]))
+                    signed.append(signatures(e, num, den).view(np.int64) if first else NONE)
+                    sketch.append(parity_sketch(e) if first else NONE)
                 yield pa.record_batch(
                     [
-                        ids.slice(words.rows.start, len(words.rows)),
+                        *[batch.column(c).slice(words.rows.start, len(words.rows)) for c in ("id", "mark")],
                         pa.array(size, pa.int64()),
                         pa.array(h1, pa.int64()),
                         pa.array(h2, pa.int64()),
                         lists(signed),
                         lists(sketch),
                     ],
-                    names=["id", "n", "h1", "h2", "signatures", "sketch"],
+                    names=["id", "mark", "n", "h1", "h2", "signatures", "sketch"],
                 )
 
     return run
@@ -222,19 +234,57 @@ def differing(a: Column, b: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), m - 1), F.lit(0), lambda n, i: n + F.bit_count(part(a, i).bitwiseXOR(part(b, i))))
 
 
+def sifted(rows: DataFrame, keys: DataFrame, on: list[str], out: bool = False) -> DataFrame:
+    """rows without most of those whose columns `on` are not in keys; with out, only rows that are surely not.
+
+    The broadcast bitmap has SIEVE_BITS bits, whatever the number of keys.
+    """
+    words = SIEVE_BITS // 64
+    at, held = unused(rows, "word"), unused(rows, "bits")
+    spot = F.xxhash64(*[F.col(f"`{c}`") for c in on], F.lit(7))
+    word = F.pmod(F.shiftright(spot, 6), F.lit(words)).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), spot.bitwiseAND(F.lit(63)).cast("int"))
+    bits = keys.select(word.alias(at), bit.alias("bit")).groupBy(at).agg(F.bit_or("bit").alias(held))
+    known = F.coalesce(F.col(held).bitwiseAND(bit), F.lit(0)) != 0
+    return rows.join(F.broadcast(bits), word == F.col(at), "left").where(~known if out else known).drop(at, held)
+
+
+def paired(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
+    """pairs (a, b, ...; written) with the columns of both out of table (at, ...), as <column>_a and <column>_b."""
+    each = max(pairs.count() / PARTS, 1024)
+    out = pairs
+    for side, other in (("a", "b"), ("b", "a")):
+        many = pairs.groupBy(F.col(side).alias("at")).count().where(F.col("count") > each)
+        many = F.broadcast(many.select("at", F.ceil(F.col("count") / each).cast("int").alias("salts")))
+        salts = F.coalesce("salts", F.lit(1))
+        left = out.join(many.withColumnRenamed("at", side), side, "left").withColumn("salt", F.pmod(F.xxhash64(other), salts).cast("int")).drop("salts")
+        right = table.join(many, "at", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+        right = right.select(F.col("at").alias(side), "salt", *[F.col(c).alias(f"{c}_{side}") for c in columns])
+        out = left.join(right, [side, "salt"]).drop("salt")
+    return out
+
+
 def plausible(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b, ...) that sizes and whole sketches leave possible."""
-    side = lambda c: sketches.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
     n_a, n_b = F.col("n_a"), F.col("n_b")
     near = sizes_fit(n_a, n_b, num, den) & within(differing(F.col("sketch_a"), F.col("sketch_b")), n_a, n_b, num, den)
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(near).select(*pairs.columns)
+    return paired(pairs, sketches, ["n", "sketch"]).where(near).select(*pairs.columns)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int, kind: str) -> DataFrame:
-    """The pairs (a, b) that link; texts: id, text."""
-    left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(compare(n, num, den), f"a {kind}, b {kind}")
+def texts_of(nodes: DataFrame, sets: DataFrame, rows: DataFrame) -> DataFrame:
+    """at and text of every node (at, h1, h2), by one row that holds the set."""
+    held = sifted(sets.where("id is not null").select("id", "mark", "h1", "h2"), nodes, ["h1", "h2"]).join(nodes, ["h1", "h2"])
+    one = written(held.groupBy("at").agg(F.min(F.struct("id", "mark")).alias("row")).select("at", "row.id", "row.mark"), "held")
+    return written(sifted(rows, one, ["id", "mark"]).join(one, ["id", "mark"]).select("at", "text").dropDuplicates(["at"]), "texts")
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that link, written."""
+    needed = pairs.select(F.col("a").alias("at")).union(pairs.select("b")).distinct()
+    texts = texts_of(nodes.join(needed, "at", "left_semi"), sets, rows)
+    links = written(paired(pairs.select("a", "b"), texts, ["text"]).select("a", "b", "text_a", "text_b").mapInArrow(compare(n, num, den), "a long, b long"), "links")
+    discard(texts)
+    return links
 
 
 def intersections(xs: list[np.ndarray], ys: list[np.ndarray], width: int = 4096) -> np.ndarray:
@@ -256,7 +306,7 @@ def intersections(xs: list[np.ndarray], ys: list[np.ndarray], width: int = 4096)
 
 
 def links_of_blocks(n: int, num: int, den: int):
-    """applyInArrow function: id and number of documents linked with, for the two blocks (side 0 and 1) of a group or the one."""
+    """applyInArrow function: node and number of documents linked with, for the two blocks (side 0 and 1) of a group or the one."""
 
     def run(rows: pa.Table) -> pa.Table:
         sets = [e for words in kernel.slices(rows.column("text").combine_chunks(), lower=True) for e in shingle_sets(words, n)]
@@ -272,97 +322,166 @@ def links_of_blocks(n: int, num: int, den: int):
             found = link @ weight
         else:
             found[x], found[y] = link @ weight[y], link.T @ weight[x]
-        return pa.table({"id": rows.column("id"), "n_links": pa.array(found, pa.int64())})
+        return pa.table({"at": rows.column("at"), "n_links": pa.array(found, pa.int64())})
 
     return run
 
 
-def links_between(members: DataFrame, texts: DataFrame, n: int, num: int, den: int, kind: str) -> DataFrame:
-    """id and n_links of members (id, component, weight): how many documents the other members it links with stand for."""
-    rows = written(members.join(texts, "id"), "members")
+def links_between(members: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """at and n_links of members (at, component, weight): how many documents the other members it links with stand for."""
+    rows = written(members.join(texts, "at"), "members")
     blocks = F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum(F.length("text")) / BLOCK_CHARS)).cast("int")
     rows = rows.join(rows.groupBy("component").agg(F.greatest(F.lit(1), blocks).alias("blocks")), "component")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = rows.select("id", "text", "weight", "component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), (F.col("block") > F.col("other")).cast("int").alias("side"))
-    return pairs.groupBy("component", "low", "high").applyInArrow(links_of_blocks(n, num, den), f"id {kind}, n_links long").groupBy("id").agg(F.sum("n_links").alias("n_links"))
-
-
-def near_duplicates(docs: DataFrame, n: int, similarity: tuple[int, int], doc_id: str = "doc_id", text: str = "text", count_links: bool = False) -> DataFrame:
-    """doc_id, n_shingles, component_id (least id reachable by links of similarity num / den) of every row.
-
-    With count_links also n_links, the number of other documents that the row's links with.
-    """
-    num, den = similarity
-    kind = dict(docs.dtypes)[doc_id]
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    described = written(rows.mapInArrow(describe(n, num, den), f"id {kind}, n long, h1 long, h2 long, signatures array<long>, sketch array<long>"), "described")
-    sets = written(described.select("id", "n", "h1", "h2"), "sets")
-    usable = sets.where("n > 0 and id is not null")
-    same = written(usable.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep")), "equal")
-    # Copies of a set are few against the sets themselves, so they are taken out by an anti-join that leaves the signatures in place.
-    copies = written(usable.join(same, ["h1", "h2", "n"]).where("id <> rep").select("id").distinct(), "copies")
-    repeats = _repeats(sets)
-    reps = described.where((F.size("signatures") > 0) & F.col("id").isNotNull()).join(copies, "id", "left_anti")
-    reps = reps.dropDuplicates(["id"]) if repeats else reps
-    shared = reps.select("id", F.explode("signatures").alias("s")).withColumn("company", F.count("*").over(Window.partitionBy("s"))).where("company > 1")
-    shared = written(shared, "shared")
-    sketches = written(reps.select("id", "n", "sketch").join(shared.select("id").distinct(), "id", "left_semi"), "sketches")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("at"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = rows.select("at", "text", "weight", "component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), (F.col("block") > F.col("other")).cast("int").alias("side"))
+    return pairs.groupBy("component", "low", "high").applyInArrow(links_of_blocks(n, num, den), "at long, n_links long").groupBy("at").agg(F.sum("n_links").alias("n_links"))
+
+
+def rows_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """id, mark (what tells texts of one id apart) and text."""
+    return docs.select(F.col(doc_id).alias("id"), mark_of(F.col(text)).alias("mark"), F.col(text).alias("text"))
+
+
+def mark_of(text: Column) -> Column:
+    return F.coalesce(F.xxhash64(text), F.lit(0).cast("long"))
+
+
+@dataclass
+class Joined:
+    """What the join finds: sets (id, mark, n, h1, h2) of every row; nodes (at, h1, h2), the sets that share signatures;
+    parts (at, component), those that link with another; all written."""
+
+    rows: DataFrame
+    sets: DataFrame
+    nodes: DataFrame
+    parts: DataFrame
+
+    def usable(self) -> DataFrame:
+        return self.sets.where("n > 0 and id is not null")
+
+    def components(self) -> DataFrame:
+        """h1, h2 and the component's c1, c2 of every set that links with another."""
+        named = self.parts.join(self.nodes, "at")
+        root = self.nodes.select(F.col("at").alias("component"), F.col("h1").alias("c1"), F.col("h2").alias("c2"))
+        return named.join(root, "component").select("h1", "h2", "c1", "c2")
+
+
+def join(rows: DataFrame, n: int, num: int, den: int) -> Joined:
+    """The similarity join of rows (id, mark, text)."""
+    kind = dict(rows.dtypes)["id"]
+    described = written(rows.mapInArrow(describe(n, num, den), f"id {kind}, mark long, n long, h1 long, h2 long, signatures array<long>, sketch array<long>"), "described")
+    sets = written(described.select("id", "mark", "n", "h1", "h2"), "sets")
+    signed = described.where((F.size("signatures") > 0) & F.col("id").isNotNull())
+    each = signed.select("h1", "h2", F.explode("signatures").alias("s"))
+    # Copies of a set share h1, so least and greatest tell whether different sets meet in a signature.
+    often = written(each.groupBy("s").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low < high").select("s"), "often")
+    met = written(sifted(each, often, ["s"]).distinct().join(often, "s", "left_semi"), "met")
+    discard(often)
+    shares = met.groupBy("h1", "h2").agg(F.count("*").alias("rank"))
+    found = sifted(signed.select("h1", "h2", "n", "sketch"), shares, ["h1", "h2"]).dropDuplicates(["h1", "h2"]).join(shares, ["h1", "h2"])
+    sketches = written(found.withColumn("at", F.monotonically_increasing_id()), "sketches")
     discard(described)
-    rank = shared.groupBy("id").agg(F.sum("company").alias("rank"))
-    pivots = shared.join(rank, "id").groupBy("s").agg(F.max(F.struct("rank", "id")).alias("p")).select("s", F.col("p.id").alias("pivot"))
-    first = shared.join(pivots, "s").where("id <> pivot").groupBy(F.col("id").alias("a"), F.col("pivot").alias("b")).agg(F.count("*").alias("in_common"))
-    first = plausible(first, sketches, num, den)
+    nodes = sketches.select("at", "h1", "h2")
+    shared = written(met.join(sketches.select("h1", "h2", "at", "rank"), ["h1", "h2"]).select("s", "at", "rank"), "shared")
+    discard(met)
+    pivots = shared.groupBy("s").agg(F.max(F.struct("rank", "at")).alias("p")).select("s", F.col("p.at").alias("pivot"))
+    tries = written(shared.join(pivots, "s").where("at <> pivot").groupBy(F.col("at").alias("a"), F.col("pivot").alias("b")).agg(F.count("*").alias("in_common")), "tries")
     # One link joins a set to its group: the pivot it has most in common with is tried.
-    first = written(first.groupBy("a").agg(F.max(F.struct("in_common", "b")).alias("best")).select("a", F.col("best.b").alias("b")), "pairs")
-    texts = rows.where("id is not null").dropDuplicates(["id"]) if repeats else rows.where("id is not null")
-    links = written(verified(first, texts, n, num, den, kind), "links")
-    parts = connected(links)
+    first = plausible(tries, sketches, num, den).groupBy("a").agg(F.max(F.struct("in_common", "b")).alias("best"))
+    first = written(first.select("a", F.col("best.b").alias("b")), "pairs")
+    discard(tries)
+    links = verified(first, nodes, sets, rows, n, num, den)
+    parts = connected(links).withColumnRenamed("id", "at")
 
     # What one signature brings together but the pivots have not joined is compared pair by pair.
-    of = shared.select("id", "s").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    by_s = Window.partitionBy("s")
-    of = of.withColumn("apart", F.min("component").over(by_s) < F.max("component").over(by_s)).where("apart").select("id", "s", "component")
-    folded = sketches.select("id", "n", fold(F.col("sketch")).alias("fold"))
-    of = written(of.join(folded, "id"), "apart")
-    a, b = of.alias("x"), of.alias("y")
+    of = written(shared.join(parts, "at", "left").select("s", "at", F.coalesce("component", "at").alias("component")), "of")
+    discard(shared)
+    sizes = of.groupBy("s", "component").agg(F.count("*").alias("size"))
+    apart = sizes.groupBy("s").agg(F.count("*").alias("components"), F.max(F.struct("size", "component")).alias("top"))
+    apart = apart.where("components > 1").select("s", F.col("top.component").alias("top"))
+    folded = sketches.select("at", "n", fold(F.col("sketch")).alias("fold"))
+    apart = written(of.join(apart, "s").join(folded, "at"), "apart")
+    discard(of)
+    a, b = apart.where("component <> top").alias("x"), apart.alias("y")
     bits = sum((F.bit_count(F.get("x.fold", F.lit(i)).bitwiseXOR(F.get("y.fold", F.lit(i)))) for i in range(FOLD_LONGS)), F.lit(0))
     n_a, n_b = F.col("x.n"), F.col("y.n")
     fits = sizes_fit(n_a, n_b, num, den) & within(bits, n_a, n_b, num, den)
-    on = (F.col("x.s") == F.col("y.s")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & fits
-    rest = a.join(b, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    once = (F.col("y.component") == F.col("y.top")) | (F.col("x.at") < F.col("y.at"))
+    on = (F.col("x.s") == F.col("y.s")) & (F.col("x.component") != F.col("y.component")) & once & fits
+    rest = a.join(b, on).select(F.least("x.at", "y.at").alias("a"), F.greatest("x.at", "y.at").alias("b")).distinct()
     tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = written(plausible(rest.join(tried, ["a", "b"], "left_anti"), sketches, num, den), "pairs")
-    discard(of)
+    rest = written(rest.join(tried, ["a", "b"], "left_anti"), "rest")
+    discard(apart)
+    rest = written(plausible(rest, sketches, num, den), "pairs")
     if rest.limit(1).count():
-        more = written(verified(rest, texts, n, num, den, kind), "links")
+        more = verified(rest, nodes, sets, rows, n, num, den)
         if more.limit(1).count():
-            parts = connected(links.union(more))
-    classes = same.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", "n", "rep", F.coalesce("component", "rep").alias("component"))
+            parts = connected(links.union(more)).withColumnRenamed("id", "at")
+    return Joined(rows, sets, nodes, parts)
+
+
+def near_duplicates(docs: DataFrame, n: int, similarity: tuple[int, int], doc_id: str = "doc_id", text: str = "text", count_links: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id (least id reachable by links of similarity num / den) of every row.
+
+    With count_links also n_links, the number of other documents that the row's links with.
+    """
+    num, den = similarity
+    joined = join(rows_of(docs, doc_id, text), n, num, den)
+    sets, usable = joined.sets, joined.usable()
+    root = [F.coalesce(f"c{i}", f"h{i}").alias(f"c{i}") for i in (1, 2)]
+    named = usable.join(joined.components(), ["h1", "h2"], "left").select("id", "mark", "h1", "h2", *root)
+    classes = written(named.groupBy("h1", "h2", "c1", "c2").agg(F.min("id").alias("least"), F.count("*").alias("weight")), "classes")
+    least = classes.groupBy("c1", "c2").agg(F.min("least").alias("component_id"))
+    several = usable.groupBy("id").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low < high").select("id")
+    if several.limit(1).count():
+        # An id with several texts joins their components.
+        nodes = written(least.withColumn("at", F.monotonically_increasing_id()), "roots")
+        at = written(named.join(several, "id").join(nodes, ["c1", "c2"]).select("id", "at").distinct(), "several")
+        bridges = at.join(at.groupBy("id").agg(F.min("at").alias("first")), "id").select(F.col("at").alias("a"), F.col("first").alias("b"))
+        up = nodes.join(connected(bridges).withColumnRenamed("id", "at"), "at", "left").withColumn("component", F.coalesce("component", "at"))
+        least = up.join(up.groupBy("component").agg(F.min("component_id").alias("lowest")), "component").select("c1", "c2", F.col("lowest").alias("component_id"))
+    classes = classes.join(least, ["c1", "c2"])
+    columns = ["h1", "h2", "component_id"]
     if count_links:
-        weights = written(usable.select("h1", "h2", "n", "id").distinct().groupBy("h1", "h2", "n").agg(F.count("*").alias("weight")), "weights")
-        classes = classes.join(weights, ["h1", "h2", "n"])
-        members = classes.select(F.col("rep").alias("id"), "weight").join(parts, "id")
-        between = written(links_between(members, texts, n, num, den, kind), "n_links").withColumnRenamed("id", "rep")
-        classes = classes.join(between, "rep", "left").withColumn("links", F.coalesce("n_links", F.lit(0)) + F.col("weight") - 1).drop("n_links", "weight")
-    classes = classes.drop("rep")
-    out = sets.select("id", "n", "h1", "h2").join(classes, ["h1", "h2", "n"], "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    columns = [F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), component.alias("component_id")]
+        members = joined.parts.join(joined.nodes, "at").join(classes.select("h1", "h2", "weight"), ["h1", "h2"])
+        texts = texts_of(members.select("at", "h1", "h2"), sets, joined.rows)
+        between = written(links_between(members.select("at", "component", "weight"), texts, n, num, den), "n_links").join(joined.nodes, "at").drop("at")
+        classes = classes.join(between, ["h1", "h2"], "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)) + F.col("weight") - 1)
+        columns.append("n_links")
+    out = sets.join(classes.select(*columns), ["h1", "h2"], "left")
+    counts = (F.col("n") > 0) & F.col("id").isNotNull()
+    component = F.when(counts, F.col("component_id")).otherwise(F.col("id"))
+    result = [F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), component.alias("component_id")]
     if count_links:
-        columns.append(F.when(F.col("id").isNotNull(), F.coalesce("links", F.lit(0))).otherwise(0).cast("long").alias("n_links"))
-    return out.select(*columns)
+        result.append(F.when(counts, F.col("n_links")).otherwise(0).cast("long").alias("n_links"))
+    return out.select(*result)
 
 
 def keep_one(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (80, 100), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs without those whose component has a smaller id; of rows that share an id, one. Rows without id stay."""
-    found = written(near_duplicates(docs, n, similarity, doc_id, text), "components").select(F.col(doc_id).alias("id_"), "component_id", "n_shingles")
-    if _repeats(found.select(F.col("id_").alias("id"))):
-        named = docs.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id])
-        docs = named.unionByName(docs.where(F.col(doc_id).isNull()))
-    others = found.where("component_id < id_").select("id_").distinct()
-    return docs.join(others, F.col(doc_id) == F.col("id_"), "left_anti")
-
-
-def _repeats(sets: DataFrame) -> bool:
-    """Whether any id stands in more than one row."""
-    return bool(sets.where("id is not null").groupBy("id").count().where("count > 1").limit(1).count())
+    """The rows of docs without those whose component has a smaller id (or the same with another text); of rows that repeat id and text, one.
+
+    Rows without id or words stay. Sharing an id joins nothing here, so unrelated texts of one id both stay.
+    """
+    joined = join(rows_of(docs, doc_id, text), n, *similarity)
+    root = [F.coalesce(f"c{i}", f"h{i}").alias(f"c{i}") for i in (1, 2)]
+    named = written(joined.usable().join(joined.components(), ["h1", "h2"], "left").select("id", "mark", *root), "named")
+    kept = named.groupBy("c1", "c2").agg(F.min(F.struct("id", "mark")).alias("kept"))
+    others = named.join(kept, ["c1", "c2"]).where(F.struct("id", "mark") != F.col("kept")).select("id", "mark").distinct()
+    others = written(others, "others")
+    key = unused(docs, "key")
+    keyed = docs.withColumn(key, F.struct(F.col(f"`{doc_id}`").alias("id"), mark_of(F.col(f"`{text}`")).alias("mark")))
+    names = others.select(F.struct("id", "mark").alias(key))
+    clear = sifted(keyed, names, [key], out=True)
+    out = clear.unionByName(sifted(keyed, names, [key]).join(names, key, "left_anti"))
+    again = written(named.groupBy("id", "mark").count().where("count > 1").select(F.struct("id", "mark").alias(key)), "again")
+    if again.limit(1).count():
+        out = out.join(again, key, "left_anti").unionByName(out.join(again, key, "left_semi").dropDuplicates([key]))
+    return out.drop(key)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    names = {c.lower() for c in df.columns}
+    while name in names:
+        name += "_"
+    return name

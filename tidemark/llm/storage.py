@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
 import uuid
@@ -41,15 +40,21 @@ def bound_batches(spark: SparkSession) -> None:
 _MADE: set[str] = set()
 
 
+#: Where it is on, Spark deletes the shuffle files of a query when the query ends, not when the driver collects its garbage.
+CLEANS = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: later steps do not recompute it, and losing an executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     _MADE.add(path)
-    df.write.option("compression", "zstd").parquet(path)
-    # Spark deletes the shuffle files of a finished job once the driver collects its garbage; do so before the next job adds to them.
-    gc.collect()
-    spark._jvm.System.gc()
+    before = spark.conf.get(CLEANS, "false")
+    spark.conf.set(CLEANS, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANS, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
