@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -103,7 +104,7 @@ def brute_url(url):
     return host, path, max(fits, key=len) if fits else None
 
 
-URLS = [None, "", "no scheme", "http://", "http://ORG", "http://org/", "HTTP://A.Example.ORG/es/x?y", "https://example.org/en/12#a", "http://xexample.org/es/", "http://shop.com/fr/a", "http://com/de/", "a://b://c/d", "http://e.net?x/y", "http://É.org/a\nb", "http://e.net/" + "q" * 3000]
+URLS = [None, "", "no scheme", "http://", "http://ORG", "http://org/", "HTTP://A.Example.ORG/es/x?y", "https://example.org/en/12#a", "http://xexample.org/es/", "http://shop.com/fr/a", "http://com/de/", "a://b://c/d", "http://e.net?x/y", "http://É.org/a\nb", "http://e.net/" + "q" * 3000, "http://" + "ab" * 40000 + ".net/"]
 
 
 def test_url_rules_and_verdicts(spark):
@@ -118,16 +119,58 @@ def test_url_rules_and_verdicts(spark):
     assert url_filter.filter_urls(df.limit(0), queries.RULES).count() == 0
 
 
-def test_host_names_are_split_like_the_best_split(spark):
-    words = ["blue", "stone", "blues", "tone", "river", "a"]
+def test_host_names_are_split_like_the_best_split():
     counts = Counter({"blue": 50, "stone": 40, "blues": 5, "tone": 5, "river": 30, "a": 9})
-    frame = spark.createDataFrame([(w,) for w in words for _ in range(counts[w])], "word string")
-    seg = url_filter.Segmenter(url_filter.CountMin(url_filter.count_min(frame)))
+    hashes = np.array([xxhash.xxh64_intdigest(w.encode(), seed=42) for w in counts], np.uint64)
+    seg = url_filter.Segmenter(url_filter.ExactCounts(hashes, np.array(list(counts.values())), sum(counts.values())))
     for name in ("bluestone", "riverbluestone", "zzblue", "a", "bluestonetone"):
         cuts = (c for n in range(len(name)) for c in itertools.combinations(range(1, len(name)), n))
         best = min(sum(seg.cost(name[a:b]) for a, b in zip((0, *c), (*c, len(name)))) for c in cuts)
         assert sum(map(seg.cost, seg.split(name))) == pytest.approx(best)
     assert seg.split("bluestone") == ("blue", "stone")
+    assert "".join(seg.split("bluestone" * 2000)) == "bluestone" * 2000
+
+
+def test_verdicts_by_brute_force(spark):
+    """Every verdict of the method from counts made here: words of the running text, segmentation by all splits, naive Bayes."""
+    rng = random.Random(8)
+    words = ["sea", "blue", "mud", "stone", "hill"]
+    name = lambda some: "".join(rng.choice(some) for _ in range(rng.choice([1, 2])))
+    kinds = [("org", "x9/", words[:2]), ("com", "de/", words[2:]), ("com", "de/1", words[2:]), ("net", "fr/", words[:2]), ("net", "es/", words[2:]), ("example.org", "es/", words)]
+    urls = [f"http://{name(some)}.{top}/{at}{name(some)}" for top, at, some in (rng.choice(kinds) for _ in range(120))] + [None, "http://", "http://x.zz"]
+    html = ["<p>" + " ".join(rng.choice(words) for _ in range(9)) + "</p>" for _ in urls]
+    df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(zip(urls, html))] + [(None, urls[0], None)], "page_id long, url string, html string")
+    rows = [(*brute_url(u), h) for u, h in zip(urls, html)] + [(*brute_url(urls[0]), "")]
+    count = Counter(w for h_, p, _, h in rows for w in re.findall("[a-z]+", p.lower()) + re.findall("[a-z]+", h.replace("<p>", " ").replace("</p>", " ")))
+    total = sum(count.values())
+    cost = lambda w: math.log(total) - math.log(count[w]) if count[w] else math.log(total) + 3.0 * len(w)
+
+    def split(name):
+        cuts = [(0, *c, len(name)) for n in range(min(len(name), 4)) for c in itertools.combinations(range(1, len(name)), n)]
+        return min(([name[a:b] for a, b in itertools.pairwise(c)] for c in cuts), key=lambda x: sum(map(cost, x)))
+
+    def tokens_of(h, p):
+        labels = h.split(".") if h else []
+        out = [f"d:{labels[-1]}"] if labels else []
+        out += [f"h:{w}" for label in labels[:-1] for w in split(label)]
+        return out + [t for run in re.findall("[a-z]+|[0-9]+", p) for t in ([f"p:#{len(run)}"] if run.isdigit() else [f"p:{w}" for w in split(run)])]
+
+    seen = {True: Counter(), False: Counter()}
+    n = Counter()
+    for h, p, rule, _ in rows:
+        if rule:
+            seen[queries.RULES[rule]].update(url_filter.cell(t) for t in tokens_of(h, p))
+            n[queries.RULES[rule]] += 1
+    size = {k: url_filter.CELLS + sum(c.values()) for k, c in seen.items()}
+    odds = lambda h, p: math.log((n[True] + 1) / (n[False] + 1)) + sum(math.log((1 + seen[True][url_filter.cell(t)]) / size[True]) - math.log((1 + seen[False][url_filter.cell(t)]) / size[False]) for t in tokens_of(h, p))
+    got = {r["page_id"]: r for r in url_filter.filter_urls(df, queries.RULES).collect()}
+    verdicts = Counter()
+    for i, (h, p, rule, _) in zip([*range(len(urls)), None], rows):
+        assert got[i]["odds"] == pytest.approx(odds(h, p))
+        expected = queries.RULES[rule] if rule else odds(h, p) >= 0
+        assert got[i]["verdict"] == ("allow" if expected else "block")
+        verdicts[bool(rule), expected] += 1
+    assert min(verdicts[False, True], verdicts[False, False]) > 3
 
 
 def test_names_split_beside_a_million_words(spark):
@@ -172,6 +215,49 @@ def test_overlaps_with_substitutions(spark):
     assert decontaminate.find_overlaps(df, bench.limit(0)).count() == 0
 
 
+def test_longest_stretch_by_brute_force():
+    rng = np.random.default_rng(0)
+    for _ in range(400):
+        same = rng.random(rng.integers(1, 40)) < rng.choice([0.0, 0.3, 0.6, 0.8, 0.95])
+        fits = [j - i for i in range(len(same)) for j in range(i + 1, len(same) + 1) if same[i] and same[j - 1] and 5 * same[i:j].sum() >= 4 * (j - i)]
+        a, b = decontaminate.longest(same)
+        assert b - a == max(fits, default=0)
+        for a, b in decontaminate.stretches(same, 13):
+            assert b - a >= 13 and 5 * same[a:b].sum() >= 4 * (b - a)
+        assert bool(decontaminate.stretches(same, 13)) == (max(fits, default=0) >= 13)
+
+
+def test_every_stretch_is_reported(spark):
+    """Two passages of one item in one document are two rows, a passage kept and taken twice too; a loop of words is one."""
+    rng = random.Random(2)
+    item = prose(rng, 80).split()
+    gap = lambda n: prose(rng, n).split()
+    texts = [item[:20] + gap(15) + item[50:70], item[10:30] + gap(9) + item[10:30], ["of"] * 3000, gap(50), ["and", "the"] * 40 + item[60:]]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)] + [(None, " ".join(item))], "doc_id long, text string")
+    bench = spark.createDataFrame([(0, " ".join(item)), (1, "of " * 40), (None, "and the " * 12)], "item_id long, text string")
+    rows = [tuple(r) for r in decontaminate.find_overlaps(df, bench).collect()]
+    assert {r for r in rows if r[0] in (0, 1)} == {(0, 0, 0, 20, 0, 20), (0, 0, 35, 55, 50, 20), (1, 0, 0, 20, 10, 20), (1, 0, 29, 49, 10, 20)}
+    assert {r[:2] for r in rows} == {(0, 0), (1, 0), (2, 1), (4, 0), (4, None), (None, 0)}
+    loops = sorted(r[2:4] for r in rows if r[0] == 2)
+    assert all(b <= c for (_, b), (c, _) in itertools.pairwise(loops)) and sum(b - a for a, b in loops) >= 2900
+
+
+@pytest.mark.parametrize("size, replaced, least", [(13, 0, 1.0), (13, 1, 0.75), (15, 2, 0.8), (20, 2, 0.97), (20, 4, 0.9), (25, 5, 0.95), (30, 4, 0.97), (60, 9, 0.97)])
+def test_recall_of_substituted_passages(size, replaced, least):
+    """Share of passages found among random words after replacing so many words at random places, measured."""
+    rng = np.random.default_rng(size * 100 + replaced)
+    word = lambda n: rng.integers(1, 1 << 62, n).astype(np.uint64)
+    found = 0
+    for _ in range(200):
+        item = word(size + 20)
+        part = item[10 : 10 + size].copy()
+        part[rng.choice(size, replaced, replace=False)] = word(replaced)
+        hash_ = np.concatenate([word(40), part, word(40)])
+        words = kernel.Words(range(1), np.empty(0, np.uint8), np.empty(0, int), np.empty(0, int), hash_, np.array([0, len(hash_)]))
+        found += bool(decontaminate.Benchmark([item]).overlaps(words))
+    assert found / 200 >= least
+
+
 def test_seeds_find_what_brute_force_finds(spark):
     """On the tables: documents that hold a benchmark item's words in a row, and no others."""
     clean = lambda t: " " + " ".join(re.findall(r"[0-9a-z\x80-\U0010ffff]+", "".join(c.lower() if c.isascii() else c for c in t or ""))) + " "
@@ -288,6 +374,47 @@ def test_site_posteriors(spark):
     assert quality.classify(df.limit(0), labels).count() == 0
 
 
+def test_posterior_by_formula(spark):
+    """Site rates and scores from the reported evidence, by the beta-binomial formulas over plain lists."""
+    rng = random.Random(15)
+    rows = [(i, prose(rng, rng.choice([5, 40, 200])) if rng.random() < 0.6 else "!! " * 30, rng.choice(["s1", "s1", "s2", None]), rng.choice(["en", "de", None])) for i in range(150)]
+    df = spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id long, text string, source string, lang string, p double")
+    good = {i: int(rows[i][1][0] != "!") for i in range(0, 150, 2)}
+    out = {r["doc_id"]: r for r in quality.classify(df, spark.createDataFrame(list(good.items()), "doc_id long, quality int")).collect()}
+    share = sum(good.values()) / len(good)
+    p = {i: 1 / (1 + math.exp(-(r["evidence"] + math.log(share / (1 - share))))) for i, r in out.items()}
+    host, path = defaultdict(list), defaultdict(list)
+    for i, _, h, l in rows:
+        host[h].append(p[i])
+        path[h, l].append(p[i])
+    overall = sum(p.values()) / len(p)
+
+    def worth(groups):  # (rate, prior, n): documents that a prior is worth, by the method of moments
+        n = sum(g[2] for g in groups)
+        v = sum(g[2] * g[1] * (1 - g[1]) for g in groups) / n
+        tau = max(0.0, (sum(g[2] * (g[0] - g[1]) ** 2 for g in groups) - len(groups) * v) / n)
+        return min(1e6, max(1.0, v / tau - 1)) if tau else 1e6
+
+    at_host = worth([(sum(x) / len(x), overall, len(x)) for x in host.values()])
+    rate = {h: (sum(x) + at_host * overall) / (len(x) + at_host) for h, x in host.items()}
+    at_path = worth([(sum(x) / len(x), rate[h], len(x)) for (h, _), x in path.items()])
+    for i, _, h, l in rows:
+        site = (sum(path[h, l]) - p[i] + at_path * rate[h]) / (len(path[h, l]) - 1 + at_path)
+        assert out[i]["site_rate"] == pytest.approx(site)
+        bounded = min(1 - 1e-4, max(1e-4, site))
+        assert out[i]["score"] == pytest.approx(1 / (1 + math.exp(-(out[i]["evidence"] + math.log(bounded / (1 - bounded))))))
+        assert out[i]["keep"] == (out[i]["score"] >= 0.5)
+
+
+def test_quality_of_labels_not_fitted_on(spark):
+    """Balanced accuracy on the half of the labels that the fit has not seen."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet").where("quality is not null")
+    out = quality.classify(docs, labels.where("doc_id % 2 = 0")).join(labels.where("doc_id % 2 = 1"), "doc_id")
+    rates = {r["quality"]: r["kept"] for r in out.groupBy("quality").agg(F.avg(F.col("keep").cast("int")).alias("kept")).collect()}
+    assert (rates[1] + 1 - rates[0]) / 2 >= 0.9
+
+
 def test_strength_grows_as_groups_agree(spark):
     rate = lambda rows: quality.strength(spark.createDataFrame(rows, "rate double, prior double, n long"), "rate", "prior", "n")
     apart, together = rate([(0.1, 0.5, 100), (0.9, 0.5, 100)]), rate([(0.45, 0.5, 100), (0.55, 0.5, 100)])
@@ -363,6 +490,39 @@ def test_coordinate_pruning_keeps_every_hit():
         assert sorted((-int(s), int(j)) for s, j in zip(best.score[best.q == i], best.id[best.q == i])) == expected
 
 
+@pytest.mark.parametrize("spread, close", [(True, False), (False, True), (False, False)])
+def test_share_of_products_that_is_spared(spread, close):
+    """Spread lengths are pruned by length, close neighbours by coordinates; neither leaves every product to compute. Always the same hits."""
+    rng = np.random.default_rng(5)
+    v = rng.normal(0, 1, (6000, 32))
+    if close:
+        v = np.repeat(v[:500], 12, axis=0) + rng.normal(0, 0.02, v.shape)
+    v *= (256 * np.exp(rng.normal(0, 1, 6000)) if spread else np.full(6000, 256.0))[:, None] / np.linalg.norm(v, axis=1)[:, None]
+    v = np.floor(v).astype(np.int64)
+    lengths = topk_search.norms(v)
+    order = np.argsort(-lengths)
+    ids, v, lengths = np.arange(6000)[order], v[order], lengths[order]
+    q, q_ids = v[::60], ids[::60]
+    best = topk_search.Best(len(q), 5, topk_search.reached(q, q_ids, v[:1024], ids[:1024], 5))
+    for a in range(0, 6000, topk_search.BUCKET):
+        topk_search.search_bucket(q, q_ids, v[a : a + topk_search.BUCKET], ids[a : a + topk_search.BUCKET], lengths[a : a + topk_search.BUCKET], best)
+    scores = q @ v.T
+    for i in range(len(q)):
+        expected = sorted((-int(s), int(j)) for s, j in zip(scores[i], ids) if j != q_ids[i])[:5]
+        assert sorted((-int(s), int(j)) for s, j in zip(best.score[best.q == i], best.id[best.q == i])) == expected
+    spared = 1 - best.products / best.pairs
+    assert spared > (0.7 if spread else 0.3) if spread or close else spared < 0.1, spared
+
+
+def test_scores_saturate(spark):
+    rows = [(0, [1e30, 1.0]), (1, [1e30, 2.0]), (2, [-1e30, 0.0]), (3, [1e12, 1.0]), (4, [3e8, 1.0]), (5, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["vec_id"]): r["score"] for r in topk_search.top_k(df, F.lit(True), k=5).collect()}
+    v = {i: [max(-(2**63), min(2**63 - 1, math.floor(256 * x))) for x in row] for i, row in rows}
+    clip = lambda x: max(-(2**63), min(2**63 - 1, x))
+    assert got == {(i, j): clip(sum(a * b for a, b in zip(v[i], v[j]))) for i in v for j in v if i != j}
+
+
 def test_topk_of_the_tables(spark):
     compare(spark, queries.op7_exact_topk, oracles.OP7, SF)
 
@@ -433,6 +593,15 @@ def test_repeated_rows_get_all_that_the_mix_took(spark, monkeypatch):
     assert len({(r["doc_id"], r["source"], r["n"], r["mix_copy"]) for r in mixed}) == len(mixed)
 
 
+def test_mix_of_clashing_columns(spark):
+    rows = [(i, "one two three " * (1 + i % 4), "a" if i % 3 else "b", 9, 9, 9, "x", "y") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, mix_size int, MIX_COPY int, copies int, doc_id_of_mix string, mark string")
+    mixed = source_mix.repeat_rows(df)
+    assert mixed.columns == ["doc_id", "text", "source", "copies", "doc_id_of_mix", "mark", "mix_copy", "mix_size", "mix_source_size", "mix_target"]
+    assert mixed.count() == source_mix.balance(df).agg(F.sum("copies")).first()[0]
+    assert {r["mix_size"] for r in mixed.collect()} <= {3, 6, 9, 12}
+
+
 # --- 9 toxicity --------------------------------------------------------------------------------------------------------------------
 
 
