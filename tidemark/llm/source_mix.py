@@ -33,6 +33,7 @@ TOTAL_SHARE = 1.5
 CAP = 2
 GROUP_DOCS = 1024
 NEWTON_STEPS = 64
+MIX_COLUMNS = ("mix_copy", "mix_size", "mix_source_size", "mix_target")
 
 
 def size_of(text: Column) -> Column:
@@ -105,15 +106,17 @@ def balance(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
 def repeat_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """The mix itself: every row of docs as often as the mix takes it, with copy (from 1) and the mix's figures.
 
+    The columns mix_copy, mix_size, mix_source_size and mix_target replace those of docs that have these names.
     Rows that agree in id, source and text share the sum of their copies: each has its whole part, the first rows one more.
     """
     taken = balance(docs, doc_id, text, source, **options)
     taken = taken.groupBy("doc_id", "source", "mark", "size", "source_size", "target").agg(F.sum("copies").alias("copies"), F.count("*").alias("n")).where("copies > 0")
     taken = taken.select(*[F.col(c).alias(f"{c}_of_mix") for c in taken.columns])
-    on = F.col(doc_id).eqNullSafe(F.col("doc_id_of_mix")) & (mark_of(F.col(text)) == F.col("mark_of_mix")) & F.col(source).eqNullSafe(F.col("source_of_mix"))
     own = [F.col(f"`{c}`") for c in docs.columns]
+    named = docs.select(F.struct(*own).alias("row"), F.col(doc_id).alias("id"), mark_of(F.col(text)).alias("mark"), F.col(source).alias("source"))
+    on = F.col("id").eqNullSafe(F.col("doc_id_of_mix")) & (F.col("mark") == F.col("mark_of_mix")) & F.col("source").eqNullSafe(F.col("source_of_mix"))
     figures = [F.col(f"{c}_of_mix").alias(f"mix_{c}") for c in ("size", "source_size", "target")]
-    rows = written(docs.join(written(taken, "taken"), on).select(F.struct(*own).alias("row"), *[f"{c}_of_mix" for c in ("doc_id", "source", "mark", "n", "copies")], *figures, F.monotonically_increasing_id().alias("place")), "rows")
+    rows = written(named.join(written(taken, "taken"), on).select("row", *[f"{c}_of_mix" for c in ("doc_id", "source", "mark", "n", "copies")], *figures, F.monotonically_increasing_id().alias("place")), "rows")
     least = F.floor(F.col("copies_of_mix") / F.col("n_of_mix"))
     more = F.col("copies_of_mix") % F.col("n_of_mix")
     once = rows.where("n_of_mix = 1 or copies_of_mix % n_of_mix = 0").withColumn("copies", least)
@@ -131,4 +134,5 @@ def repeat_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     spread = repeated.join(parts, same).withColumn("copies", least + (number <= more).cast("long"))
     columns = ["row", "copies", *[f"mix_{c}" for c in ("size", "source_size", "target")]]
     each = once.select(*columns).unionByName(spread.select(*columns)).where("copies > 0")
-    return each.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("mix_copy"), *columns[2:])
+    kept = [c for c in docs.columns if c.lower() not in MIX_COLUMNS]
+    return each.select(*[F.col(f"row.`{c}`").alias(c) for c in kept], F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("mix_copy"), *columns[2:])
