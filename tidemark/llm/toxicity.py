@@ -8,16 +8,17 @@ training repeats: score the segments, keep the strongest ones of toxic documents
 clean documents, train on those. A document's score is a logistic function of its strongest segment and the
 log of the number of segments, fitted on part of the sample that the embeddings did not see.
 
-Training reads at most SAMPLE labelled rows of each class (least hash of the id; fixed, documented bound on
-what the driver holds). Scoring reads every whole text of the table.
+Training reads at most SAMPLE labelled documents of each class, by least hash of the id, whole texts of together at most
+SAMPLE_BYTES; a text of over LONGEST bytes is passed over, never cut (a fixed, documented bound on what the driver
+holds). Scoring reads every whole text of the table.
 
 In the trained model a word's evidence is linear in its n-grams, so scoring needs one number per n-gram
 bucket: 256 KB travel with the tasks, and the distinct words of about a MB of text are scored at a time.
 
 Cases: null and empty texts have no segment and get the score of a segment without evidence; without both
 classes among the labels every score is the share of toxic labels; labels that are null are not used, and a
-document labelled twice counts as toxic if any label says so; ids that are null are not held out; rows that
-repeat are scored each; an empty table gives an empty result; other columns are ignored.
+document labelled twice counts as toxic if any label says so; ids that are null are not held out; of rows that share
+an id the least text is trained on; rows that repeat are scored each; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,16 +28,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import kernel
+from tidemark.llm.storage import discard, written
 
 SEGMENT = 4
 BUCKETS = 1 << 16
 DIM = 8
 GRAMS = (3, 4)
 SAMPLE = 2000
+SAMPLE_BYTES = 48 << 20
+LONGEST = 1 << 20
 ROUNDS = 4
 STEPS = 150
 FIRST_SEGMENTS = 60_000
@@ -237,12 +241,17 @@ def scorer(model: Model):
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", sample: int = SAMPLE) -> Model:
-    """Train on at most sample labelled documents of each class that are not held out."""
+    """Train on at most sample labelled documents of each class that are not held out, SAMPLE_BYTES together."""
     known = labels.where(~held_out(F.col(doc_id)) & F.col(toxic).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg(F.max(F.col(toxic)).cast("int").alias("toxic"))
     known = known.where("doc_id is not null")
     picked = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for c in (0, 1)]
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")
-    found = rows.orderBy("doc_id").toArrow()
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where(F.octet_length("text") <= LONGEST)
+    rows = rows.join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    rows = written(rows, "sample")
+    before = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
+    fits = rows.select("doc_id", F.sum(F.octet_length("text")).over(before).alias("bytes")).where(F.col("bytes") <= SAMPLE_BYTES // 2).select("doc_id")
+    found = rows.join(F.broadcast(fits), "doc_id").orderBy("doc_id").toArrow()
+    discard(rows)
     return train(found.column("text").combine_chunks(), found.column("toxic").to_numpy())
 
 
