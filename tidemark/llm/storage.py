@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -15,9 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where it is unset (tests) a local one is made and set."""
+    """The folder of spark.checkpoint.dir; where it is unset in local mode (tests) a local one is made and set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="tidemark-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         found = "file://" + folder
@@ -48,6 +51,9 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: later steps do not recompute it, and losing an executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if not _MADE:
+        atexit.unregister(release_all)
+        atexit.register(release_all)
     _MADE.add(path)
     before = spark.conf.get(CLEANS, "false")
     spark.conf.set(CLEANS, "true")
@@ -58,6 +64,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release_all() -> None:
+    """Delete what is left of the tables when the process ends: no frame can read them any more."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        release(spark, set(_MADE))
+
+
 def made() -> set[str]:
     """The tables made so far; for release()."""
     return set(_MADE)
