@@ -429,14 +429,15 @@ def near_duplicates(docs: DataFrame, n: int, similarity: tuple[int, int], doc_id
     joined = join(rows_of(docs, doc_id, text), n, num, den)
     sets, usable = joined.sets, joined.usable()
     root = [F.coalesce(f"c{i}", f"h{i}").alias(f"c{i}") for i in (1, 2)]
-    named = usable.join(joined.components(), ["h1", "h2"], "left").select("id", "mark", "h1", "h2", *root)
-    classes = written(named.groupBy("h1", "h2", "c1", "c2").agg(F.min("id").alias("least"), F.count("*").alias("weight")), "classes")
+    # Copies are summed to classes before anything is joined with them.
+    classes = usable.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.count("*").alias("weight"))
+    classes = written(classes.join(joined.components(), ["h1", "h2"], "left").select("h1", "h2", "least", "weight", *root), "classes")
     least = classes.groupBy("c1", "c2").agg(F.min("least").alias("component_id"))
     several = usable.groupBy("id").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low < high").select("id")
     if several.limit(1).count():
         # An id with several texts joins their components.
         nodes = written(least.withColumn("at", F.monotonically_increasing_id()), "roots")
-        at = written(named.join(several, "id").join(nodes, ["c1", "c2"]).select("id", "at").distinct(), "several")
+        at = written(usable.join(several, "id").join(classes, ["h1", "h2"]).join(nodes, ["c1", "c2"]).select("id", "at").distinct(), "several")
         bridges = at.join(at.groupBy("id").agg(F.min("at").alias("first")), "id").select(F.col("at").alias("a"), F.col("first").alias("b"))
         up = nodes.join(connected(bridges).withColumnRenamed("id", "at"), "at", "left").withColumn("component", F.coalesce("component", "at"))
         least = up.join(up.groupBy("component").agg(F.min("component_id").alias("lowest")), "component").select("c1", "c2", F.col("lowest").alias("component_id"))
@@ -464,10 +465,13 @@ def keep_one(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (80, 100
     """
     joined = join(rows_of(docs, doc_id, text), n, *similarity)
     root = [F.coalesce(f"c{i}", f"h{i}").alias(f"c{i}") for i in (1, 2)]
-    named = written(joined.usable().join(joined.components(), ["h1", "h2"], "left").select("id", "mark", *root), "named")
-    kept = named.groupBy("c1", "c2").agg(F.min(F.struct("id", "mark")).alias("kept"))
-    others = named.join(kept, ["c1", "c2"]).where(F.struct("id", "mark") != F.col("kept")).select("id", "mark").distinct()
-    others = written(others, "others")
+    usable = joined.usable()
+    classes = usable.groupBy("h1", "h2").agg(F.min(F.struct("id", "mark")).alias("least"), F.count("*").alias("weight"))
+    classes = written(classes.join(joined.components(), ["h1", "h2"], "left").select("h1", "h2", "least", "weight", *root), "classes")
+    kept = classes.groupBy("c1", "c2").agg(F.min("least").alias("kept"), F.sum("weight").alias("rows")).where("rows > 1")
+    several = written(classes.join(kept, ["c1", "c2"]).select("h1", "h2", "kept"), "several")
+    named = written(sifted(usable.select("h1", "h2", "id", "mark"), several, ["h1", "h2"]).join(several, ["h1", "h2"]), "named")
+    others = written(named.where(F.struct("id", "mark") != F.col("kept")).select("id", "mark").distinct(), "others")
     key = unused(docs, "key")
     keyed = docs.withColumn(key, F.struct(F.col(f"`{doc_id}`").alias("id"), mark_of(F.col(f"`{text}`")).alias("mark")))
     names = others.select(F.struct("id", "mark").alias(key))
