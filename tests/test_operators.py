@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import rolling as R
 from tidemark.functions import technical as X
-from tidemark.operators import alignment, backtest, breadth, cleaning, econometrics, folds, montecarlo, allocation, rules, tabular
+from tidemark.operators import alignment, backtest, boosting, breadth, cleaning, econometrics, folds, montecarlo, allocation, rules, tabular
 from tidemark.sources import tables
 
 
@@ -216,6 +216,74 @@ def test_mean_variance_prefers_the_better_asset():
     assert w.sum() == pytest.approx(1) and w[0] > w[1] >= w[2] == 0
 
 
+def test_cube_counts_rows_by_bin_and_time(spark):
+    rng = np.random.default_rng(21)
+    rows = [(i, float(rng.integers(0, 6)), None if i % 50 == 0 else float(rng.normal()), int(rng.random() < 0.4)) for i in range(2400)]
+    df = spark.createDataFrame([*rows, (2400, 1.0, 1.0, None)], "t long, a double, b double, y int")
+    data = boosting.time_cube(df, ["a", "b"], "y", "t", bins=8)
+    assert data.rows.sum() == 2400 and data.positives.sum() == sum(r[3] for r in rows)
+    assert data.rows.shape[0] == 120 and 10 <= data.rows.sum(axis=1).min() <= data.rows.sum(axis=1).max() <= 30
+    assert [(k, b) for k, _, b in boosting.fold_parts(5)] == [(k, (20 * k, 20 * k + 20)) for k in range(1, 6)]
+    cuts = boosting.edges(df, ["a", "b"], 8)
+    for i, (_, a, b, _) in enumerate(rows[:60]):
+        expected = [0 if v is None else 1 + sum(v > c for c in cuts[n]) for n, v in (("a", a), ("b", b))]
+        assert any((cell == expected).all() and data.rows[:, j].any() for j, cell in enumerate(data.bins)), i
+
+
+def test_a_tree_takes_the_best_split():
+    rng = np.random.default_rng(22)
+    for _ in range(50):
+        x, n = rng.integers(0, 5, (40, 3)), rng.integers(1, 20, 40).astype(float)
+        g = rng.normal(0, 1, 40) * n
+        node, gains = boosting.grow(x, n, g, 1, 30)
+        best = 1e-12
+        for j in range(3):
+            for cut in range(4):
+                left = x[:, j] <= cut
+                a, b = n[left].sum(), n[~left].sum()
+                if a >= 30 and b >= 30:
+                    best = max(best, g[left].sum() ** 2 / a + g[~left].sum() ** 2 / b - g.sum() ** 2 / n.sum())
+        assert gains.sum() == pytest.approx(best if best > 1e-12 else 0.0)
+        assert node.max() <= 1
+
+
+def test_boosting_on_the_cube_fits_and_area_counts_pairs():
+    rng = np.random.default_rng(23)
+    x = np.array([(i, j) for i in range(8) for j in range(4)])
+    rows = rng.integers(20, 60, len(x))
+    positives = rng.binomial(rows, 1 / (1 + np.exp(-(x[:, 0] - 3.5 + 2 * (x[:, 1] > 1)))))
+    *_, (score, gains) = boosting.boost(x, rows, positives, 100, 0.1, 3, 10, 0.85)
+    share = boosting.forest(x, rows, positives, 100, 6, 2)
+    order = np.repeat(np.arange(len(x)), rows)
+    label = np.concatenate([np.arange(n) < p for n, p in zip(rows, positives)])
+    for s in (score, share):
+        v = s[order]
+        wins = (v[label][:, None] > v[~label][None, :]).mean() + (v[label][:, None] == v[~label][None, :]).mean() / 2
+        assert boosting.auc(s, rows, positives) == pytest.approx(wins) and wins > 0.85
+    assert np.abs(1 / (1 + np.exp(-score)) - positives / rows).mean() < 0.12 and gains[0] > gains[1] > 0
+    found = boosting.measures(score, rows, positives)
+    yes = score[order] > 0
+    assert found["accuracy"] == pytest.approx((yes == label).mean()) and found["precision"] == pytest.approx(label[yes].mean()) and found["recall"] == pytest.approx(yes[label].mean())
+
+
+def test_grid_search_and_curves(spark):
+    rng = np.random.default_rng(24)
+    rows = [(i, float(rng.integers(0, 8)), float(rng.normal())) for i in range(3000)]
+    df = spark.createDataFrame([(i, a, b, int(rng.random() < 1 / (1 + math.exp(3.5 - a)))) for i, a, b in rows], "t long, a double, b double, y int")
+    data = boosting.time_cube(df, ["a", "b"], "y", "t")
+    found = boosting.grid_search(spark, data, [5, 20], [0.1, 0.2], [2], [10], [0.8]).toPandas()
+    assert len(found) == 2 * 2 * 5 and (found["auc"] > 0.8).all()
+    *_, (score, _) = boosting.boost(data.bins, *data.part(0, 40), 5, 0.1, 2, 10, 0.8)
+    row = found[(found["rounds"] == 5) & (found["rate"] == 0.1) & (found["fold"] == 2)].iloc[0]
+    assert row["auc"] == pytest.approx(boosting.auc(score, *data.part(40, 60)))
+    params = {"rounds": 20, "rate": 0.1, "depth": 2, "leaf": 10, "subsample": 0.8}
+    curve = boosting.learning_curve(data, params, [0.2, 1.0])
+    assert curve[0][1] < curve[1][1] and curve[1][4] > 0.8
+    kept = {f: k for f, *_, k in boosting.importance_stability(data, params)}
+    assert kept["a"] and boosting.stability(data, params)["auc"]["gap"] < 0.1
+    assert [boosting.gap_label(g) for g in (-0.1, 0.02, 0.07, 0.3)] == ["excellent", "acceptable", "concerning", "severe"]
+
+
 def test_demo_bars_are_consistent(spark):
     df = tables.demo_bars(spark, ["A"], 50)
     assert df.where("high < greatest(open, close) or low > least(open, close)").count() == 0 and df.count() == 50

@@ -14,6 +14,8 @@ from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators import boosting
+
 
 def ic_weights(df: DataFrame, features: list[str], target: str, keep_sign: bool = True) -> dict[str, float]:
     """Correlations with the target over the train split, scaled to absolute sum 1; equal weights if all are zero."""
@@ -78,6 +80,13 @@ def classify(df: DataFrame, features: list[str], label: str, models: dict) -> Da
     return data.withColumn("vote", sum((F.col(m) for m in models), F.lit(0.0)) / len(models)).drop("features")
 
 
+def classify_all(df: DataFrame, features: list[str], label: str, trees: int = 300, depth: int = 12, rounds: int = 600) -> DataFrame:
+    """logistic, forest, boosting and their mean (vote): the ensembles at full size on the cube of binned features."""
+    logistic = classify(df, features, label, {"logistic": classifiers()["logistic"]})
+    scored = boosting.ensembles(logistic, features, label, trees, depth, rounds)
+    return scored.withColumn("vote", (F.col("logistic") + F.col("forest") + F.col("boosting")) / 3)
+
+
 def importances(df: DataFrame, features: list[str], label: str, top: int = 15, rounds: int = 20) -> list[tuple[str, float]]:
     """Features by importance in a boosted ensemble on the train split."""
     data = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip").transform(df.withColumn("label", F.col(label).cast("double")))

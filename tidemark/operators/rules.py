@@ -48,7 +48,7 @@ def both_to_enter(buy: Column | float, sell: Column | float) -> Rule:
 RULES: dict[str, Rule] = {"baseline": baseline(-1.0, 1.0), "hysteresis": hysteresis(-1.5, 0.5), "continuous": continuous(-1.0, 1.0)}
 
 
-def hold(df: DataFrame, rule: Rule, z: list[str], key: list[str], order: str, initial: float = 0.0, out: str = "position") -> DataFrame:
+def hold(df: DataFrame, rule: Rule, z: list[str], key: list[str], order: str, initial: Column | float = 0.0, out: str = "position") -> DataFrame:
     """df with the position of a rule on the z-scores of the bar before."""
     w = series(key, order)
     df = df.withColumns({f"_z{i}": F.lag(c).over(w) for i, c in enumerate(z)})
@@ -57,4 +57,4 @@ def hold(df: DataFrame, rule: Rule, z: list[str], key: list[str], order: str, in
     for c in known:
         fixed = F.when(c.isNotNull(), fixed)
     df = df.withColumn("_fixed", fixed)
-    return df.withColumn(out, F.coalesce(F.last("_fixed", ignorenulls=True).over(cum(w)), F.lit(float(initial)))).drop("_fixed", *[f"_z{i}" for i in range(len(z))])
+    return df.withColumn(out, F.coalesce(F.last("_fixed", ignorenulls=True).over(cum(w)), (initial if isinstance(initial, Column) else F.lit(float(initial))))).drop("_fixed", *[f"_z{i}" for i in range(len(z))])

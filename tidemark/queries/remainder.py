@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 from functools import reduce
 
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import rolling as R
 from tidemark.functions import technical as X
 from tidemark.operators import arena as A
 from tidemark.operators import backtest as B
+from tidemark.operators import boosting
 from tidemark.operators import breadth as H
 from tidemark.operators import econometrics as E
 from tidemark.operators import folds
@@ -22,29 +19,21 @@ from tidemark.operators import models as Md
 from tidemark.operators import rules
 from tidemark.operators import statistics as S
 from tidemark.operators import tabular as Tb
+from tidemark.operators.alignment import standardise_by
 from tidemark.plans.registry import QUERIES, query
 from tidemark.queries.panels import source
 from tidemark.queries.research import HELD, IC, NAV, breadth, factors, held, nav, pair, z20
 from tidemark.queries.studies import THRESHOLDS, features, grid_trades, levels, positive, threshold_grid, z_grid
 from tidemark.queries.windows import RSI_T, W, simple
+from tidemark.sources import scratch
 from tidemark.sources import tables as T
 
 # --- sources and sinks -------------------------------------------------------------------------------------
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A folder for a written table: the shared one where it is set, a temporary one in local sessions."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        folder = tempfile.mkdtemp(prefix="tidemark-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        root = "file://" + folder
-    return f"{root}/{name}"
-
-
 def reloaded(df: DataFrame, name: str, partition_by: str | None = None, kind: str = "parquet") -> DataFrame:
     spark = df.sparkSession
-    path = scratch(spark, f"{name}-{spark.sparkContext.applicationId}-{abs(hash(df)) % 10**9}")
+    path = scratch.folder(spark, name)
     T.write_table(df, path, partition_by, kind)
     reader = spark.read.option("header", True).schema(df.schema)
     return reader.format(kind).load(path).select(*df.columns)
@@ -58,7 +47,7 @@ query("s15_selected_factors", IC + " SELECT factor FROM ics ORDER BY abs(clipped
 
 @query("s16_backtest_config", "SELECT 'leverage' AS name, 1.0 AS value UNION ALL SELECT 'slippage', 0.0 UNION ALL SELECT 'capital', 500000.0", "name", "value")
 def s16(spark, d):
-    path = scratch(spark, f"config-{spark.sparkContext.applicationId}")
+    path = scratch.folder(spark, "config")
     lines = spark.createDataFrame([("capital: 500000  # start",), ("other: 3",), ("no pair",)], "value string")
     lines.coalesce(1).write.mode("overwrite").text(path)
     found = T.read_config(spark, path, {"capital": 1e6, "leverage": 1.0, "slippage": 0.0})
@@ -111,12 +100,20 @@ def p21(spark, d):
 # --- grids and studies -------------------------------------------------------------------------------------
 
 
+#: Weights of high-low, above-average and positive-return shares by preset, and spans of the average.
+PRESETS = {"equal": (1 / 3, 1 / 3, 1 / 3), "high_low_heavy": (0.5, 0.3, 0.2), "ma_heavy": (0.2, 0.5, 0.3), "momentum_heavy": (0.2, 0.3, 0.5), "balanced_trend": (0.25, 0.5, 0.25), "balanced_momentum": (0.25, 0.25, 0.5)}
+SPANS = (60, 90, 120)
+#: Entry and exit levels, penalties, horizons and tree sizes of the combined signals.
+COMBINED_BUYS, COMBINED_SELLS, PENALTIES, HORIZONS = (-1.2, -1.0, -0.8), (1.2, 1.5, 2.0), (0.1, 1.0, 10.0, 100.0), (20, 60)
+TREES = [(depth, leaf) for depth in (2, 3, 4) for leaf in (50, 100, 200)]
+
+
 def weight_grid(s, d) -> DataFrame:
     """Presets of weights x EMA spans on expanding percentile ranks; spans are groups of one scan."""
     rows = breadth(s, d).where("above_ma is not null").withColumn("k", F.lit(1))
     for x in ("new_high_low_net", "above_ma", "positive_return"):
         rows = H.expanding_rank(rows, x, f"{x}_pct", "k", "date")
-    grid = s.createDataFrame([(i, *w, span) for i, w in enumerate(((0.4, 0.3, 0.3), (0.6, 0.2, 0.2), (0.2, 0.4, 0.4))) for span in (20, 40)], "preset int, a double, b double, c double, span int")
+    grid = s.createDataFrame([(name, *w, span) for name, w in PRESETS.items() for span in SPANS], "preset string, a double, b double, c double, span int")
     rows = rows.crossJoin(F.broadcast(grid)).withColumn("raw", F.col("a") * F.col("new_high_low_net_pct") + F.col("b") * F.col("above_ma_pct") + F.col("c") * F.col("positive_return_pct"))
     keys = ["preset", "span"]
     rows = folds.scan(rows, keys, "date", lambda c: {"slow": folds.ewm_values(c["raw"], 2 / (float(c["span"][0]) + 1))}, ["raw", "span"], {"slow": "double"})
@@ -126,9 +123,33 @@ def weight_grid(s, d) -> DataFrame:
 
 query("g03_weight_grid", None, "preset span n", "z", 4)(lambda s, d: weight_grid(s, d).groupBy("preset", "span").agg(F.count("z").alias("n"), F.avg("z").alias("z")))
 query("g04_config_evaluation", None, "preset span n", "ic", 4)(lambda s, d: S.rank_ic(weight_grid(s, d), "z", "t", ["preset", "span"]))
-query("g07_combination_grid", None, "symbol buy sell n_trades", "total_return", 4)(
-    lambda s, d: (lambda f: B.nav_summary(B.nav_backtest(rules.hold(f.crossJoin(F.broadcast(s.createDataFrame([(-1.0, 1.0), (-0.5, 0.5), (-1.0, 0.5)], "buy double, sell double"))), rules.baseline(F.col("buy"), F.col("sell")), ["score"], ["symbol", "buy", "sell"], "ts"), ["symbol", "buy", "sell"], "ts"), ["symbol", "buy", "sell"], "ts"))(
-        features(s, d).withColumn("score", (F.col("a") + F.col("b") + F.col("c")) / 3).withColumn("index_close", 1000 * F.exp(F.sum(F.coalesce("a", F.lit(0.0)) / 200).over(R.cum(X.W))))))
+def combined(s, d) -> DataFrame:
+    """The standardised score of 16 ways to combine three signals: equal, by IC at two horizons, four ridges, nine trees."""
+    names = ["a", "b", "c"]
+    rows = features(s, d).withColumn("index_close", 1000 * F.exp(F.sum(F.coalesce("a", F.lit(0.0)) / 200).over(R.cum(X.W))))
+    rows = rows.withColumns({f"t{h}": R.ahead("close", h, X.W) / 100 for h in HORIZONS}).withColumn("equal", (F.col("a") + F.col("b") + F.col("c")) / 3)
+    made = ["equal"]
+    for h in HORIZONS:
+        rows = Md.linear_score(rows, Md.ic_weights(rows, names, f"t{h}"), f"ic_{h}")
+        made.append(f"ic_{h}")
+    for penalty in PENALTIES:
+        rows = Md.linear_score(rows, Md.ridge(rows, names, "t20", penalty, intercept=True), f"ridge_{penalty:g}".replace(".", "_"))
+        made.append(f"ridge_{penalty:g}".replace(".", "_"))
+    for depth, leaf in TREES:
+        rows = Md.tree_score(rows, names, "t20", f"tree_{depth}_{leaf}", depth, leaf)
+        made.append(f"tree_{depth}_{leaf}")
+    rows = standardise_by(rows, made, ["symbol"], "split = 'train'")
+    return rows.unpivot(["symbol", "ts", "index_close"], made, "spec", "score")
+
+
+def combination_grid(s, d) -> DataFrame:
+    grid = s.createDataFrame([(b, c) for b in COMBINED_BUYS for c in COMBINED_SELLS], "buy double, sell double")
+    key = ["symbol", "spec", "buy", "sell"]
+    rows = rules.hold(combined(s, d).crossJoin(F.broadcast(grid)), rules.baseline(F.col("buy"), F.col("sell")), ["score"], key, "ts")
+    return B.nav_summary(B.nav_backtest(rows, key, "ts"), key, "ts")
+
+
+query("g07_combination_grid", None, "symbol spec buy sell n_trades", "total_return", 4)(combination_grid)
 query("g10_hedge_alternatives", None, "spec", "beta tau", 3)(
     lambda s, d: (lambda lv, ps: E.engle_granger(lv, ["symbol"], "ts").select(F.lit("levels").alias("spec"), "beta", "tau")
                   .unionByName(E.adf(lv.withColumn("e", F.col("y") - F.col("x")), ["symbol"], "ts", "e").select(F.lit("naive").alias("spec"), F.lit(1.0).alias("beta"), "tau"))
@@ -148,16 +169,31 @@ def tabular(s, d) -> DataFrame:
     return Tb.stratified_split(T.labelled(s, d).withColumn("len", F.log1p("n_chars")).withColumn("lang_code", F.ascii("lang").cast("double")), "quality", "doc_id")
 
 
-def cross_validated(df: DataFrame, folds_: int, fold: str, names: list[str], expanding: bool = False) -> DataFrame:
-    """AUC of models on every fold, fitted on the other folds (or only on the earlier ones)."""
-    out, measure = [], BinaryClassificationEvaluator(rawPredictionCol="score", labelCol="quality")
-    models = Md.classifiers(trees=10, rounds=5)
-    for k in range(1, folds_ + 1):
-        seen = F.col(fold) < k if expanding else F.col(fold) != k
-        rows = df.where((F.col(fold) <= k) if expanding else F.lit(True)).withColumn("split", F.when(seen, "train").otherwise("test"))
-        scored = Md.classify(rows, ["len", "lang_code", "toxic"], "quality", {n: models[n] for n in names}).where("split = 'test'")
-        out += [(n, k, float(measure.evaluate(scored.withColumn("score", F.col(n))))) for n in names]
-    return df.sparkSession.createDataFrame(out, "model string, fold int, auc double")
+#: The grid of the boosting search (3 x 3 x 2 x 3 x 2 = 108), and the parameters of the stability study.
+ROUNDS, RATES, DEPTHS, LEAVES, SAMPLES = [60, 100, 150], [0.02, 0.05, 0.08], [2, 3], [10, 20, 30], [0.7, 0.85]
+STABLE = {"rounds": 120, "rate": 0.05, "depth": 3, "leaf": 20, "subsample": 0.8}
+CURVE = [round(0.2 + 0.1 * i, 1) for i in range(9)]
+NAMES = ["len", "lang_code", "toxic"]
+
+
+def by_time(s, d) -> boosting.Cube:
+    return boosting.time_cube(tabular(s, d), NAMES, "quality", "doc_id")
+
+
+def searched(s, d) -> DataFrame:
+    """Mean AUC over five expanding folds of 108 boosting configurations."""
+    found = boosting.grid_search(s, by_time(s, d), ROUNDS, RATES, DEPTHS, LEAVES, SAMPLES)
+    return found.groupBy("rounds", "rate", "depth", "leaf", "subsample").agg(F.avg(F.when(~F.isnan("auc"), F.col("auc"))).alias("auc"), F.count("*").alias("folds"))
+
+
+def best_found(s, d) -> dict:
+    r = searched(s, d).orderBy(F.round("auc", 9).desc_nulls_last(), "rounds", "rate", "depth", "leaf", "subsample").first()
+    return {k: r[k] for k in ("rounds", "rate", "depth", "leaf", "subsample")}
+
+
+def stable(s, d) -> DataFrame:
+    found = boosting.stability(by_time(s, d), best_found(s, d))
+    return s.createDataFrame([(m, *[float(v[k]) for k in ("train_mean", "train_std", "test_mean", "test_std", "gap")], boosting.gap_label(found["auc"]["gap"])) for m, v in found.items()], "measure string, train_mean double, train_std double, test_mean double, test_std double, gap double, label string")
 
 
 def hashed_folds(s, d, n: int = 3) -> DataFrame:
@@ -166,11 +202,13 @@ def hashed_folds(s, d, n: int = 3) -> DataFrame:
 
 
 query("m10_stratified_folds", "SELECT fold, quality, count(*) AS n FROM (SELECT quality, row_number() OVER (PARTITION BY quality ORDER BY md5(CAST(doc_id AS VARCHAR))) % 3 + 1 AS fold FROM v7) GROUP BY 1, 2", "fold quality n")(lambda s, d: hashed_folds(s, d).groupBy(F.col("fold").cast("long").alias("fold"), "quality").agg(F.count("*").alias("n")))
-for _id, _name in (("m12_random_forest", "forest"), ("m13_boosting", "boosting")):
-    query(_id, None, "doc_id split", _name, 4)(lambda s, d, n=_name: Md.classify(tabular(s, d), ["len", "lang_code", "toxic"], "quality", {n: Md.classifiers(20, 10)[n]}))
+query("m12_random_forest", None, "doc_id split", "forest", 4)(lambda s, d: boosting.ensembles(tabular(s, d), NAMES, "quality"))
+query("m13_boosting", None, "doc_id split", "boosting", 4)(lambda s, d: boosting.ensembles(tabular(s, d), NAMES, "quality"))
 query("m14_soft_vote", None, "doc_id split", "vote", 4)(lambda s, d: QUERIES["m11_classifiers"].run(s, d))
-query("m22_grid_search", None, "model fold", "auc", 3)(lambda s, d: cross_validated(tabular(s, d).withColumn("fold", Tb.expanding_folds(2, F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("doc_id")) - 1, F.count("*").over(Window.partitionBy(F.lit(1))))), 2, "fold", ["logistic"], expanding=True))
-query("m24_stability", None, "model n", "mean deviation", 3)(lambda s, d: cross_validated(hashed_folds(s, d), 3, "fold", ["logistic"]).groupBy("model").agg(F.count("*").alias("n"), F.avg("auc").alias("mean"), F.stddev_samp("auc").alias("deviation")))
+query("m20_importance_stability", None, "feature kept", "mean deviation least greatest", 3)(lambda s, d: s.createDataFrame(boosting.importance_stability(by_time(s, d), STABLE), "feature string, mean double, deviation double, least double, greatest double, kept boolean"))
+query("m22_grid_search", None, "rounds depth leaf folds", "rate subsample auc", 4)(searched)
+query("m24_stability", None, "measure label", "train_mean train_std test_mean test_std gap", 3)(stable)
+query("m24_learning_curve", None, "", "share rows train_auc train_std test_auc test_std", 3)(lambda s, d: s.createDataFrame(boosting.learning_curve(by_time(s, d), best_found(s, d), CURVE), "share double, rows double, train_auc double, train_std double, test_auc double, test_std double"))
 
 # --- battles -----------------------------------------------------------------------------------------------
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -167,10 +169,31 @@ BLACK_SCHOLES = f"""WITH g AS (SELECT s0, (ln(s0 / 100) + 0.07) / 0.2 AS d1, (ln
     SELECT s0, s0 * ({phi('d1')}) - 100 * exp(-0.05) * ({phi('d2')}) AS european, exp(-0.05) * ({phi('d2')}) AS binary_call FROM g"""
 query("o10_black_scholes", BLACK_SCHOLES, "s0", "european binary_call", 3)(
     lambda s, d: s.createDataFrame([(90.0,), (100.0,), (110.0,)], "s0 double").select("s0", *[c.alias(n) for c, n in zip(M.black_scholes(F.col("s0"), *[F.lit(v) for v in (100.0, 0.05, 0.2, 1.0)]), ("european", "binary_call"), strict=True)]))
-query("o11_convergence", PATHS + f", pr AS (SELECT path, 100 * product({EULER}) AS price FROM st GROUP BY path) SELECT n, exp(-0.05) * avg(greatest(price - 100, 0)) AS price FROM pr, (VALUES (100), (200), (400)) g(n) WHERE path < n GROUP BY n", "n", "price")(
-    lambda s, d: M.terminal(s, N, STEPS, "euler").crossJoin(F.broadcast(s.createDataFrame([(100,), (200,), (400,)], "n int"))).where("path < n").groupBy("n").agg((F.exp(F.lit(-0.05)) * F.avg(M.call_payoff(F.col("price"), 100.0))).alias("price")))
-query("o12_sensitivity", f"WITH {Z_SQL.format(n=N)} SELECT sigma, exp(-0.05) * avg(greatest(100 * exp((0.05 - sigma * sigma / 2) + sigma * z) - 100, 0)) AS price FROM zn, (VALUES (0.1::DOUBLE), (0.2), (0.4)) g(sigma) GROUP BY sigma", "sigma", "price")(
-    lambda s, d: T.normals(s, N).crossJoin(F.broadcast(s.createDataFrame([(0.1,), (0.2,), (0.4,)], "sigma double"))).groupBy("sigma").agg((F.exp(F.lit(-0.05)) * F.avg(F.greatest(100 * F.exp((0.05 - F.col("sigma") * F.col("sigma") / 2) + F.col("sigma") * F.col("z")) - 100, F.lit(0.0)))).alias("price")))
+#: Sizes of the published sweeps; path counts from a thousand up are the same shares of the paths here.
+PATH_COUNTS = [round(10 ** (k * 3 / 7)) for k in range(8)]
+STEP_COUNTS = [10, 20, 50, 100, 250, 500, 1000]
+SPOTS, SIGMAS, TIMES = ([a + (b - a) * i / (n - 1) for i in range(n)] for a, b, n in ((80.0, 120.0, 15), (0.05, 0.5, 15), (0.1, 5.0, 12)))
+SCHEMES = ("euler", "milstein", "exact")
+
+
+def convergence(s, d, paths: int = 1000, n: int = STEPS) -> DataFrame:
+    """Price by scheme over the first 1 / 1000 .. all of the paths; paths are simulated once for all counts."""
+    rows = reduce(DataFrame.unionByName, [M.terminal(s, paths, n, k).select("path", "price", F.lit(k).alias("scheme")) for k in SCHEMES])
+    counts = s.createDataFrame([(paths * c // 1000,) for c in PATH_COUNTS], "n int")
+    return rows.crossJoin(F.broadcast(counts)).where("path < n").groupBy("scheme", "n").agg((F.exp(F.lit(-0.05)) * F.avg(M.call_payoff(F.col("price"), 100.0))).alias("price"))
+
+
+def price_sql(n: int, growth: str) -> str:
+    return f"SELECT path, 100 * product({growth}) AS price FROM (SELECT id // {n} AS path, z, sqrt(1.0 / {n}) * z AS dw, 1.0 / {n} AS dt FROM zn WHERE id < {n} * {{paths}}) GROUP BY path"
+
+
+_CONVERGED = " UNION ALL ".join(f"SELECT '{k}' AS scheme, path, price FROM ({q})" for k, q in (("euler", price_sql(STEPS, EULER).format(paths=1000)), ("milstein", price_sql(STEPS, MILSTEIN).format(paths=1000)), ("exact", "SELECT id AS path, 100 * exp(0.03 + 0.2 * z) AS price FROM zn WHERE id < 1000")))
+query("o11_convergence", f"WITH {Z_SQL.format(n=1000 * STEPS)}, pr AS ({_CONVERGED}) SELECT scheme, n, exp(-0.05) * avg(greatest(price - 100, 0)) AS price FROM pr, (VALUES {', '.join(f'({c})' for c in PATH_COUNTS)}) g(n) WHERE path < n GROUP BY scheme, n", "scheme n", "price")(convergence)
+query("o11_time_steps", f"WITH {Z_SQL.format(n=40 * 1000)}, pr AS (" + " UNION ALL ".join(f"SELECT '{k}' AS scheme, {n} AS n, price FROM ({price_sql(n, g).format(paths=40)})" for n in STEP_COUNTS for k, g in (("euler", EULER), ("milstein", MILSTEIN))) + ") SELECT scheme, n, exp(-0.05) * avg(greatest(price - 100, 0)) AS price FROM pr GROUP BY scheme, n", "scheme n", "price")(
+    lambda s, d: reduce(DataFrame.unionByName, [M.terminal(s, 40, n, k).select(F.lit(k).alias("scheme"), F.lit(n).alias("n"), "price") for n in STEP_COUNTS for k in SCHEMES[:2]]).groupBy("scheme", "n").agg((F.exp(F.lit(-0.05)) * F.avg(M.call_payoff(F.col("price"), 100.0))).alias("price")))
+SWEEPS = [("s0", v, v, 0.2, 1.0) for v in SPOTS] + [("sigma", v, 100.0, v, 1.0) for v in SIGMAS] + [("t", v, 100.0, 0.2, v) for v in TIMES]
+query("o12_sensitivity", f"WITH {Z_SQL.format(n=N)} SELECT what, value, exp(-0.05 * t) * avg(greatest(s0 * exp((0.05 - sigma * sigma / 2) * t + sigma * sqrt(t) * z) - 100, 0)) AS price FROM zn, (VALUES {', '.join(f'({w!r}, {v!r}::DOUBLE, {a!r}::DOUBLE, {b!r}::DOUBLE, {c!r}::DOUBLE)' for w, v, a, b, c in SWEEPS)}) g(what, value, s0, sigma, t) GROUP BY what, value, t", "what", "value price")(
+    lambda s, d: T.normals(s, N).crossJoin(F.broadcast(s.createDataFrame(SWEEPS, "what string, value double, s0 double, sigma double, t double"))).groupBy("what", "value", "t").agg((F.exp(-0.05 * F.col("t")) * F.avg(F.greatest(F.col("s0") * F.exp((0.05 - F.col("sigma") * F.col("sigma") / 2) * F.col("t") + F.col("sigma") * F.sqrt("t") * F.col("z")) - 100, F.lit(0.0)))).alias("price")))
 query("o13_variance_reduction", PATHS + f", pr AS (SELECT greatest(100 * product({EULER}) - 100, 0) AS a, greatest(100 * product(1 + 0.05 * dt - 0.2 * dw) - 100, 0) AS b FROM st GROUP BY path) SELECT var_pop(a) AS plain, var_pop((a + b) / 2) AS paired, var_pop(a) / var_pop((a + b) / 2) AS ratio FROM pr", "", "plain paired ratio")(
     lambda s, d: M.antithetic(s, N, STEPS).select(M.call_payoff(F.col("price"), 100.0).alias("a"), M.call_payoff(F.col("mirror"), 100.0).alias("b")).agg(F.var_pop("a").alias("plain"), F.var_pop((F.col("a") + F.col("b")) / 2).alias("paired"), (F.var_pop("a") / F.var_pop((F.col("a") + F.col("b")) / 2)).alias("ratio")))
 
@@ -223,22 +246,47 @@ def g02(spark, d):
     return B.signal_metrics(out, ["symbol", "q", "lookback", "fee_bps", "split"])
 
 
-def threshold_grid(s, d) -> DataFrame:
-    """Every buy/sell pair with buy < sell as a group of one window pass."""
-    pairs = [(b / 2, c / 2) for b in range(-4, 1) for c in range(0, 4) if b < c]
-    grid = s.createDataFrame(pairs, "buy double, sell double")
-    z = z20(T.bars(s, d)).withColumn("index_close", 1000 * F.exp(F.sum(F.coalesce("z", F.lit(0.0)) / 200).over(R.cum(X.W))))
-    key = ["symbol", "buy", "sell"]
-    rows = rules.hold(z.crossJoin(F.broadcast(grid)), rules.baseline(F.col("buy"), F.col("sell")), ["z"], key, "ts")
+#: Entry and exit levels of the rule families, and cold and hot edges of the continuous one.
+BUYS, SELLS = (-2.0, -1.5, -1.2, -1.0, -0.8, -0.5, -0.3), (0.3, 0.5, 0.8, 1.0, 1.2, 1.5, 2.0)
+COLDS, HOTS = (-1.5, -1.2, -1.0, -0.8, -0.5), (0.5, 0.8, 1.0, 1.2, 1.5)
+FAMILIES = [(f, b, c, i) for b in BUYS for c in SELLS for f, i in (("overcooled_entry", 0.0), ("default_long", 1.0), ("hysteresis", 0.0))] + [("continuous", b, c, 0.0) for b in COLDS for c in HOTS]
+RULE_KEY = ["symbol", "family", "buy", "sell"]
+
+
+def damped(s, d) -> DataFrame:
+    """z-scores and an index that follows a damped path."""
+    return z20(T.bars(s, d)).withColumn("index_close", 1000 * F.exp(F.sum(F.coalesce("z", F.lit(0.0)) / 200).over(R.cum(X.W))))
+
+
+def split_books(rows: DataFrame, key: list[str]) -> DataFrame:
     return B.nav_summary(B.split_rows(B.nav_backtest(rows, key, "ts"), key, names=("train", "valid", "final")), [*key, "split"], "ts")
 
 
-def nav_grid_sql(key: str, grid: str, fixed: str) -> str:
+def threshold_grid(s, d) -> DataFrame:
+    """Every rule family under every pair of its levels, as groups of one window pass."""
+    grid = s.createDataFrame(FAMILIES, "family string, buy double, sell double, initial double")
+    rule = lambda z: F.when(F.col("family") == "continuous", rules.continuous(F.col("buy"), F.col("sell"))(z)).otherwise(rules.baseline(F.col("buy"), F.col("sell"))(z))
+    return split_books(rules.hold(damped(s, d).crossJoin(F.broadcast(grid)), rule, ["z"], RULE_KEY, "ts", initial=F.col("initial")), RULE_KEY)
+
+
+def dual_grid(s, d) -> DataFrame:
+    """Two signals under every pair of levels: both to enter, the lesser of two positions, the mean of two positions."""
+    grid = s.createDataFrame([(b, c) for b in BUYS for c in SELLS], "buy double, sell double")
+    z = damped(s, d).withColumn("y", F.lag("z", 5).over(X.W)).crossJoin(F.broadcast(grid))
+    both, key = rules.both_to_enter(F.col("buy"), F.col("sell")), ["symbol", "buy", "sell"]
+    held_ = rules.hold(z, both, ["z", "y"], key, "ts").withColumn("family", F.explode(F.array(F.lit("and_entry_or_exit"), F.lit("min_position"))))
+    before = z.withColumns({c: F.lag(c).over(R.series(key, "ts")) for c in ("z", "y")})
+    mean = folds.scan(before, key, "ts", lambda c: {"position": folds.average_rule(c["z"], c["y"], float(c["buy"][0]), float(c["sell"][0]))}, ["z", "y", "buy", "sell"], {"position": "double"}).withColumn("family", F.lit("avg_position"))
+    columns = [*RULE_KEY, "ts", "index_close", "position"]
+    return split_books(held_.select(*columns).unionByName(mean.select(*columns)), RULE_KEY)
+
+
+def nav_grid_sql(key: str, grid: str, fixed: str, initial: str = "0.0") -> str:
     """CTEs up to nv (daily books) and su (their summary by key and split) of a rule under every row of a grid."""
     by = f"PARTITION BY {key} ORDER BY ts"
     seg = f"PARTITION BY {key}, split ORDER BY ts"
     return f"""WITH {Z20}, {DAMP}, gx AS (SELECT ix.*, g.* FROM ix, {grid}), fx AS (SELECT *, CASE WHEN zp IS NOT NULL THEN {fixed} END AS fixed FROM gx),
-    ps AS (SELECT *, coalesce(last_value(fixed IGNORE NULLS) OVER ({by} ROWS UNBOUNDED PRECEDING), 0.0) AS position, index_close / lag(index_close) OVER ({by}) - 1 AS ret FROM fx),
+    ps AS (SELECT *, coalesce(last_value(fixed IGNORE NULLS) OVER ({by} ROWS UNBOUNDED PRECEDING), {initial}) AS position, index_close / lag(index_close) OVER ({by}) - 1 AS ret FROM fx),
     mv AS (SELECT *, position - coalesce(lag(position) OVER ({by}), position) AS move FROM ps), cs AS (SELECT *, CASE WHEN ret IS NULL THEN 0 ELSE abs(move) * 0.0002 + greatest(-move, 0) * 0.001 END AS cost FROM mv),
     ne AS (SELECT *, coalesce(position * ret - cost, 0) AS net FROM cs),
     nv AS (SELECT *, 1000000.0 * product(1 + net) OVER ({by} ROWS UNBOUNDED PRECEDING) AS nav, 1000000.0 * product(1 + coalesce(ret, 0)) OVER ({by} ROWS UNBOUNDED PRECEDING) AS benchmark, row_number() OVER ({by}) - 1 AS r0, count(*) OVER (PARTITION BY {key}) AS n0 FROM ne),
@@ -248,20 +296,32 @@ def nav_grid_sql(key: str, grid: str, fixed: str) -> str:
       max_by(nav, ts) / min_by(nav, ts) - max_by(benchmark, ts) / min_by(benchmark, ts) AS excess_return FROM sd GROUP BY {key}, split)"""
 
 
-THRESHOLDS = nav_grid_sql("symbol, buy, sell", "(SELECT b / 2.0::DOUBLE AS buy, c / 2.0::DOUBLE AS sell FROM range(-4, 1) x(b), range(0, 4) y(c) WHERE b < c) g", "CASE WHEN zp < buy THEN 1.0 WHEN zp > sell THEN 0.0 END")
+FAMILY_ROWS = ", ".join(f"('{f}', {b}::DOUBLE, {c}::DOUBLE, {i}::DOUBLE)" for f, b, c, i in FAMILIES)
+THRESHOLDS = nav_grid_sql("symbol, family, buy, sell", f"(VALUES {FAMILY_ROWS}) g(family, buy, sell, initial)", "CASE WHEN family = 'continuous' THEN CASE WHEN zp > sell THEN 0.0 WHEN zp <= buy THEN least(greatest((-zp - abs(buy)) / 2, 0), 1) END WHEN zp < buy THEN 1.0 WHEN zp > sell THEN 0.0 END", "initial")
+_LEVELS = ", ".join(f"({b}::DOUBLE, {c}::DOUBLE)" for b in BUYS for c in SELLS)
+_STEP = "CASE WHEN n.{x} < n.buy THEN 1::DOUBLE WHEN n.{x} > n.sell THEN 0::DOUBLE ELSE p.position END"
+_DUAL = "PARTITION BY symbol, family, buy, sell ORDER BY ts"
+DUALS = f"""WITH RECURSIVE {Z20}, {DAMP}, iy AS (SELECT *, lag(z, 5) OVER ({W}) AS y, row_number() OVER ({W}) AS rn FROM ix), iz AS (SELECT *, lag(y) OVER ({W}) AS yp FROM iy), gy AS (SELECT iz.*, g.* FROM iz, (VALUES {_LEVELS}) g(buy, sell)),
+    av AS (SELECT symbol, buy, sell, ts, rn, index_close, 0.0::DOUBLE AS position FROM gy WHERE rn = 1 UNION ALL SELECT n.symbol, n.buy, n.sell, n.ts, n.rn, n.index_close, CASE WHEN n.zp IS NULL OR n.yp IS NULL THEN p.position::DOUBLE ELSE ({_STEP.format(x="zp")} + {_STEP.format(x="yp")}) / 2 END
+      FROM av p JOIN gy n ON n.symbol = p.symbol AND n.buy = p.buy AND n.sell = p.sell AND n.rn = p.rn + 1),
+    be AS (SELECT *, CASE WHEN zp > sell OR yp > sell THEN 0::DOUBLE WHEN zp < buy AND yp < buy THEN 1::DOUBLE END AS fixed FROM gy WHERE zp IS NOT NULL AND yp IS NOT NULL UNION ALL SELECT *, NULL FROM gy WHERE zp IS NULL OR yp IS NULL),
+    bh AS (SELECT *, coalesce(last_value(fixed IGNORE NULLS) OVER (PARTITION BY symbol, buy, sell ORDER BY ts ROWS UNBOUNDED PRECEDING), 0::DOUBLE) AS position FROM be),
+    dp AS (SELECT symbol, f AS family, buy, sell, ts, index_close, position FROM bh, (VALUES ('and_entry_or_exit'), ('min_position')) t(f) UNION ALL SELECT symbol, 'avg_position', buy, sell, ts, index_close, position FROM av),
+    ps AS (SELECT *, index_close / lag(index_close) OVER ({_DUAL}) - 1 AS ret FROM dp), {THRESHOLDS[THRESHOLDS.index("mv AS") :]}"""
 RULE_BOOKS = nav_grid_sql("symbol, rule", "(VALUES ('baseline'), ('hysteresis'), ('continuous')) g(rule)", f"CASE rule WHEN 'baseline' THEN {BASE} WHEN 'hysteresis' THEN CASE WHEN zp < -1.5 THEN 1.0 WHEN zp > 0.5 THEN 0.0 END ELSE {CONTINUOUS} END") + """,
     rm AS (SELECT symbol, rule, max_by(nav, ts) / min_by(nav, ts) - 1 AS total_return, avg(net) / NULLIF(stddev_pop(net), 0) * sqrt(252.0) AS sharpe FROM nv GROUP BY symbol, rule)"""
-query("g06_threshold_grid", THRESHOLDS + " SELECT * FROM su", "symbol buy sell split n_trades", "total_return sharpe max_drawdown excess_return", 4)(threshold_grid)
-query("t03_select_on_valid", THRESHOLDS + ", wd AS (SELECT symbol, buy, sell, max(total_return) FILTER (WHERE split = 'train') AS train, max(total_return) FILTER (WHERE split = 'valid') AS valid FROM su GROUP BY ALL), r5 AS (SELECT * FROM wd QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY round(train, 9) DESC, buy, sell) <= 5) SELECT * FROM r5 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY round(valid, 9) DESC, buy, sell) = 1", "symbol buy sell", "train valid", 4)(
-    lambda s, d: (lambda g: g.groupBy("symbol", "buy", "sell").pivot("split", ["train", "valid"]).agg(F.first("total_return")).withColumn("r", F.row_number().over(Window.partitionBy("symbol").orderBy(F.round("train", 9).desc(), "buy", "sell"))).where("r <= 5").withColumn("v", F.row_number().over(Window.partitionBy("symbol").orderBy(F.round("valid", 9).desc(), "buy", "sell"))).where("v = 1"))(threshold_grid(s, d)))
+query("g06_dual_grid", DUALS + " SELECT * FROM su", "symbol family buy sell split n_trades", "total_return sharpe max_drawdown excess_return", 4)(dual_grid)
+query("g06_threshold_grid", THRESHOLDS + " SELECT * FROM su", "symbol family buy sell split n_trades", "total_return sharpe max_drawdown excess_return", 4)(threshold_grid)
+query("t03_select_on_valid", THRESHOLDS + ", wd AS (SELECT symbol, family, buy, sell, max(total_return) FILTER (WHERE split = 'train') AS train, max(total_return) FILTER (WHERE split = 'valid') AS valid FROM su GROUP BY ALL), r5 AS (SELECT * FROM wd QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY round(train, 9) DESC, family, buy, sell) <= 5) SELECT * FROM r5 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY round(valid, 9) DESC, family, buy, sell) = 1", "symbol family buy sell", "train valid", 4)(
+    lambda s, d: (lambda g: g.groupBy(*RULE_KEY).pivot("split", ["train", "valid"]).agg(F.first("total_return")).withColumn("r", F.row_number().over(Window.partitionBy("symbol").orderBy(F.round("train", 9).desc(), "family", "buy", "sell"))).where("r <= 5").withColumn("v", F.row_number().over(Window.partitionBy("symbol").orderBy(F.round("valid", 9).desc(), "family", "buy", "sell"))).where("v = 1"))(threshold_grid(s, d)))
 query("g05_rule_matrix", RULE_BOOKS + " SELECT * FROM rm", "symbol rule", "total_return sharpe", 4)(
     lambda s, d: (lambda z: __import__("functools").reduce(lambda a, b: a.unionByName(b), [B.nav_summary(B.nav_backtest(rules.hold(z, r, ["z"], ["symbol"], "ts"), ["symbol"], "ts"), ["symbol"], "ts").withColumn("rule", F.lit(n)) for n, r in rules.RULES.items()]))(z20(T.bars(s, d)).withColumn("index_close", 1000 * F.exp(F.sum(F.coalesce("z", F.lit(0.0)) / 200).over(R.cum(X.W))))))
 query("g08_z_grid_out_of_sample", None, "symbol split entry n_trades", "total_return time_in_market", 4)(
     lambda s, d: (lambda g: B.round_trips(g, ["symbol", "split", "entry"], "ts").join(B.pair_backtest(g, ["symbol", "split", "entry"], "ts", 0.5).groupBy("symbol", "split", "entry").agg(F.sum("pnl").alias("total_return")), ["symbol", "split", "entry"]))(z_grid(s, d, ["symbol", "split"])))
 query("g09_cost_sensitivity", HELD.replace("5 / 10000 AS pnl FROM st)", "0 / 10000 AS gross, 2 * " + turn() + " / 10000 AS unit FROM st)") + ", cs AS (SELECT cost, sum(gross - unit * cost) AS total, product(1 + gross - unit * cost) - 1 AS grown FROM bk, (VALUES (0.0::DOUBLE), (5.0), (20.0)) g(cost) WHERE gross IS NOT NULL GROUP BY cost) SELECT * FROM cs", "cost", "total", 5)(
     lambda s, d: B.pair_backtest(held(s, d).crossJoin(F.broadcast(s.createDataFrame([(0.0,), (5.0,), (20.0,)], "cost double"))), ["symbol", "cost"], "ts", 0.5, F.col("cost")).groupBy("cost").agg(F.sum("pnl").alias("total")))
-query("g12_config_evaluation", THRESHOLDS + " SELECT *, CAST(excess_return > 0 AS BIGINT) AS beats FROM su WHERE split = 'valid'", "symbol buy sell beats", "excess_return", 4)(lambda s, d: threshold_grid(s, d).where("split = 'valid'").withColumn("beats", (F.col("excess_return") > 0).cast("long")))
-query("g13_threshold_pairs", "SELECT b / 2.0 AS buy, c / 2.0 AS sell FROM range(-4, 1) x(b), range(0, 4) y(c) WHERE b < c", "", "buy sell")(lambda s, d: s.range(-4, 1).crossJoin(s.range(0, 4).withColumnRenamed("id", "c")).where("id < c").select((F.col("id") / 2).alias("buy"), (F.col("c") / 2).alias("sell")))
+query("g12_config_evaluation", THRESHOLDS + " SELECT *, CAST(excess_return > 0 AS BIGINT) AS beats FROM su WHERE split = 'valid'", "symbol family buy sell beats", "excess_return", 4)(lambda s, d: threshold_grid(s, d).where("split = 'valid'").withColumn("beats", (F.col("excess_return") > 0).cast("long")))
+query("g13_threshold_pairs", f"SELECT * FROM (VALUES {_LEVELS}) g(buy, sell) WHERE buy < sell", "", "buy sell")(lambda s, d: s.createDataFrame([(b, c) for b in BUYS for c in SELLS if b < c], "buy double, sell double"))
 query("t04_best_per_method", RULE_BOOKS + " SELECT * FROM rm QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY round(total_return, 4) + 0.0 DESC, rule) = 1", "symbol rule", "total_return", 4)(lambda s, d: QUERIES_RUN("g05_rule_matrix", s, d).withColumn("r", F.row_number().over(Window.partitionBy("symbol").orderBy(F.col("total_return").desc(), "rule"))).where("r = 1"))
 
 
@@ -289,7 +349,7 @@ query("m05_standardised_composite", None, "symbol ts", "equal_weight", 5)(lambda
 
 def scored(s, d) -> DataFrame:
     rows = Tb.stratified_split(T.labelled(s, d).withColumn("len", F.log1p("n_chars")).withColumn("lang_code", F.length("lang").cast("double") + F.ascii("lang") / 100.0), "quality", "doc_id")
-    return Md.classify(rows, ["len", "lang_code", "toxic"], "quality", Md.classifiers(trees=20, rounds=10))
+    return Md.classify_all(rows, ["len", "lang_code", "toxic"], "quality")
 
 
 query("m11_classifiers", None, "doc_id split", "logistic forest boosting vote", 4)(scored)
@@ -298,8 +358,8 @@ query("m19_importances", None, "feature", "importance", 4)(lambda s, d: s.create
 query("m21_chronological_split", "SELECT symbol, ts, CASE WHEN rn < floor(n * 8 / 10) THEN 'train' ELSE 'test' END AS split FROM (SELECT symbol, ts, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS rn, count(*) OVER (PARTITION BY symbol) AS n FROM v1)", "symbol ts split")(lambda s, d: B.split_rows(T.bars(s, d), ["symbol"], "ts", 8, 0, ("train", "-", "test")))
 query("m20_time_series_folds", "SELECT symbol, ts, CAST(greatest(0, floor((rn - (n - 5 * (n // 6))) / (n // 6)) + 1) AS INT) AS fold FROM (SELECT symbol, ts, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS rn, count(*) OVER (PARTITION BY symbol) AS n FROM v1)", "symbol ts fold")(
     lambda s, d: T.bars(s, d).withColumns({"rn": F.row_number().over(X.W) - 1, "n": F.count("*").over(Window.partitionBy("symbol"))}).withColumn("fold", Tb.expanding_folds(5, F.col("rn"), F.col("n"))))
-query("m23_threshold_tuning", "WITH g AS (SELECT (3 + range) * 100.0 AS threshold FROM range(10)), r AS (SELECT threshold, avg(CAST(n_chars >= threshold AS INT)) FILTER (WHERE quality = 1) AS tpr, avg(CAST(n_chars < threshold AS INT)) FILTER (WHERE quality = 0) AS tnr FROM v7, g GROUP BY threshold) SELECT threshold, (tpr + tnr) / 2 AS balanced FROM r", "", "threshold balanced")(lambda s, d: Md.threshold_scan(T.labelled(s, d), "n_chars", "quality", [100.0 * i for i in range(3, 13)]))
-query("t09_best_threshold", "WITH g AS (SELECT (3 + range) * 100.0 AS threshold FROM range(10)), r AS (SELECT threshold, avg(CAST(n_chars >= threshold AS INT)) FILTER (WHERE quality = 1) AS tpr, avg(CAST(n_chars < threshold AS INT)) FILTER (WHERE quality = 0) AS tnr FROM v7, g GROUP BY threshold) SELECT threshold FROM r ORDER BY tpr + tnr DESC, threshold LIMIT 1", "", "threshold")(lambda s, d: Md.threshold_scan(T.labelled(s, d), "n_chars", "quality", [100.0 * i for i in range(3, 13)]).limit(1))
+query("m23_threshold_tuning", "WITH g AS (SELECT 100.0 + range * 50.0 AS threshold FROM range(41)), r AS (SELECT threshold, avg(CAST(n_chars >= threshold AS INT)) FILTER (WHERE quality = 1) AS tpr, avg(CAST(n_chars < threshold AS INT)) FILTER (WHERE quality = 0) AS tnr FROM v7, g GROUP BY threshold) SELECT threshold, (tpr + tnr) / 2 AS balanced FROM r", "", "threshold balanced")(lambda s, d: Md.threshold_scan(T.labelled(s, d), "n_chars", "quality", [100.0 + 50.0 * i for i in range(41)]))
+query("t09_best_threshold", "WITH g AS (SELECT 100.0 + range * 50.0 AS threshold FROM range(41)), r AS (SELECT threshold, avg(CAST(n_chars >= threshold AS INT)) FILTER (WHERE quality = 1) AS tpr, avg(CAST(n_chars < threshold AS INT)) FILTER (WHERE quality = 0) AS tnr FROM v7, g GROUP BY threshold) SELECT threshold FROM r ORDER BY tpr + tnr DESC, threshold LIMIT 1", "", "threshold")(lambda s, d: Md.threshold_scan(T.labelled(s, d), "n_chars", "quality", [100.0 + 50.0 * i for i in range(41)]).limit(1))
 
 # --- battles -----------------------------------------------------------------------------------------------
 
