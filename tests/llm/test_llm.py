@@ -776,6 +776,7 @@ def test_an_id_with_several_texts(spark, monkeypatch):
 
 def test_pairs_of_hot_keys_are_dealt(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "PARTS", 1 << 20)
+    monkeypatch.setattr(ngram_join, "DEAL_FROM", 1000)
     table = spark.range(6000).select(F.col("id").alias("at"), (F.col("id") * 2).alias("n"))
     pairs = [(i, 7) for i in range(100, 5000)] + [(9, i) for i in range(1000, 3500)] + [(1, 2)]
     got = ngram_join.paired(spark.createDataFrame(pairs, "a long, b long"), table, ["n"]).collect()

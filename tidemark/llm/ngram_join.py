@@ -22,7 +22,7 @@ short folds travel with the signatures and are tested inside the join, the long
 Most signatures stand alone and most texts are in no pair. A bitmap of fixed size, broadcast, sifts out most of
 them before an exact join; once the keys fill it, more rows take the exact join. Pairs of a pivot with many
 members are dealt to salts, and the pivot's row is repeated for each, so that no key holds more than 1 / PARTS of
-the pairs. In the pair-by-pair step members of a group's largest component meet the others, never each other.
+the pairs (or DEAL_FROM of them). In the pair-by-pair step members of a group's largest component meet the others, never each other.
 
 The number of links counts for every document all others that reach the similarity. Links lie inside classes,
 so each class is cut into blocks by hash and every pair of blocks is one group: the elements' incidence
@@ -55,7 +55,7 @@ from tidemark.llm.storage import discard, written
 
 FOLD_LONGS = 16
 BLOCK_ROWS, BLOCK_CHARS = 256, 4 << 20
-PARTS = 1024
+PARTS, DEAL_FROM = 1024, 1 << 14
 SIEVE_BITS = 1 << 25
 NONE = np.empty(0, np.int64)
 
@@ -251,9 +251,12 @@ def sifted(rows: DataFrame, keys: DataFrame, on: list[str], out: bool = False) -
 
 def paired(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
     """pairs (a, b, ...; written) with the columns of both out of table (at, ...), as <column>_a and <column>_b."""
-    each = max(pairs.count() / PARTS, 1024)
-    out = pairs
+    total = pairs.count()
+    each, out = max(total / PARTS, DEAL_FROM), pairs
     for side, other in (("a", "b"), ("b", "a")):
+        if total <= each:  # no key can hold more
+            out = out.join(table.select(F.col("at").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]), side)
+            continue
         many = pairs.groupBy(F.col(side).alias("at")).count().where(F.col("count") > each)
         many = F.broadcast(many.select("at", F.ceil(F.col("count") / each).cast("int").alias("salts")))
         salts = F.coalesce("salts", F.lit(1))
