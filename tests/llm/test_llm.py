@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -634,6 +635,74 @@ def test_toxicity_holds_out_and_scores_everything(spark, docs):
     assert toxicity.drop_toxic(docs, model).columns == docs.columns
 
 
+def misspelt(rng, word):
+    """word with one letter doubled, dropped, replaced or swapped with the next."""
+    i, k = rng.randrange(len(word) - 1), rng.randrange(4)
+    return word[:i] + [word[i] * 2, "", rng.choice("abcdefghijklmnopqrstuvwxyz"), word[i + 1] + word[i]][k] + word[i + 1 + (k == 3) :]
+
+
+def scored_by_hand(model, text):
+    """The score of a text, n-gram by n-gram."""
+    strongest, words = [], tokens("".join(c.lower() if c.isascii() else c for c in text))
+    for w in words:
+        marked = b"<" + w + b">"
+        total, n = 0.0, 0
+        for g in toxicity.GRAMS:
+            for i in range(len(marked) - g + 1):
+                h = np.uint64(g)
+                for c in marked[i : i + g]:
+                    h = h * kernel.BASE + np.uint64(c + 1)
+                total += float(model.evidence[int(kernel.mix(np.array([h], np.uint64))[0] % np.uint64(toxicity.BUCKETS))])
+                n += 1
+        strongest.append(total / n + model.bias)
+    z = model.weights @ [1.0, max(strongest, default=model.bias), math.log1p(len(words))]
+    return 1 / (1 + math.exp(-z))
+
+
+@pytest.mark.filterwarnings("ignore:overflow")
+def test_scores_of_a_fixed_model(spark, docs):
+    rng = np.random.default_rng(3)
+    model = toxicity.Model(rng.normal(0, 1, toxicity.BUCKETS).astype(np.float32), 0.25, np.array([-1.0, 0.5, -0.1]))
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    for i, text in rows:
+        if len(text or "") < 4000:
+            assert got[i] == pytest.approx(scored_by_hand(model, text or ""), abs=1e-6), i
+
+
+def test_held_out_recall_and_misspelt_insults():
+    """On the 0.1 tables: toxic documents not trained on, and clean ones into which misspelt insults are put."""
+    sf = "/root/testdata/sf0.1"
+    texts = dict(zip(*pq.read_table(f"{sf}/documents.parquet", columns=["doc_id", "text"]).to_pydict().values()))
+    label = {i: y for i, y in zip(*pq.read_table(f"{sf}/labels.parquet", columns=["doc_id", "toxic"]).to_pydict().values()) if y is not None}
+    learnt = [i for i in label if zlib.crc32(str(i).encode()) % 4 != 2]
+    held = [i for i in label if zlib.crc32(str(i).encode()) % 4 == 2]
+    model = toxicity.train(pa.array([texts[i] or "" for i in learnt]), np.array([label[i] for i in learnt]))
+    found = lambda some: np.concatenate([model.score(*model.strongest(w)) for w in kernel.slices(pa.array(some), lower=True)]) >= 0.3
+    toxic, clean = ([texts[i] or "" for i in held if label[i] == y] for y in (1, 0))
+    assert found(toxic).mean() >= 0.9 and found(clean).mean() <= 0.06
+    uses = [Counter(w for i in learnt if label[i] == y for w in set((texts[i] or "").lower().split())) for y in (1, 0)]
+    insults = [w for w, n in uses[0].items() if n >= 20 and uses[1][w] <= 2 and w.isalpha()]
+    rng = random.Random(1)
+    for n, least in ((1, 0.35), (2, 0.55), (3, 0.7)):
+        assert found([" ".join([*t.split(), *(misspelt(rng, rng.choice(insults)) for _ in range(n))]) for t in clean[:300]]).mean() >= least, n
+
+
+def test_the_sample_is_bounded_in_bytes(spark, monkeypatch):
+    rows = [(i, ("vile " if i % 2 else "fine ") * 40) for i in range(60)] + [(100, "vile " * 5000), (1, "vile"), (None, "vile")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(100, 1), (None, 1)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, toxic: seen.append((texts.to_pylist(), toxic.tolist())))
+    monkeypatch.setattr(toxicity, "LONGEST", 1000)
+    toxicity.fit(df, labels)
+    kept = [i for i in range(60) if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert sorted(seen[0][0]) == sorted("vile" if i == 1 else rows[i][1] for i in kept)
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 2200)
+    toxicity.fit(df, labels)
+    assert sum(map(len, seen[1][0])) <= 2200 and len(seen[1][0]) >= 8 and set(seen[1][1]) == {0, 1}
+
+
 def test_labels_of_held_out_rows_change_nothing(spark):
     rows = [(i, f"word{i % 7} thing other more {'vile' if i % 3 == 0 else 'fine'}") for i in range(120)]
     df = spark.createDataFrame(rows, "doc_id long, text string")

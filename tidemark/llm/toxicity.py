@@ -1,9 +1,10 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax.
 
 A word is the bag of its hashed character n-grams (3 and 4 bytes of ``<word>``, A-Z lower-cased; not the word itself), so a
-misspelling that never occurred in training shares most of its vectors with the right spelling. Word
-vectors are averaged over segments of SEGMENT words and go into a two-class softmax; embeddings and softmax
-are trained jointly in numpy by Adagrad. A document's label says only that some segment earns it, so
+misspelling that never occurred in training shares most of its vectors with the right spelling. The vectors of
+the n-grams are averaged over segments of SEGMENT words (one word: among more, the words beside a misspelt one
+outweigh what is left of it) and go into a two-class softmax; embeddings and softmax are trained jointly in
+numpy by Adagrad, each step without a random half of the n-grams, so that no word hangs on one of them. A document's label says only that some segment earns it, so
 training repeats: score the segments, keep the strongest ones of toxic documents and the hardest ones of
 clean documents, train on those. A document's score is a logistic function of its strongest segment and the
 log of the number of segments, fitted on part of the sample that the embeddings did not see.
@@ -34,14 +35,15 @@ from pyspark.sql import functions as F
 from tidemark.llm import kernel
 from tidemark.llm.storage import discard, written
 
-SEGMENT = 4
+SEGMENT = 1
 BUCKETS = 1 << 16
 DIM = 8
 GRAMS = (3, 4)
 SAMPLE = 2000
 SAMPLE_BYTES = 48 << 20
 LONGEST = 1 << 20
-ROUNDS = 4
+ROUNDS = 7
+DROPPED = 0.5
 STEPS = 150
 FIRST_SEGMENTS = 60_000
 SEED = 20240
@@ -132,7 +134,7 @@ def softmax_train(bags: list[tuple[np.ndarray, np.ndarray]], word_grams, rows: n
             count = size[ws]
             g_own = np.repeat(own, count)
             g = grams[np.repeat(first[ws], count) + np.arange(len(g_own)) - np.repeat(np.cumsum(count) - count, count)]
-            share = np.repeat(1.0 / (count * SEGMENT), count)
+            share = np.repeat(1.0 / (count * SEGMENT), count) * (rng.random(len(g)) >= DROPPED) / (1 - DROPPED)
             used, local = np.unique(g, return_inverse=True)
             mix = np.zeros((len(seg), DIM))
             for d in range(DIM):
@@ -178,7 +180,7 @@ def train(texts: pa.Array, toxic: np.ndarray) -> Model:
     number = np.argsort(np.concatenate(fresh)).astype(np.int32) if fresh else np.empty(0, np.int32)
     word = np.concatenate([number[np.searchsorted(seen, h)] for h in hashed])
     del hashed, grams, seen, fresh
-    start, end, text = segments(np.concatenate([[0], np.cumsum(np.concatenate(length))]))
+    start, end, text = (x.astype(np.int32) for x in segments(np.concatenate([[0], np.cumsum(np.concatenate(length))])))
     if not len(text):
         return Model(np.zeros(BUCKETS, np.float32), 0.0, np.array([np.log(share / (1 - share)), 0.0, 0.0]))
     fold = rng.random(len(toxic)) < 0.25  # only for the last step
