@@ -868,6 +868,8 @@ def test_stages(spark):
             assert frames[-1].columns == docs.columns
     rows = [f.collect() for f in frames]
     assert {r["doc_id"] for r in rows[1]} == {i for i, s in scores.items() if s < 0.3}
+    short = [r for r in rows[0] if len(r["text"] or "") < 1500][:40]
+    assert all(scores[r["doc_id"]] == pytest.approx(scored_by_hand(model, r["text"] or ""), abs=1e-6) for r in short)
     groups = brute_components([(r["doc_id"], r["text"]) for r in rows[1]], 5, 80, 100)
     assert {r["doc_id"] for r in rows[2]} == {c for _, _, c in groups}
     stripped = {i: (gone, kept) for i, _, gone, kept in brute_dedup([(r["doc_id"], r["text"]) for r in rows[2]], 35)}
@@ -877,5 +879,43 @@ def test_stages(spark):
         assert r["text"] == (kept if gone else before[r["doc_id"]]) and (not gone or r["n_chars"] == len(kept))
     leaky = {r["doc_id"] for r in decontaminate.find_overlaps(frames[3], spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
     assert {r["doc_id"] for r in rows[4]} == {r["doc_id"] for r in rows[3]} - leaky
+    clean = lambda t: " " + " ".join(re.findall(r"[0-9a-z\x80-\U0010ffff]+", "".join(c.lower() if c.isascii() else c for c in t or ""))) + " "
+    items = [clean(r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    assert not any(item in clean(r["text"]) for r in rows[4] for item in items if len(item.split()) >= 5)
+    got = source_mix.balance(frames[4]).collect()
+    check_mix(rows[4], got, near=0.05)
+    taken = defaultdict(int)
+    for r in rows[5]:
+        taken[r["source"]] += len(tokens(r["text"]))
+    assert taken == {s: n for s, n in ((s, sum(r["copies"] * r["size"] for r in got if r["source"] == s)) for s in {r["source"] for r in got}) if n}
     copies = Counter(r["doc_id"] for r in rows[5])
     assert copies == {r["doc_id"]: r["copies"] for r in source_mix.balance(frames[4]).collect() if r["copies"]}
+
+
+def test_stages_on_awkward_documents(spark, tmp_path):
+    """Nulls in every column, empty and long texts, rows that repeat, ids with several texts, clashing columns; an empty table."""
+    rng = random.Random(16)
+    items, passage = [prose(rng, 20), prose(rng, 40)], prose(rng, 60)
+    texts = awkward() + [(100, prose(rng, 30) + " " + items[0]), (101, prose(rng, 30) + " " + passage), (102, passage + " " + prose(rng, 9)), (103, None)]
+    rows = [(i, t, None if i % 4 == 0 else "en", None if i % 5 == 0 else f"s{i % 3}", len(t or ""), i, "x", 1, 2.0, "w") for i, t in texts]
+    rows += [(None, "text of a row without id", "en", "s1", 5, None, None, None, None, None), rows[0], rows[9], rows[9], (9, prose(rng, 44), "en", "s1", 9, 0, "y", 0, 0.0, "w")]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, id_ long, key string, mix_size int, spans double, word string"
+    df = spark.createDataFrame(rows, kinds)
+    spark.createDataFrame(list(enumerate(items)) + [(None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(20)] + [(None, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    found = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, df, str(tmp_path))
+        found[name] = out.collect()
+        if name != "source_mix":
+            assert out.columns == df.columns and out.schema == df.schema
+        assert stage(spark, df.limit(0), str(tmp_path)).count() == 0
+    assert len(found["toxicity"]) == len(rows)  # no toxic label: nothing to learn
+    groups = {c for _, _, c in brute_components([(n, r[1]) for n, r in enumerate(rows) if r[0] is not None], 5, 80, 100)}
+    kept = Counter((r["doc_id"], r["text"]) for r in found["ngram_jaccard_join"])
+    # One row of every group, all rows without words or id.
+    assert kept.total() == len({g for g in groups if tokens(rows[g][1])}) + sum(1 for r in rows if r[0] is None or not tokens(r[1]))
+    gone = {r["doc_id"] for r in found["substring_dedup"] if r["doc_id"] in (101, 102) and passage.split()[30] in (r["text"] or "").split()}
+    assert len(found["substring_dedup"]) == len(rows) and not gone
+    assert {r[0] for r in rows} - {r["doc_id"] for r in found["benchmark_decontamination"]} == {100}
+    assert all(r["mix_copy"] in (1, 2) and tokens(r["text"]) for r in found["source_mix"])
