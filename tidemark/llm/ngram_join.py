@@ -55,7 +55,7 @@ from tidemark.llm.storage import discard, written
 
 FOLD_LONGS = 16
 BLOCK_ROWS, BLOCK_CHARS = 256, 4 << 20
-PARTS, DEAL_FROM = 1024, 1 << 14
+PARTS, DEAL_FROM = 1024, 1024
 SIEVE_BITS = 1 << 25
 NONE = np.empty(0, np.int64)
 
@@ -240,13 +240,16 @@ def sifted(rows: DataFrame, keys: DataFrame, on: list[str], out: bool = False) -
     The broadcast bitmap has SIEVE_BITS bits, whatever the number of keys.
     """
     words = SIEVE_BITS // 64
-    at, held = unused(rows, "word"), unused(rows, "bits")
-    spot = F.xxhash64(*[F.col(f"`{c}`") for c in on], F.lit(7))
-    word = F.pmod(F.shiftright(spot, 6), F.lit(words)).cast("int")
+    at, held = unused(rows, "line"), unused(rows, "bits")
+    spot = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in on], F.lit(7)), F.lit(SIEVE_BITS))
+    line, word = F.shiftright(spot, 12).cast("int"), F.shiftright(spot, 6).bitwiseAND(F.lit(63)).cast("int")
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), spot.bitwiseAND(F.lit(63)).cast("int"))
-    bits = keys.select(word.alias(at), bit.alias("bit")).groupBy(at).agg(F.bit_or("bit").alias(held))
-    known = F.coalesce(F.col(held).bitwiseAND(bit), F.lit(0)) != 0
-    return rows.join(F.broadcast(bits), word == F.col(at), "left").where(~known if out else known).drop(at, held)
+    # A line of the bitmap is one row with 64 words, so that the broadcast table is little more than its bits.
+    bits = keys.select(line.alias(at), word.alias("word"), bit.alias("bit")).groupBy(at, "word").agg(F.bit_or("bit").alias("bit"))
+    bits = bits.groupBy(at).agg(F.map_from_entries(F.collect_list(F.struct("word", "bit"))).alias("words"))
+    bits = bits.select(at, F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.try_element_at("words", i), F.lit(0).cast("long"))).alias(held))
+    known = F.coalesce(F.get(F.col(held), word).bitwiseAND(bit), F.lit(0)) != 0
+    return rows.join(F.broadcast(bits), line == F.col(at), "left").where(~known if out else known).drop(at, held)
 
 
 def paired(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
