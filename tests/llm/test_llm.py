@@ -183,6 +183,40 @@ def test_names_split_beside_a_million_words(spark):
     assert {r["host_words"] for r in url_filter.filter_urls(df, queries.RULES).select("host_words").distinct().collect()} == {"blue stone"}
 
 
+def test_words_beyond_the_vocabulary(spark, monkeypatch):
+    """However few words are sent to the tasks, names are split by the counts of all words."""
+    rng = random.Random(14)
+    words = list({"".join(rng.choice("abcé") for _ in range(rng.randrange(1, 6))) for _ in range(60)})
+    name = lambda: "".join(rng.choice(words) for _ in range(rng.randrange(1, 4)))
+    urls = [f"http://www.{name()}{rng.choice(['', '7', '-x.'])}{name()}.{rng.choice(['com', 'org', 'net'])}/{rng.choice(['fr', 'de', 'X1'])}/{name()}{rng.choice(['', '/', '22'])}{name()}?q" for _ in range(150)]
+    urls += [None, "", "http://", "http://x.zz", urls[0], urls[0], "http://" + "".join(rng.choice(words) for _ in range(4000)) + ".net/de/a"]
+    html = [" ".join(rng.choices(words, range(1, len(words) + 1), k=8)) for _ in urls]
+    df = spark.createDataFrame([*enumerate(urls), (None, urls[1])], "page_id long, url string").withColumn("html", F.element_at(F.array(*map(F.lit, html)), (F.coalesce("page_id", F.lit(0)) + 1).cast("int")))
+    letters = lambda text: re.findall(r"[^\W\d_]+", text.lower())
+    count = Counter(w for u, h in zip([*urls, urls[1]], [*html, html[0]]) for w in letters(brute_url(u)[1]) + letters(h))
+    total = sum(count.values())
+    cost = lambda w: math.log(total) - math.log(count[w]) if count[w] else math.log(total) + 3.0 * len(w)
+
+    def least(name):
+        best = [0.0]
+        for e in range(1, len(name) + 1):
+            best.append(min(best[s] + cost(name[s:e]) for s in range(max(0, e - 24), e)))
+        return best[-1]
+
+    run = lambda: sorted(map(tuple, url_filter.filter_urls(df, queries.RULES).collect()), key=str)
+    whole, sent = run(), []
+    seen = url_filter.ExactCounts.__init__
+    monkeypatch.setattr(url_filter.ExactCounts, "__init__", lambda self, hashes, n, total: (sent.append(len(hashes)), seen(self, hashes, n, total))[0])
+    for bound in (0, 20, 60):
+        monkeypatch.setattr(url_filter, "VOCABULARY", bound)
+        assert run() == whole
+        assert min(bound, 1) <= sent.pop() <= bound
+    for _, host, _, _, _, _, shown in whole:
+        names = [x for label in host.split(".")[:-1] for x in re.findall(r"[^\W\d_]+|\d+", label)]
+        assert shown.replace(" ", "") == "".join(names)
+        assert sum(map(cost, shown.split())) == pytest.approx(sum(map(least, names)))
+
+
 def test_naive_bayes_counts(spark):
     """The odds are those of a multinomial model over hashed tokens of the rule-decided URLs."""
     urls = ["http://good.org/river"] * 3 + ["http://bad.com/de/mud", "http://x.net/river", "http://x.net/mud"]
