@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.oracle import compare
-from tidemark.llm import chat_format, decontaminate, kernel, ngram_join, oracles, quality, queries, source_mix, substring_dedup, token_count, topk_search, toxicity, url_filter
+from tidemark.llm import chat_format, decontaminate, kernel, ngram_join, oracles, quality, queries, source_mix, storage, substring_dedup, token_count, topk_search, toxicity, url_filter
 from tidemark.llm.components import connected
 from tidemark.llm.fm_index import FMIndex
 
@@ -60,6 +61,26 @@ def tokens(text):
     return [w for w in SPLIT.findall((text or "").encode())]
 
 
+# --- storage -------------------------------------------------------------------------------------------------
+
+
+def test_written_tables_need_no_checksum_files(spark):
+    """Each file more is a process more that an executor starts; pages carry checksums of their own, and a damaged one is found."""
+    rows = [(i, f"{i:032x}") for i in range(5000)]
+    df = storage.written(spark.createDataFrame(rows, "i long, x string").coalesce(1), "plain")
+    folder = Path(df.inputFiles()[0].removeprefix("file:")).parent
+    assert not list(folder.glob(".*.crc"))
+    assert sorted(map(tuple, df.collect())) == rows
+    (part,) = folder.glob("part-*")
+    data = bytearray(part.read_bytes())
+    column = pq.ParquetFile(part).metadata.row_group(0).column(0)
+    data[(column.dictionary_page_offset or column.data_page_offset) + column.total_compressed_size - 5] ^= 1
+    part.write_bytes(data)
+    with pytest.raises(Exception, match="CRC"):
+        df.collect()
+    storage.discard(df)
+
+
 # --- kernel --------------------------------------------------------------------------------------------------
 
 
@@ -388,6 +409,22 @@ def test_rows_that_share_an_id(spark):
     assert sorted((tuple(r) for r in out.collect()), key=str) == brute_dedup(rows, 35)
 
 
+def test_digests_in_files_of_their_own_size(spark, tmp_path):
+    """The result's files follow the size of the digests, not that of the texts they were made from."""
+    rng = random.Random(4)
+    spark.createDataFrame([(i, prose(rng, 20_000)) for i in range(40)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.parallelismFirst")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+    try:
+        queries.op4_substring_dedup(spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", before)
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert len(list(tmp_path.glob("out/part-*"))) == 1
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 40
+
+
 # --- 5 quality ---------------------------------------------------------------------------------------------------------
 
 
